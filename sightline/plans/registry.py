@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sightline.session import configure
 
-FAMILIES = ["coverage"]
+FAMILIES = ["coverage", "scanning"]
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
