@@ -379,6 +379,11 @@ SCAN_ERROR_WORDS = {
     "not_found": ["not found", "404"],
     "network_error": ["network", "timeout"],
 }
+SCAN_RETRY_WORDS = {
+    "permission": ["permission", "forbidden", "403"],
+    "quota": ["quota", "limit", "429"],
+    "network": ["network", "connection", "timeout"],
+}
 CALL_ERROR_WORDS = {
     "quota_exceeded": ["quota", "limit", "rate limit", "429"],
     "permission_denied": ["permission", "forbidden", "403", "access denied"],
