@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from itertools import chain
@@ -30,8 +31,9 @@ def any_present(columns: Sequence[str]) -> Column:
 
 
 def contains_any(text: Column | str, words: Sequence[str]) -> Column:
+    """True when one of the words occurs anywhere inside the text."""
     text = as_col(text)
-    return any_of(text.contains(w) for w in words)
+    return text.contains(words[0]) if len(words) == 1 else text.rlike("|".join(re.escape(w) for w in words))
 
 
 def like_any(text: Column | str, patterns: Sequence[str]) -> Column:

@@ -57,9 +57,9 @@ DETECTORS = [
 ]
 
 
-def _code(family: str, name: str, pattern: str, area: str, multiplier: float, description: str) -> Detector:
+def _code(family: str, name: str, pattern: str, area: str, multiplier: float, description: str, needs: str = "") -> Detector:
     # Code-like patterns compare case: ignoring it they match ordinary words.
-    return Detector(name, area, pattern, "", False, family, multiplier, description)
+    return Detector(name, area, pattern, needs, False, family, multiplier, description)
 
 
 # Industry identifiers by family, with the confidence multiplier of each.
@@ -67,31 +67,31 @@ INDUSTRY_DETECTORS = [
     _code("financial", "swift_code", r"\b[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", "identity_context", 1.5, "SWIFT bank codes"),
     _code("financial", "iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{7}[A-Z0-9]{0,16}\b", "identity_context", 1.8, "IBAN numbers"),
     _code("financial", "card_number", r"\b4[0-9]{12}(?:[0-9]{3})?\b", "identity_context", 2.0, "Credit card numbers"),
-    _code("financial", "trading_symbol", r"\b[A-Z]{1,5}:[A-Z]{1,8}\b", "application_telemetry", 1.3, "Trading symbols"),
-    _code("healthcare", "patient_id", r"\bPT[0-9]{6,8}\b", "identity_context", 1.7, "Patient identifiers"),
-    _code("healthcare", "medical_record", r"\bMRN[0-9]{6,10}\b", "identity_context", 1.8, "Medical record numbers"),
+    _code("financial", "trading_symbol", r"\b[A-Z]{1,5}:[A-Z]{1,8}\b", "application_telemetry", 1.3, "Trading symbols", ":"),
+    _code("healthcare", "patient_id", r"\bPT[0-9]{6,8}\b", "identity_context", 1.7, "Patient identifiers", "PT"),
+    _code("healthcare", "medical_record", r"\bMRN[0-9]{6,10}\b", "identity_context", 1.8, "Medical record numbers", "MRN"),
     _code("healthcare", "npi", r"\b[0-9]{10}\b", "identity_context", 1.6, "National Provider Identifier"),
     _code("healthcare", "phi_marker", r"\b(?:SSN|DOB|MRN|PHI|HIPAA)\b", "identity_context", 1.4, "PHI indicators"),
-    _code("retail", "customer_id", r"\bCUST[0-9]{6,10}\b", "identity_context", 1.4, "Customer IDs"),
-    _code("retail", "order_id", r"\bORD[0-9A-F]{6,12}\b", "application_telemetry", 1.3, "Order identifiers"),
+    _code("retail", "customer_id", r"\bCUST[0-9]{6,10}\b", "identity_context", 1.4, "Customer IDs", "CUST"),
+    _code("retail", "order_id", r"\bORD[0-9A-F]{6,12}\b", "application_telemetry", 1.3, "Order identifiers", "ORD"),
     _code("retail", "sku", r"\b[A-Z]{2,4}[0-9]{4,8}\b", "application_telemetry", 1.2, "Product SKUs"),
     _code("retail", "barcode", r"\b[0-9]{8,14}\b", "application_telemetry", 1.1, "Product barcodes"),
-    _code("manufacturing", "asset_tag", r"\bAT[0-9]{6,10}\b", "endpoint_identity", 1.6, "Asset tags"),
-    _code("manufacturing", "serial_number", r"\bSN[A-Z0-9]{8,12}\b", "endpoint_identity", 1.5, "Serial numbers"),
-    _code("manufacturing", "lot_number", r"\bLOT[0-9A-F]{6,10}\b", "application_telemetry", 1.3, "Manufacturing lots"),
-    _code("energy", "meter_id", r"\bMTR[0-9]{6,12}\b", "endpoint_identity", 1.5, "Meter identifiers"),
-    _code("energy", "scada_tag", r"\b[A-Z]{2,4}_[0-9]{3,6}\b", "endpoint_identity", 1.7, "SCADA tags"),
-    _code("energy", "grid_node", r"\bGN[0-9]{4,8}\b", "network_presence", 1.6, "Grid nodes"),
+    _code("manufacturing", "asset_tag", r"\bAT[0-9]{6,10}\b", "endpoint_identity", 1.6, "Asset tags", "AT"),
+    _code("manufacturing", "serial_number", r"\bSN[A-Z0-9]{8,12}\b", "endpoint_identity", 1.5, "Serial numbers", "SN"),
+    _code("manufacturing", "lot_number", r"\bLOT[0-9A-F]{6,10}\b", "application_telemetry", 1.3, "Manufacturing lots", "LOT"),
+    _code("energy", "meter_id", r"\bMTR[0-9]{6,12}\b", "endpoint_identity", 1.5, "Meter identifiers", "MTR"),
+    _code("energy", "scada_tag", r"\b[A-Z]{2,4}_[0-9]{3,6}\b", "endpoint_identity", 1.7, "SCADA tags", "_"),
+    _code("energy", "grid_node", r"\bGN[0-9]{4,8}\b", "network_presence", 1.6, "Grid nodes", "GN"),
 ]
 
 # Compliance identifiers by framework.
 COMPLIANCE_DETECTORS = [
     _code("pci_dss", "card_data", r"\b4[0-9]{12}(?:[0-9]{3})?\b", "identity_context", 2.0, "Payment card data"),
-    _code("pci_dss", "cardholder_data", r"\bCHD[0-9]{6,10}\b", "identity_context", 1.8, "Cardholder data"),
-    _code("sox", "financial_control", r"\bFC[0-9]{4,8}\b", "application_telemetry", 1.5, "Financial controls"),
-    _code("sox", "audit_trail", r"\bAT[0-9]{6,10}\b", "application_telemetry", 1.6, "Audit trails"),
+    _code("pci_dss", "cardholder_data", r"\bCHD[0-9]{6,10}\b", "identity_context", 1.8, "Cardholder data", "CHD"),
+    _code("sox", "financial_control", r"\bFC[0-9]{4,8}\b", "application_telemetry", 1.5, "Financial controls", "FC"),
+    _code("sox", "audit_trail", r"\bAT[0-9]{6,10}\b", "application_telemetry", 1.6, "Audit trails", "AT"),
     _code("gdpr", "eu_citizen_id", r"\b[A-Z]{2}[0-9]{6,12}\b", "identity_context", 1.7, "EU citizen IDs"),
-    _code("gdpr", "consent_record", r"\bCON[0-9A-F]{8,12}\b", "identity_context", 1.5, "Consent records"),
+    _code("gdpr", "consent_record", r"\bCON[0-9A-F]{8,12}\b", "identity_context", 1.5, "Consent records", "CON"),
 ]
 
 # Loose host, network and platform matchers. Off by default, they match much.
@@ -161,6 +161,9 @@ FORMATS = {
     "phone": r"^\+?1?[-.\s]?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}$",
 }
 FORMAT_SHARE = 0.8
+# Shortest and longest text each format can have, and a literal it has to hold.
+FORMAT_LENGTHS = {"email": (6, None), "ip_address": (7, 15), "uuid": (36, 36), "timestamp": (19, None), "url": (8, None), "phone": (10, 17)}
+FORMAT_NEEDS = {"email": "@", "ip_address": ".", "timestamp": "-", "url": "://"}
 
 # Words in a column name that mark a time column.
 TIME_WORDS = ["time", "date", "timestamp", "created", "modified"]

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.functions.columns import like_any, qualified, stacked
+from sightline.functions.columns import like_any, qualified
 from sightline.functions.rules import SCRATCH_TABLES, SYSTEM_SCHEMAS
 from sightline.operators.sampling import top_per_group
 
@@ -52,16 +52,17 @@ def table_stats(tables: Mapping[str, DataFrame], size_columns: Mapping[str, Sequ
 
 def measured_columns(dataset: str, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Catalog rows of the given tables with row and value counts, one aggregate per table."""
-    parts = []
+    parts, described = [], []
     for name, df in tables.items():
-        fields = df.schema.fields
-        counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{f.name}`")).alias(f"_c{i}") for i, f in enumerate(fields)])
-        rows = [
-            (dataset, name, f.name, F.lit(i + 1), f.dataType.simpleString(), F.lit(f.nullable), F.col("_n"), F.col(f"_c{i}"))
-            for i, f in enumerate(fields)
-        ]
-        parts.append(counts.select(stacked(["dataset", "table", "column", "ordinal", "data_type", "nullable", "n_rows", "n_values"], *rows)))
-    return reduce(DataFrame.unionByName, parts)
+        columns = df.schema.fields
+        counts = df.selectExpr("count(1) AS n_rows", *[f"count(`{f.name}`) AS `{f.name}`" for f in columns])
+        parts.append(counts.unpivot("n_rows", [f.name for f in columns], "column", "n_values").withColumn("table", F.lit(name)))
+        described += [(dataset, name, f.name, i, f.dataType.simpleString(), f.nullable) for i, f in enumerate(columns, 1)]
+    measured = reduce(DataFrame.unionByName, parts)
+    # One row of metadata per column, known to the driver.
+    schema = "dataset string, table string, column string, ordinal int, data_type string, nullable boolean"
+    catalog = measured.sparkSession.createDataFrame(described, schema)
+    return catalog.join(measured, ["table", "column"]).select("dataset", "table", "column", "ordinal", "data_type", "nullable", "n_rows", "n_values")
 
 
 def columns_per_table(catalog: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ a column with a third of all rows is spread over tasks by its matched values.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,17 +19,26 @@ from sightline.functions.rules import DEFAULT_REGIMES, DETECTORS, FAMILY_REGIMES
 KEYS = ["table", "column", "area", "detector"]
 MIN_CONFIDENCE = 0.3
 EVIDENCE = 5
+# What a pattern can start with: a class, a literal, or one of several words.
+FIRST_CHARACTER = re.compile(r"\\b(?:\(\?:)?(\[[^\]]+\](?![?*])|[A-Za-z0-9](?![?*{|]))")
+FIRST_WORDS = re.compile(r"\\b\(\?:([A-Za-z0-9|]+)\)")
 WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
 def java_pattern(detector: Detector, ignore_case: bool | None = None) -> str:
     r"""The pattern with outer `\b` as letter-aware look-arounds.
 
-    `\b` differs between Java versions where an accented letter touches the match.
+    `\b` differs between Java versions where an accented letter touches the match. The first
+    character is tested before the look-behind, which is the dearer test.
     """
     body = detector.pattern
     if body.startswith(r"\b"):
-        body = WORD_START + body[2:]
+        words, first = FIRST_WORDS.match(body), FIRST_CHARACTER.match(body)
+        if words:
+            start = "[" + "".join(sorted({w[0] for w in words.group(1).split("|")})) + "]"
+        else:
+            start = first.group(1) if first else None
+        body = (f"(?={start})" if start else "") + WORD_START + body[2:]
     if body.endswith(r"\b"):
         body = body[:-2] + WORD_END
     return ("(?i)" if (detector.ignore_case if ignore_case is None else ignore_case) else "") + body
@@ -39,7 +49,10 @@ def found_in(text: Column, detector: Detector, limit: int | None = None, ignore_
     hits = F.regexp_extract_all(text, F.lit(java_pattern(detector, ignore_case)), F.lit(0))
     if limit:
         hits = F.slice(hits, 1, limit)
-    return F.when(text.contains(detector.needs), hits) if detector.needs else hits
+    letters = any(c.isalpha() for c in detector.needs)
+    exact_case = not (detector.ignore_case if ignore_case is None else ignore_case)
+    usable = detector.needs and (exact_case or not letters)
+    return F.when(text.contains(detector.needs), hits) if usable else hits
 
 
 def match_counts(fragments: DataFrame, detectors: Sequence[Detector] = DETECTORS, per_fragment: int | None = None) -> DataFrame:

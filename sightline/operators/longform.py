@@ -26,6 +26,16 @@ def flat_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, NESTED)]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer files than the cluster has cores, dealt out to all cores.
+
+    A file of one row group is read by one task, which would run every pattern alone. Larger
+    tables stay as they are and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def to_long(df: DataFrame, table: str, key: str | None = None, columns: Sequence[str] | None = None,
             keep_nulls: bool = False, per_column: int | None = None) -> DataFrame:
     """One row per cell as text. `per_column` is the optional sampling cap of a quick scan."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.columns import band, contains_any, percent, stacked
-from sightline.functions.rules import DEFAULT_RELEVANCE, FORMAT_SHARE, FORMATS, REQUIREMENTS, SEMANTIC_PATTERNS, SEMANTIC_RELEVANCE, TIME_WORDS
+from sightline.functions.rules import DEFAULT_RELEVANCE, FORMAT_LENGTHS, FORMAT_NEEDS, FORMAT_SHARE, FORMATS, REQUIREMENTS, SEMANTIC_PATTERNS, SEMANTIC_RELEVANCE, TIME_WORDS
 from sightline.operators.sampling import top_per_group
 
 COLUMN = ["table", "column"]
@@ -20,18 +20,33 @@ LONG_TEXT = 64
 NUMERIC_TYPES = ["tinyint", "smallint", "int", "bigint", "float", "double"]
 
 
+def matches_format(value: Column, name: str, pattern: str) -> Column:
+    """Format test; the length decides most values before the pattern runs."""
+    shortest, longest = FORMAT_LENGTHS.get(name, (0, None))
+    fits = F.length(value) >= shortest if longest is None else F.length(value).between(shortest, longest)
+    if name in FORMAT_NEEDS:
+        fits = fits & value.contains(FORMAT_NEEDS[name])
+    return F.when(value.isNotNull(), F.when(fits, value.rlike(pattern)).otherwise(False))
+
+
 def value_groups(long: DataFrame, formats: Mapping[str, str] = FORMATS) -> DataFrame:
-    """One row per column and distinct value (or NULL): count, length, formats matched."""
+    """One row per column and distinct value (or NULL): count, length, formats matched.
+
+    Short values are tested for their format after they are grouped, once per distinct value;
+    long ones before, because only their digest is kept.
+    """
     value = F.col("value")
     is_long = F.length(value) > LONG_TEXT
-    return (
+    flags = {f"_f_{n}": (n, p) for n, p in formats.items()}
+    grouped = (
         long.select(
             *COLUMN, F.when(is_long, F.md5(value)).otherwise(value).alias("_key"), F.length(value).alias("_len"),
-            *[value.rlike(p).alias(f"_f_{n}") for n, p in formats.items()],
+            *[F.when(is_long, matches_format(value, n, p)).alias(f) for f, (n, p) in flags.items()],
         )
-        .groupBy(*COLUMN, "_key", "_len", *[f"_f_{n}" for n in formats])
+        .groupBy(*COLUMN, "_key", "_len", *flags)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    return grouped.withColumns({f: F.coalesce(F.col(f), matches_format(F.col("_key"), n, p)) for f, (n, p) in flags.items()})
 
 
 def column_stats(groups: DataFrame, formats: Mapping[str, str] = FORMATS) -> DataFrame:

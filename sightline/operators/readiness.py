@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import rules
-from sightline.functions.columns import band, cases, lookup, percent, qualified, stacked
+from sightline.functions.columns import band, lookup, percent, qualified, stacked
 from sightline.operators.ops import error_category
 
 READINESS_HIGH = 0.7  # reached counts
@@ -161,16 +161,20 @@ def key_findings(results: DataFrame, ready: DataFrame) -> DataFrame:
 
 def compliance_frameworks(ready: DataFrame, by: Sequence[str] = (), frameworks: Mapping[str, Sequence[str]] = rules.FRAMEWORKS, to_area: Mapping[str, str] = rules.REQUIREMENT_TO_AREA) -> DataFrame:
     """Per framework: requirements met by a ready or partly ready area, score, status, gaps."""
-    pairs = stacked(["framework", "requirement", "position", "_area"], *[(f, r, F.lit(i), to_area.get(r, "")) for f, rs in frameworks.items() for i, r in enumerate(rs)])
-    joined = ready.select(*by, "area", "status", pairs).filter(F.col("area") == F.col("_area"))
-    met = F.col("status").isin("READY", "PARTIAL")
-    gap = F.sort_array(F.collect_list(F.when(~met, F.struct("position", "requirement"))))
-    grouped = joined.groupBy(*by, "framework").agg(F.count_if(met).alias("met_requirements"), gap.alias("_gaps"))
-    n_met, total = F.col("met_requirements"), cases([(F.col("framework") == f, F.lit(len(rs))) for f, rs in frameworks.items()], F.lit(0))
-    return grouped.withColumn("total_requirements", total).select(
+    areas = sorted({to_area[r] for rs in frameworks.values() for r in rs if r in to_area})
+    usable = F.col("status").isin("READY", "PARTIAL")
+    wide = ready.groupBy(*by).agg(*[F.coalesce(F.max(F.when(F.col("area") == a, usable)), F.lit(False)).alias(f"_{a}") for a in areas])
+    met = lambda r: F.col(f"_{to_area[r]}") if r in to_area else F.lit(False)
+    rows = [
+        (f, sum((met(r).cast("int") for r in rs), F.lit(0)).cast("bigint"), F.lit(len(rs)).cast("bigint"), F.array_compact(F.array(*[F.when(~met(r), F.lit(r)) for r in rs])))
+        for f, rs in frameworks.items()
+    ]
+    n_met = F.col("met_requirements")
+    listed = wide.select(*by, stacked(["framework", "met_requirements", "total_requirements", "gaps"], *rows))
+    return listed.select(
         *by, "framework", percent(n_met, "total_requirements").alias("score"),
         F.when(n_met == F.col("total_requirements"), "COMPLIANT").when(n_met > 0, "PARTIAL").otherwise("NON_COMPLIANT").alias("status"),
-        "met_requirements", "total_requirements", F.transform("_gaps", lambda g: g["requirement"]).alias("gaps"),
+        "met_requirements", "total_requirements", "gaps",
     )
 
 

@@ -25,7 +25,7 @@ PLAIN_TEXT = {"email", "domain_user", "api_endpoint", "url_path"}
 
 def long_form(spark, base):
     load = loader(spark, base)
-    parts = [lf.to_long(load(t), t, key, cols) for t, (key, cols) in SCANNED.items()]
+    parts = [lf.to_long(lf.spread(load(t).select(key, *cols)), t, key, cols) for t, (key, cols) in SCANNED.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

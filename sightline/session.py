@@ -30,6 +30,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .appName("sightline")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )

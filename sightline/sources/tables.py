@@ -17,7 +17,15 @@ def read_table(spark: SparkSession, name: str, base: str | None = None) -> DataF
 
 
 def loader(spark: SparkSession, base: str | None = None) -> Loader:
-    return lambda name: read_table(spark, name, base)
+    """Reads tables by name, each one only once."""
+    known: dict[str, DataFrame] = {}
+
+    def load(name: str) -> DataFrame:
+        if name not in known:
+            known[name] = read_table(spark, name, base)
+        return known[name]
+
+    return load
 
 
 def load_stage(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json") -> DataFrame:
