@@ -101,12 +101,14 @@ def _themes(spark, base):
     return scored.select("doc_id", F.array_join(F.transform("labels", lambda s: s["label"]), "|").alias("themes"), F.round(F.col("labels")[0]["score"], 6).alias("best_score"))
 
 
+def _field_texts(spark, base):
+    samples = prof.sample_values(_long(spark, base, True), 10)
+    return samples.select("table", "column", cls.text_for_scoring("column", "samples").alias("text"))
+
+
 def _field_content(spark, base):
-    long = lf.to_long(loader(spark, base)("events"), "events", "event_id", ["event_type", "props"]).unionByName(_asset_long(spark, base))
-    samples = prof.sample_values(long.withColumn("row_id", F.coalesce("row_id", "value")), 10)
-    text = samples.withColumn("text", cls.text_for_scoring("column", "samples"))
-    scored = cls.score_labels(text, "text", rules.CONTENT_LABELS, 1)
-    return scored.select("table", "column", "text", F.col("labels")[0]["label"].alias("content_class"))
+    scored = cls.score_labels(_field_texts(spark, base), "text", rules.CONTENT_LABELS, 1)
+    return scored.select("table", "column", F.md5("text").alias("text_digest"), F.col("labels")[0]["label"].alias("content_class"))
 
 
 def _name_clusters(spark, base):
@@ -200,6 +202,7 @@ QUERIES = {
     "field_clusters": _name_clusters,
     "embedding_clusters": lambda spark, base: cls.cluster_arrays(loader(spark, base)("embeddings"), "embedding").groupBy("cluster").agg(F.count(F.lit(1)).alias("n")),
     "text_themes": _themes,
+    "field_texts": lambda spark, base: _field_texts(spark, base).withColumn("text", F.md5("text")),
     "field_content_class": _field_content,
 }
 
@@ -320,6 +323,30 @@ def _overlap(text, label):
 _THEME_LIST = "[" + ", ".join(f"{{'s': {_overlap('text', t)}, 'p': {-i}, 'l': '{t}'}}" for i, t in enumerate(rules.THEME_LABELS)) + "]"
 _CONTENT_LIST = "[" + ", ".join(f"{{'s': {_overlap('text', t)}, 'p': {-i}, 'l': '{t}'}}" for i, t in enumerate(rules.CONTENT_LABELS)) + "]"
 
+FIELD_TEXTS = f"""l AS ({_long_sql()}), ft AS (SELECT tbl, col, substr(concat(col, ' ', string_agg(v, ' ' ORDER BY row_id, v)), 1, 500) AS text FROM (
+  SELECT *, row_number() OVER (PARTITION BY tbl, col ORDER BY row_id, v) AS rn FROM l WHERE v IS NOT NULL) WHERE rn <= 10 GROUP BY tbl, col)"""
+
+
+def _catalog_profile_sql():
+    """Quality and column lists of all driver tables; nested columns only count for the shape."""
+    stats = []
+    for t, spec in TABLES.items():
+        for c, k in columns(spec):
+            if k.startswith("array"):
+                continue
+            text = f"count(DISTINCT {c}), avg(length({c})), stddev_samp(length({c}))" if k == "string" else "NULL, NULL, NULL"
+            stats.append(f"SELECT '{t}' AS tbl, '{c}' AS col, '{k}' AS kind, count(*) AS n, count(*) - count({c}) AS n_null, {text} FROM {t}")
+    shape = ", ".join(f"('{t}', {len(columns(spec))})" for t, spec in TABLES.items())
+    listed = lambda test: f"coalesce(string_agg(CASE WHEN {test} THEN col END, '|' ORDER BY col), '')"
+    return f"""WITH s(tbl, col, kind, n, n_null, d, m, sd) AS ({" UNION ALL ".join(stats)}),
+      g AS (SELECT tbl, 1 - sum(n_null) / sum(n) AS completeness, avg(CASE WHEN kind = 'string' AND sd IS NOT NULL THEN CASE WHEN m > 0 THEN least(1 - sd / m, 1.0) ELSE 0.0 END END) AS consistency,
+        {listed(_any('lower(col)', rules.TIME_WORDS))} AS temporal_patterns, {listed("kind = 'string' AND d < n * 0.5")} AS categorical_patterns,
+        {listed("kind IN ('int', 'bigint', 'double')")} AS numerical_patterns FROM s GROUP BY tbl)
+      SELECT tbl AS "table", n_columns, CASE WHEN n_columns > 20 THEN 'wide_table' WHEN n_columns < 5 THEN 'narrow_table' ELSE 'standard_table' END AS table_structure,
+        round(completeness, 6) AS completeness, round(consistency, 6) AS consistency, round(coalesce((completeness + consistency) / 2, completeness), 6) AS overall_score,
+        temporal_patterns, categorical_patterns, numerical_patterns FROM g JOIN (VALUES {shape}) h(t, n_columns) ON h.t = g.tbl"""
+
+
 ORACLES = {
     "catalog_columns": _cat('SELECT ds AS "dataset", tbl AS "table", col AS "column", ordinal, data_type, n_rows, n_values FROM cat'),
     "table_stats": " UNION ALL ".join(
@@ -378,4 +405,7 @@ ORACLES = {
       + ", ".join(f"{e} AS {n}" for n, e in MEANING_SQL.items()) + f", concat('enhances ', log_role, ' operational visibility') AS efficiency, {RELATED} AS related_roles FROM r").replace("\nSELECT", f",\nr AS (SELECT *, {ROLE} AS log_role FROM cat)\nSELECT", 1),
     "text_themes": f"""SELECT doc_id, array_to_string(list_transform(list_reverse_sort({_THEME_LIST})[1:3], lambda s: s.l), '|') AS themes,
       round(list_reverse_sort({_THEME_LIST})[1].s, 6) AS best_score FROM documents""",
+    "field_texts": f'WITH {FIELD_TEXTS} SELECT tbl AS "table", col AS "column", md5(text) AS text FROM ft',
+    "field_content_class": f'WITH {FIELD_TEXTS} SELECT tbl AS "table", col AS "column", md5(text) AS text_digest, list_reverse_sort({_CONTENT_LIST})[1].l AS content_class FROM ft',
+    "catalog_profile": _catalog_profile_sql(),
 }

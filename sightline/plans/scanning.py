@@ -105,8 +105,8 @@ def _counts_sql(detectors, long=LONG_SQL, limit=None):
     return _matches_sql(detectors, long, limit) + """ SELECT tbl AS "table", col AS "column", area, detector, m AS match, count(*) AS n FROM h GROUP BY tbl, col, area, detector, m"""
 
 
-def _score_ctes(detectors, threshold):
-    return _matches_sql(detectors) + f""",
+def _score_ctes(detectors, threshold, long=LONG_SQL):
+    return _matches_sql(detectors, long) + f""",
       d AS (SELECT tbl, col, area, detector, count(DISTINCT m) AS n_distinct, list_sort(list(DISTINCT m))[1:5] AS ev FROM h GROUP BY tbl, col, area, detector),
       f AS (SELECT tbl, col, count(*) AS n_fragments FROM l GROUP BY tbl, col),
       s AS (SELECT d.*, n_fragments, least(n_distinct / greatest(0.01 * n_fragments, 1.0), 1.0) AS confidence FROM d JOIN f USING (tbl, col)),
@@ -159,7 +159,15 @@ QUERIES = {
     "recommended_patterns": lambda spark, base: det.recommended_patterns(_scores(spark, base)),
 }
 
+# Props is the one JSON column; no value of the scanned columns is well-formed XML or base64.
+JSON_SQL = """SELECT 'events' AS tbl, 'props' AS col, CAST(event_id AS VARCHAR) AS row_id, unnest(json_keys(props)) AS value FROM events
+  UNION ALL SELECT 'events', 'props', CAST(event_id AS VARCHAR), json_extract_string(props, '$.' || k) FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"""
+EXPANDED_SQL = f"{LONG_SQL} UNION ALL {JSON_SQL}"
+
 ORACLES = {
+    "fragment_counts": f"""SELECT tbl AS "table", col AS "column", 'raw' AS origin, count(*) AS n_fragments FROM ({LONG_SQL}) GROUP BY tbl, col
+      UNION ALL SELECT tbl, col, 'json', count(*) FROM ({JSON_SQL}) GROUP BY tbl, col""",
+    "detections_expanded": _score_ctes(DETECTORS, 0.3, EXPANDED_SQL) + FLAT_SQL,
     "read_whole_table": "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer",
     "sample_rows": f"""SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer
       WHERE substr(md5(CAST(c_custkey AS VARCHAR)), 1, 5) < '{int(0.1 * 16**5):05x}' ORDER BY c_custkey LIMIT 500""",

@@ -83,3 +83,8 @@ ORACLES = {
     "stream_audit_trail": "SELECT user_id, event_type AS action, count(*) AS n_actions, epoch_us(min(ts)) AS first_at, epoch_us(max(ts)) AS last_at FROM events GROUP BY 1, 2",
 }
 ORACLES["stream_live_detections"] = """WITH l AS (SELECT ts, concat('GET /api/', event_type, '/', user_id, ' ', 200 + event_id % 4 * 100, ' from 10.0.', user_id % 256, '.', event_id % 256) AS line FROM events) """ + ORACLES["stream_live_detections"]
+# With a limit of one a request is admitted when the last admitted one is an hour old.
+ORACLES["stream_admissions"] = """WITH RECURSIVE e AS (SELECT user_id AS u, event_type AS k, event_id AS i, ts FROM events),
+  a AS (SELECT u, k, min((ts, i)) AS at FROM e GROUP BY u, k
+    UNION ALL SELECT e.u, e.k, min((e.ts, e.i)) FROM a JOIN e ON e.u = a.u AND e.k = a.k AND e.ts >= struct_extract_at(a.at, 1) + INTERVAL 1 HOUR GROUP BY e.u, e.k)
+  SELECT e.u AS user_id, e.k AS event_type, e.i AS event_id, a.u IS NOT NULL AS admitted FROM e LEFT JOIN a ON a.u = e.u AND a.k = e.k AND struct_extract_at(a.at, 2) = e.i"""
