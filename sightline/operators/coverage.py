@@ -33,10 +33,15 @@ def has_logging(sources: Sequence[Source] = SOURCES) -> Column:
     return any_present([s.host for s in sources])
 
 
-def distinct_counts(df: DataFrame, dims: Sequence[Column], key: Column | str, flags: Mapping[str, Column], total: str) -> DataFrame:
-    """Per group: distinct keys, and distinct keys with each flag on at least one row."""
+def distinct_counts(df: DataFrame, dims: Sequence[Column], key: Column | str, flags: Mapping[str, Column], total: str, approx: bool = False) -> DataFrame:
+    """Per group: distinct keys, and distinct keys with each flag on at least one row.
+
+    `approx` counts with sketches instead, which shuffles one small row per task and group.
+    """
     names = [f"_d{i}" for i in range(len(dims))]
     rows = df.select(*[d.alias(n) for d, n in zip(dims, names)], as_col(key).alias("_key"), *[f.cast("int").alias(n) for n, f in flags.items()])
+    if approx:
+        return rows.groupBy(*names).agg(F.approx_count_distinct("_key").alias(total), *[F.approx_count_distinct(F.when(F.col(n) == 1, F.col("_key"))).alias(n) for n in flags])
     per_key = rows.groupBy(*names, "_key").agg(F.count(F.lit(1)).alias("_n"), *[F.max(n).alias(n) for n in flags])
     return per_key.groupBy(*names).agg(
         F.count("_key").alias(total),
@@ -44,16 +49,16 @@ def distinct_counts(df: DataFrame, dims: Sequence[Column], key: Column | str, fl
     )
 
 
-def coverage_of(assets: DataFrame, key: str = "hostname", sources: Sequence[Source] = SOURCES) -> DataFrame:
+def coverage_of(assets: DataFrame, key: str = "hostname", sources: Sequence[Source] = SOURCES, approx: bool = False) -> DataFrame:
     """One row: distinct keys, distinct keys seen by any source, percent."""
-    counts = distinct_counts(assets.filter(F.col(key).isNotNull()), [], key, {"with_logging": has_logging(sources)}, "total")
+    counts = distinct_counts(assets.filter(F.col(key).isNotNull()), [], key, {"with_logging": has_logging(sources)}, "total", approx)
     return counts.withColumn("coverage_percentage", percent("with_logging", "total"))
 
 
-def coverage_by(assets: DataFrame, dim: str, alias: str | None = None, sources: Sequence[Source] = SOURCES) -> DataFrame:
+def coverage_by(assets: DataFrame, dim: str, alias: str | None = None, sources: Sequence[Source] = SOURCES, approx: bool = False) -> DataFrame:
     """Coverage of distinct hosts within each value of one dimension, best covered first."""
     alias = alias or dim
-    counts = distinct_counts(assets, [F.col(dim)], "hostname", {"assets_with_logging": has_logging(sources)}, "total_assets")
+    counts = distinct_counts(assets, [F.col(dim)], "hostname", {"assets_with_logging": has_logging(sources)}, "total_assets", approx)
     return counts.select(
         or_unknown("_d0").alias(alias), "total_assets", "assets_with_logging",
         percent("assets_with_logging", "total_assets").alias("coverage_percentage"),

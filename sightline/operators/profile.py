@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.columns import band, contains_any, percent, stacked
 from sightline.functions.rules import DEFAULT_RELEVANCE, FORMAT_LENGTHS, FORMAT_NEEDS, FORMAT_SHARE, FORMATS, REQUIREMENTS, SEMANTIC_PATTERNS, SEMANTIC_RELEVANCE, TIME_WORDS
-from sightline.operators.sampling import top_per_group
+from sightline.operators.sampling import small_side, top_per_group
 
 COLUMN = ["table", "column"]
 LONG_TEXT = 64
@@ -165,16 +165,22 @@ def value_visibility(df: DataFrame, column: str) -> DataFrame:
 def field_meaning(long: DataFrame, sampled: int = 100, scored: int = 10) -> DataFrame:
     """Semantic type of each column from its name and some of its distinct values.
 
-    A type scores one point per pattern match in the name and in each of the first values,
-    every value tested on its own; the best type wins, the earlier declared on a tie.
+    A type scores one point per pattern match in the name and in each of the scored values,
+    every value tested on its own; the best type wins, the earlier declared on a tie. Values
+    are sampled in the order of their digests, so that only digests are shuffled; the texts
+    of the few scored values are tested where they are read.
     """
-    distinct = long.filter(F.col("value").isNotNull()).select(*COLUMN, "value").distinct()
-    ranked = distinct.withColumn("_rn", F.row_number().over(Window.partitionBy(*COLUMN).orderBy("value"))).filter(F.col("_rn") <= sampled)
+    digests = long.filter(F.col("value").isNotNull()).select(*COLUMN, F.md5("value").alias("_d"))
+    order = Window.partitionBy(*COLUMN).orderBy("_d")
+    ranked = digests.distinct().withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= sampled)
+    chosen = small_side(ranked)
     points = lambda text, patterns: sum((F.regexp_count(text, F.lit("(?i)" + p)) for p in patterns), F.lit(0))
-    sums = ranked.groupBy(*COLUMN).agg(
-        F.count(F.lit(1)).alias("sample_count"),
-        *[F.sum(F.when(F.col("_rn") <= scored, points(F.col("value"), p)).otherwise(0)).alias(f"_p_{t}") for t, p in SEMANTIC_PATTERNS.items()],
+    tested = (
+        long.withColumn("_d", F.md5("value")).join(chosen.filter(F.col("_rn") <= scored).drop("_rn"), [*COLUMN, "_d"])
+        .groupBy(*COLUMN, "_d").agg(*[F.max(points(F.col("value"), p)).alias(f"_p_{t}") for t, p in SEMANTIC_PATTERNS.items()])
+        .groupBy(*COLUMN).agg(*[F.sum(f"_p_{t}").alias(f"_p_{t}") for t in SEMANTIC_PATTERNS])
     )
+    sums = tested.join(chosen.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("sample_count")), COLUMN)
     candidates = [
         F.struct((F.col(f"_p_{t}") + points(F.col("column"), p)).alias("score"), F.lit(-i).alias("priority"), F.lit(t).alias("type"))
         for i, (t, p) in enumerate(SEMANTIC_PATTERNS.items())

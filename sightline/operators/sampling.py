@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.columns import digest
+from sightline.session import ensure_checkpoint_dir
 
 HEX = 5  # digits of the key digest a rate is compared with
 
@@ -31,3 +32,11 @@ def top_per_group(df: DataFrame, group: list[str], order: list, k: int) -> DataF
     """First k rows of each group; the rank limit is applied before the shuffle as well."""
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return ranked.filter(F.col("_rn") <= k).drop("_rn")
+
+
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A join side that is usually small: written down, counted, and marked for broadcast only
+    when it really is; otherwise it takes part in an ordinary shuffled join."""
+    ensure_checkpoint_dir(df.sparkSession)
+    stage = df.checkpoint()
+    return F.broadcast(stage) if stage.count() <= max_rows else stage

@@ -300,7 +300,7 @@ def _points(text, patterns):
 
 
 _FIELDS = "l AS (" + " UNION ALL ".join(f"SELECT 'assets' AS tbl, '{c}' AS col, {c} AS v FROM assets WHERE {c} IS NOT NULL" for c in _TEXTS) + """),
-u AS (SELECT tbl, col, v, row_number() OVER (PARTITION BY tbl, col ORDER BY v) AS rn FROM (SELECT DISTINCT tbl, col, v FROM l)),
+u AS (SELECT tbl, col, v, row_number() OVER (PARTITION BY tbl, col ORDER BY md5(v)) AS rn FROM (SELECT DISTINCT tbl, col, v FROM l)),
 w AS (SELECT tbl, col, count(*) FILTER (WHERE rn <= 100) AS sample_count, """ + ", ".join(
     f"sum(CASE WHEN rn <= 10 THEN {_points('v', p)} ELSE 0 END) + any_value({_points('col', p)}) AS p_{t}" for t, p in rules.SEMANTIC_PATTERNS.items()) + """ FROM u GROUP BY tbl, col),
 x AS (SELECT *, greatest(""" + ", ".join(f"p_{t}" for t in rules.SEMANTIC_PATTERNS) + """) AS best FROM w),
@@ -342,7 +342,7 @@ def _catalog_profile_sql():
       g AS (SELECT tbl, 1 - sum(n_null) / sum(n) AS completeness, avg(CASE WHEN kind = 'string' AND sd IS NOT NULL THEN CASE WHEN m > 0 THEN least(1 - sd / m, 1.0) ELSE 0.0 END END) AS consistency,
         {listed(_any('lower(col)', rules.TIME_WORDS))} AS temporal_patterns, {listed("kind = 'string' AND d < n * 0.5")} AS categorical_patterns,
         {listed("kind IN ('int', 'bigint', 'double')")} AS numerical_patterns FROM s GROUP BY tbl)
-      SELECT tbl AS "table", n_columns, CASE WHEN n_columns > 20 THEN 'wide_table' WHEN n_columns < 5 THEN 'narrow_table' ELSE 'standard_table' END AS table_structure,
+      SELECT tbl AS "table", CAST(n_columns AS BIGINT) AS n_columns, CASE WHEN n_columns > 20 THEN 'wide_table' WHEN n_columns < 5 THEN 'narrow_table' ELSE 'standard_table' END AS table_structure,
         round(completeness, 6) AS completeness, round(consistency, 6) AS consistency, round(coalesce((completeness + consistency) / 2, completeness), 6) AS overall_score,
         temporal_patterns, categorical_patterns, numerical_patterns FROM g JOIN (VALUES {shape}) h(t, n_columns) ON h.t = g.tbl"""
 
@@ -377,8 +377,8 @@ ORACLES = {
       coalesce(string_agg(CASE WHEN n_distinct < n_rows * 0.5 THEN col END, '|' ORDER BY col), '') AS categorical_patterns, '' AS numerical_patterns FROM q GROUP BY tbl""",
     "table_quality": f'WITH {_QUALITY} SELECT "table", round(completeness, 6) AS completeness, round(consistency, 6) AS consistency, round(overall_score, 6) AS overall_score FROM h',
     "mean_quality": f"WITH {_QUALITY} SELECT round(avg(CASE WHEN overall_score > 0 THEN overall_score END), 6) AS mean_quality, count(*) AS n_tables FROM h",
-    "field_meaning": _field_sql('SELECT tbl AS "table", col AS "column", semantic_type, round(confidence, 6) AS confidence, sample_count, relevance, quality_score FROM f'),
-    "fields_for_requirements": _field_sql('SELECT requirement, rank, tbl AS "table", col AS "column", semantic_type, round(score, 6) AS score FROM ch'),
+    "field_meaning": _field_sql('SELECT tbl AS "table", col AS "column", semantic_type, round(confidence, 6) AS confidence, sample_count, CAST(relevance AS DOUBLE) AS relevance, CAST(quality_score AS DOUBLE) AS quality_score FROM f'),
+    "fields_for_requirements": _field_sql('SELECT requirement, CAST(rank AS INT) AS rank, tbl AS "table", col AS "column", semantic_type, round(score, 6) AS score FROM ch'),
     "requirement_reports": _field_sql("""SELECT requirement, tbl AS "table", col AS "column", value, total_count,
       CASE WHEN requirement = 'asset_coverage' THEN round(100.0 * total_count / tot, 2) END AS percentage,
       CASE WHEN requirement = 'network_visibility' THEN CASE WHEN total_count > 10 THEN 'High Visibility' WHEN total_count > 5 THEN 'Medium Visibility' ELSE 'Low Visibility' END END AS visibility_level
@@ -386,7 +386,7 @@ ORACLES = {
         row_number() OVER (PARTITION BY requirement ORDER BY count(*) DESC, l.v) AS rn FROM ch JOIN l ON l.tbl = ch.tbl AND l.col = ch.col WHERE rank = 1 GROUP BY requirement, l.tbl, l.col, l.v)
       WHERE requirement IN ('security_controls', 'network_visibility') OR rn <= CASE WHEN requirement = 'asset_coverage' THEN 10 ELSE 20 END"""),
     "analysis_summary": _field_sql("SELECT (SELECT count(*) FROM f) AS total_fields, (SELECT count(*) FROM f WHERE relevance > 0.7) AS high_relevance_fields, (SELECT count(DISTINCT requirement) FROM ch) AS queries_built"),
-    "top_fields": _field_sql('SELECT tbl AS "table", col AS "column", semantic_type, relevance FROM f ORDER BY relevance DESC, tbl, col LIMIT 10'),
+    "top_fields": _field_sql('SELECT tbl AS "table", col AS "column", semantic_type, CAST(relevance AS DOUBLE) AS relevance FROM f ORDER BY f.relevance DESC, tbl, col LIMIT 10'),
     "field_log_role": _rules_sql("log_role"),
     "field_log_type": _rules_sql("log_type"),
     "field_common_type": _rules_sql("common_field"),

@@ -189,7 +189,7 @@ ORACLES = {
     "jobs_of_user": with_views(SCAN_JOBS, body="SELECT id, total_tables, mappings_found FROM scan_jobs WHERE user_id = 7 AND status = 'completed'"),
     "job_progress": with_views(SCAN_JOBS, body="""SELECT id, status, processed_tables, total_tables, mappings_found, round(least(100.0 * processed_tables / greatest(total_tables, 1), 100.0), 6) AS progress_percentage,
       (total_tables - processed_tables) * 2 AS seconds_left FROM scan_jobs"""),
-    "latest_jobs": with_views(SCAN_JOBS, RECENT.format(k=50), body="SELECT user_id, recency, id, status FROM lj"),
+    "latest_jobs": with_views(SCAN_JOBS, RECENT.format(k=50), body="SELECT user_id, CAST(recency AS INT) AS recency, id, status FROM lj"),
     "latest_results": with_views(SCAN_JOBS, SCAN_RESULTS, RECENT.format(k=10), RESULTS, body="SELECT user_id, job_id, table_id, column_name, metric_type, round(confidence, 6) AS confidence FROM lr"),
     "area_means": with_views(SCAN_JOBS, SCAN_RESULTS, RECENT.format(k=10), RESULTS, body="SELECT user_id, metric_type, round(avg(confidence), 6) AS mean_confidence, count(*) AS n FROM lr GROUP BY 1, 2"),
     "dashboard_stats": with_views(SCAN_JOBS, RECENT.format(k=10), body="""SELECT user_id, count(*) AS total_scans, CAST(sum(CASE WHEN status = 'running' THEN 1 ELSE 0 END) AS BIGINT) AS active_scans,

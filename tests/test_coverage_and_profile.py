@@ -70,6 +70,12 @@ def test_coverage_shuffles_with_partial_aggregation(spark):
     assert "Expand" not in plan and "partial_" in plan
 
 
+def test_approximate_counts_are_close(spark):
+    df = spark.range(5000).select(F.concat(F.lit("h"), F.col("id")).alias("hostname"), F.lit("EU").alias("region"), F.when(F.col("id") % 2 == 0, "x").alias("a_host"), F.lit(None).cast("string").alias("b_host"), F.lit(None).cast("string").alias("c_host"))
+    row = cov.coverage_by(df, "region", approx=True).first()
+    assert abs(row["total_assets"] - 5000) < 500 and abs(row["coverage_percentage"] - 50) < 8
+
+
 def test_bands_at_the_bounds(spark):
     df = spark.createDataFrame([(0.8,), (0.7,), (0.3,)], "v double")
     pick = lambda inclusive: [r[0] for r in df.select(band("v", [(0.8, "a"), (0.7, "b")], "c", inclusive)).collect()]
