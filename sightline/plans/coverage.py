@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from sightline.operators import coverage as cov
 from sightline.plans.oracle_views import ASSETS, with_views
 from sightline.plans.registry import rounded
