@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import bpe, language_id
+from sightline.llm import bpe, language_id, quality_rules
 from sightline.llm.common import table
 from sightline.session import configure
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -24,6 +28,6 @@ def _configured(fn):
     return lambda spark, sf_dir: fn(configure(spark), sf_dir)
 
 
-QUERIES = {fn.__name__: _configured(fn) for fn in (op6_bpe, op10_language_id)}
+QUERIES = {fn.__name__: _configured(fn) for fn in (op4_quality_rules, op6_bpe, op10_language_id)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_quality_rules": quality_rules.sql()}
