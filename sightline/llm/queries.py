@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import bpe, language_id, quality_rules
+from sightline.llm import bpe, language_id, quality_rules, sharding
 from sightline.llm.common import table
 from sightline.session import configure
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards_of(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,6 @@ def _configured(fn):
     return lambda spark, sf_dir: fn(configure(spark), sf_dir)
 
 
-QUERIES = {fn.__name__: _configured(fn) for fn in (op4_quality_rules, op6_bpe, op10_language_id)}
+QUERIES = {fn.__name__: _configured(fn) for fn in (op1_sharding, op4_quality_rules, op6_bpe, op10_language_id)}
 
 ORACLES = {"op4_quality_rules": quality_rules.sql()}
