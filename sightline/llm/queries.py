@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import bpe, language_id, quality_rules, sharding, simhash_covering
+from sightline.llm import bpe, fm_index, language_id, quality_rules, sharding, simhash_covering
 from sightline.llm.common import table
 from sightline.session import configure
 
@@ -24,6 +24,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_covering.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,6 @@ def _configured(fn):
     return lambda spark, sf_dir: fn(configure(spark), sf_dir)
 
 
-QUERIES = {fn.__name__: _configured(fn) for fn in (op1_sharding, op4_quality_rules, op6_bpe, op9_simhash_covering, op10_language_id)}
+QUERIES = {fn.__name__: _configured(fn) for fn in (op1_sharding, op4_quality_rules, op6_bpe, op8_fm_index, op9_simhash_covering, op10_language_id)}
 
-ORACLES = {"op4_quality_rules": quality_rules.sql()}
+ORACLES = {"op4_quality_rules": quality_rules.sql(), "op8_fm_index": fm_index.SQL}
