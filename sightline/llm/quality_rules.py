@@ -18,14 +18,17 @@ EDGES = " \t\n\x0b\x0c\r"
 WINDOW = 5
 #: Common words of each language.
 COMMON_WORDS = (
-    "the of and to in a is that for it was on with as by be this are from or",
-    "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch",
-    "de la le et les des en un du une que est pour qui dans a par plus pas au",
-    "de la que el en y a los del se las por un para con no una su al lo",
+    "the of and to in that is for it with",
+    "der die und den das von zu mit nicht ist",
+    "de la le et les des en un que est",
+    "que el en y los del las por con para",
 )
 WORDS = sorted({w for line in COMMON_WORDS for w in line.split()})
-#: Character classes in the order in which they are taken out of the text; the rest is one more class.
-CLASSES = (r"[a-z]+", r"\p{Ll}+", SPACE, r"\p{Lu}+", r"[.,;:!?'\"()-]+", r"\p{N}+", r"\p{L}+")
+#: Character classes in the order in which they are taken out of the words; white space and the rest are two more.
+CLASSES = (r"[a-z]+", r"\p{Ll}+", r"\p{Lu}+", r"[.,;:!?'\"()-]+", r"\p{N}+", r"\p{L}+")
+#: A reference document has at most one symbol in so many characters.
+FEW_SYMBOLS = 50
+SYMBOLS = r"[#*$%&|<>]+"
 
 
 @dataclass(frozen=True)
@@ -35,14 +38,14 @@ class Guards:
     min_chars: int = 100
     min_words: int = 100
     class_distance: float = 0.3
-    word_distance: float = 0.32
+    word_distance: float = 0.28
 
 
-def measured(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+def measured(docs: DataFrame, text: str = "text", windows: bool = True) -> tuple[DataFrame, str]:
     """All columns and rows, with counts and both histograms in columns of a free prefix; and the prefix.
 
     A null text counts as empty. Every step is a column of its own, so that no step is worked
-    out twice.
+    out twice. Without `windows` the repeated words are left out.
     """
     p = free_prefix(docs)
     kept, c = list(docs.columns), lambda name: F.col(f"{p}{name}")
@@ -51,38 +54,50 @@ def measured(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
         return df.select(*[F.col(f"`{x}`") for x in kept], *[c(x) for x in keep.split()], *[v.alias(p + k) for k, v in made.items()])
 
     df = step(docs, "", text=F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    df = step(df, "text", trimmed=F.btrim(c("text"), F.lit(EDGES)))
-    none = F.array().cast("array<string>")
-    df = step(df, "text", words=F.when(F.length(c("trimmed")) == 0, none).otherwise(F.split(c("trimmed"), SPACE)), lines=F.filter(F.split(c("text"), "\n"), lambda x: F.length(F.btrim(x, F.lit(EDGES))) > 0))
+    spaced = c("text")
+    for x in EDGES[1:]:
+        spaced = F.replace(spaced, F.lit(x), F.lit(" "))
+    df = step(df, "text", words=F.array_remove(F.split(spaced, " "), ""), lines=F.filter(F.split(c("text"), "\n"), lambda x: F.length(F.btrim(x, F.lit(EDGES))) > 0))
     w = c("words")
     df = step(
-        df, "text",
+        df, "words",
         n_words=F.size(w).cast("long"),
         n_chars=F.length(c("text")).cast("long"),
-        word_chars=F.length(F.regexp_replace(c("text"), SPACE, "")).cast("long"),
-        n_symbols=(F.length(c("text")) - F.length(F.regexp_replace(c("text"), r"[#*$%&|<>]+", ""))).cast("long"),
         n_dup_lines=(F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long"),
-        windows=F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")),
         common=F.concat(F.lit(" "), F.array_join(F.filter(w, lambda x: x.isin(*WORDS)), "  "), F.lit(" ")),
+        joined=F.array_join(w, ""),
+        **({"hashed": F.transform(w, lambda x: F.xxhash64(x))} if windows else {}),
     )
-    done = "n_words n_chars word_chars n_symbols n_dup_lines"
-    # Windows in the order of their digests; only where one occurs twice.
-    order = F.when(F.size(c("windows")) == F.size(F.array_distinct(c("windows"))), None).otherwise(F.sort_array(F.transform(c("windows"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    done = "n_words n_chars n_dup_lines"
     common = F.array(*[((F.length(c("common")) - F.length(F.replace(c("common"), F.lit(f" {x} "), F.lit("")))) / (len(x) + 2)).cast("int") for x in WORDS])
-    df = step(df, done + " text", order=order, common=common)
+    df = step(df, done + " hashed" * windows, common=common, word_chars=F.length(c("joined")).cast("long"), rest=F.regexp_replace(c("joined"), CLASSES[0], ""))
+    done += " common word_chars"
+    df = step(df, done + " rest" + " hashed" * windows, class0=c("word_chars") - F.length(c("rest")), n_symbols=(F.length(c("rest")) - F.length(F.regexp_replace(c("rest"), SYMBOLS, ""))).cast("long"))
+    done += " class0 n_symbols"
+    for i, pattern in enumerate(CLASSES[1:], 1):
+        df = step(df, done + " hashed" * windows, before=F.length(c("rest")), rest=F.regexp_replace(c("rest"), pattern, ""))
+        df = step(df, done + " rest" + " hashed" * windows, **{f"class{i}": c("before") - F.length(c("rest"))})
+        done += f" class{i}"
+    classes = F.array(*[c(f"class{i}").cast("long") for i in range(len(CLASSES))], c("n_chars") - c("word_chars"), F.length(c("rest")).cast("long"))
+    done = "n_words n_chars n_dup_lines common word_chars n_symbols"
+    df = step(df, done + " hashed" * windows, classes=classes)
+    done += " classes"
+    if not windows:
+        return df, p
+    # Digests of two, four and five words, each put together from shorter ones.
+    for made, left, right, apart in (("two", "hashed", "hashed", 1), ("four", "two", "two", 2), ("five", "four", "hashed", WINDOW - 1)):
+        n = F.greatest(F.size(c("hashed")) - apart if left == "hashed" else F.size(c("hashed")) - (3 if made == "four" else WINDOW - 1), F.lit(0))
+        digests = F.zip_with(F.slice(c(left), F.lit(1), n), F.slice(c(right), F.lit(apart + 1), n), lambda a, b: F.xxhash64(a, b))
+        df = step(df, done + " hashed", **{made: digests})
+    # Windows in the order of their digests; only where one occurs twice.
+    order = F.when(F.size(c("five")) == F.size(F.array_distinct(c("five"))), None).otherwise(F.sort_array(F.transform(c("five"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    df = step(df, done, order=order)
     same = lambda k, other: F.coalesce(F.get(c("order"), k)["h"] == F.get(c("order"), other)["h"], F.lit(False))
     places = F.transform(c("order"), lambda x, k: F.when(same(k, k - 1) | same(k, k + 1), x["i"]))
-    df = step(df, done + " text common", places=F.sort_array(F.filter(places, lambda x: x.isNotNull())))
+    df = step(df, done, places=F.sort_array(F.filter(places, lambda x: x.isNotNull())))
     start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate(c("places"), start, lambda a, x: F.struct((a["n"] + F.least(F.lit(WINDOW), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
-    df = step(df, done + " common", n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long"), rest=c("text"))
-    done += " common n_repeat_words"
-    for i, pattern in enumerate(CLASSES):
-        df = step(df, done, before=F.length(c("rest")), rest=F.regexp_replace(c("rest"), pattern, ""))
-        df = step(df, done + " rest", **{f"class{i}": c("before") - F.length(c("rest"))})
-        done += f" class{i}"
-    n = len(CLASSES)
-    return step(df, "n_words n_chars word_chars n_symbols n_dup_lines n_repeat_words common", classes=F.array(*[c(f"class{i}") for i in range(n)], F.length(c("rest")))), p
+    return step(df, done, n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long")), p
 
 
 def free_prefix(docs: DataFrame) -> str:
@@ -110,18 +125,19 @@ def base_failed(p: str) -> Column:
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", guards: Guards = Guards()) -> list[tuple[list[float], list[float]]]:
-    """Mean histograms of each language over all documents that pass the base rules and are long enough.
+    """Mean histograms of each language over all documents that are long enough and have few symbols.
 
     One row per language comes to the driver. No such documents give no reference.
     """
     df = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where(F.col("lang").isNotNull())
-    df, p = measured(df)
-    good = ~base_failed(p) & (F.col(f"{p}n_chars") >= guards.min_chars) & (F.col(f"{p}n_words") >= guards.min_words)
+    df, p = measured(df, windows=False)
+    n_chars = F.col(f"{p}n_chars")
+    good = (n_chars >= guards.min_chars) & (F.col(f"{p}n_words") >= guards.min_words) & (FEW_SYMBOLS * F.col(f"{p}n_symbols") <= n_chars)
     classes, words = histograms(p)
     # Not a filter: the optimizer would move it below all steps and work each of them out again for it.
     df = df.select("lang", F.when(good, classes).alias("classes"), F.when(good, words).alias("words"))
     means = lambda name, n: F.array(*[F.avg(F.get(name, F.lit(i))) for i in range(n)]).alias(name)
-    rows = df.groupBy("lang").agg(means("classes", len(CLASSES) + 1), means("words", len(WORDS) + 1)).collect()
+    rows = df.groupBy("lang").agg(means("classes", len(CLASSES) + 2), means("words", len(WORDS) + 1)).collect()
     return [(list(r["classes"]), list(r["words"])) for r in sorted(rows) if r["classes"][0] is not None]
 
 
@@ -163,10 +179,10 @@ def judged(docs: DataFrame, refs: list[tuple[list[float], list[float]]], text: s
 def sql(guards: Guards = Guards()) -> str:
     """The verdict of every document in another engine's SQL."""
     words = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
-    rest = ["t"]
+    rest = ["array_to_string(words, '')"]
     for pattern in CLASSES:
         rest.append(f"regexp_replace({rest[-1]}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g')")
-    classes = ", ".join(f"len({a}) - len({b})" for a, b in zip(rest, rest[1:], strict=False)) + f", len({rest[-1]})"
+    classes = ", ".join(f"len({a}) - len({b})" for a, b in zip(rest, rest[1:], strict=False)) + f", len(t) - len({rest[0]}), len({rest[-1]})"
     part = "CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
     bits = lambda a, b: f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {part.format(a=f'{a}[i]', b=f'{b}[i]')} + {part.format(a=f'{b}[i]', b=f'{a}[i]')}))"
     return f"""
@@ -176,15 +192,15 @@ w AS (SELECT *, list_filter(string_split_regex(t, '{SPACE}'), lambda x: x <> '')
 win AS (SELECT rid, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS v FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, v) AS n FROM win) WHERE n > 1),
 rep AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM twice, range({WINDOW}) AS r(k) GROUP BY rid),
-base AS (SELECT w.rid, doc_id, lang, len(words) AS n_words, len(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars,
+base AS (SELECT w.rid, doc_id, lang, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars,
   len(t) - len(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words, len(t) AS n_chars, [{classes}] AS classes,
   list_transform({words}, lambda c: len(list_filter(words, lambda x: x = c))) AS common FROM w LEFT JOIN rep USING (rid)),
 flagged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   CASE WHEN n_chars >= {guards.min_chars} THEN list_transform(classes, lambda x: x / n_chars) END AS c,
   CASE WHEN n_words >= {guards.min_words} THEN list_transform(list_append(common, n_words - list_sum(common)), lambda x: x / n_words) END AS h FROM base),
-good AS (SELECT lang, c, h FROM flagged WHERE lang IS NOT NULL AND NOT base_failed AND c IS NOT NULL AND h IS NOT NULL),
-ref_c AS (SELECT lang, list(v ORDER BY i) AS rc FROM (SELECT lang, i, avg(c[i]) AS v FROM good, range(1, {len(CLASSES) + 2}) AS r(i) GROUP BY lang, i) GROUP BY lang),
+good AS (SELECT lang, c, h FROM flagged WHERE lang IS NOT NULL AND {FEW_SYMBOLS} * n_symbols <= n_chars AND c IS NOT NULL AND h IS NOT NULL),
+ref_c AS (SELECT lang, list(v ORDER BY i) AS rc FROM (SELECT lang, i, avg(c[i]) AS v FROM good, range(1, {len(CLASSES) + 3}) AS r(i) GROUP BY lang, i) GROUP BY lang),
 ref_h AS (SELECT lang, list(v ORDER BY i) AS rh FROM (SELECT lang, i, avg(h[i]) AS v FROM good, range(1, {len(WORDS) + 2}) AS r(i) GROUP BY lang, i) GROUP BY lang),
 far AS (SELECT rid, min(sqrt(greatest({bits('c', 'rc')} / 2, 0))) AS fc, min(sqrt(greatest({bits('h', 'rh')} / 2, 0))) AS fh
   FROM flagged, ref_c JOIN ref_h USING (lang) GROUP BY rid)
