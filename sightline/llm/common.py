@@ -66,9 +66,13 @@ def with_columns_in_arrow(df: DataFrame, inputs: list[str], outputs: dict[str, T
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most SLICE_BYTES of text in one column, one row at least."""
+    """Parts of a batch with at most SLICE_BYTES of text in one column, one row at least; the whole
+    batch if the column is no text."""
     if not batch.num_rows:
         return
+    if not pa.types.is_string(batch.column(column).type) and not pa.types.is_large_string(batch.column(column).type):
+        yield batch
+        return
     _, offsets = utf8(batch.column(column))
     start = 0
     while start < batch.num_rows:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import bpe, fm_index, html_wrappers, language_id, quality_rules, sharding, simhash_covering
+from sightline.llm import bpe, chat_trees, fm_index, html_wrappers, language_id, quality_rules, sharding, simhash_covering
 from sightline.llm.common import table
 from sightline.session import configure
 
@@ -20,6 +20,10 @@ def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.texts_of(table(spark, sf_dir, "pages"))
 
 
+def op3_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_trees.digests(table(spark, sf_dir, "conversations"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def _configured(fn):
     return lambda spark, sf_dir: fn(configure(spark), sf_dir)
 
 
-QUERIES = {fn.__name__: _configured(fn) for fn in (op1_sharding, op2_html_wrappers, op4_quality_rules, op6_bpe, op8_fm_index, op9_simhash_covering, op10_language_id)}
+QUERIES = {fn.__name__: _configured(fn) for fn in (op1_sharding, op2_html_wrappers, op3_chat_trees, op4_quality_rules, op6_bpe, op8_fm_index, op9_simhash_covering, op10_language_id)}
 
-ORACLES = {"op4_quality_rules": quality_rules.sql(), "op8_fm_index": fm_index.SQL}
+ORACLES = {"op3_chat_trees": chat_trees.SQL, "op4_quality_rules": quality_rules.sql(), "op8_fm_index": fm_index.SQL}
