@@ -63,12 +63,13 @@ def measured(docs: DataFrame, text: str = "text", windows: bool = True) -> tuple
         df, "words",
         n_words=F.size(w).cast("long"),
         n_chars=F.length(c("text")).cast("long"),
+        n_lines=F.size(c("lines")),
         n_dup_lines=(F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long"),
         common=F.concat(F.lit(" "), F.array_join(F.filter(w, lambda x: x.isin(*WORDS)), "  "), F.lit(" ")),
         joined=F.array_join(w, ""),
         **({"hashed": F.transform(w, lambda x: F.xxhash64(x))} if windows else {}),
     )
-    done = "n_words n_chars n_dup_lines"
+    done = "n_words n_chars n_lines n_dup_lines"
     common = F.array(*[((F.length(c("common")) - F.length(F.replace(c("common"), F.lit(f" {x} "), F.lit("")))) / (len(x) + 2)).cast("int") for x in WORDS])
     df = step(df, done + " hashed" * windows, common=common, word_chars=F.length(c("joined")).cast("long"), rest=F.regexp_replace(c("joined"), CLASSES[0], ""))
     done += " common word_chars"
@@ -79,7 +80,7 @@ def measured(docs: DataFrame, text: str = "text", windows: bool = True) -> tuple
         df = step(df, done + " rest" + " hashed" * windows, **{f"class{i}": c("before") - F.length(c("rest"))})
         done += f" class{i}"
     classes = F.array(*[c(f"class{i}").cast("long") for i in range(len(CLASSES))], c("n_chars") - c("word_chars"), F.length(c("rest")).cast("long"))
-    done = "n_words n_chars n_dup_lines common word_chars n_symbols"
+    done = "n_words n_chars n_lines n_dup_lines common word_chars n_symbols"
     df = step(df, done + " hashed" * windows, classes=classes)
     done += " classes"
     if not windows:

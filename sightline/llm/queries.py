@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import bpe, chat_trees, fm_index, html_wrappers, language_id, quality_rules, sharding, simhash_covering, toxicity_crf
+from sightline.llm import bpe, chat_trees, fm_index, html_wrappers, language_id, quality_ensemble, quality_rules, sharding, simhash_covering, toxicity_crf
 from sightline.llm.common import table
 from sightline.session import configure
 
@@ -36,6 +36,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op7_quality_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ensemble.scores_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +56,6 @@ def _configured(fn):
     return lambda spark, sf_dir: fn(configure(spark), sf_dir)
 
 
-QUERIES = {fn.__name__: _configured(fn) for fn in (op1_sharding, op2_html_wrappers, op3_chat_trees, op4_quality_rules, op5_toxicity_crf, op6_bpe, op8_fm_index, op9_simhash_covering, op10_language_id)}
+QUERIES = {fn.__name__: _configured(fn) for fn in (op1_sharding, op2_html_wrappers, op3_chat_trees, op4_quality_rules, op5_toxicity_crf, op6_bpe, op7_quality_ensemble, op8_fm_index, op9_simhash_covering, op10_language_id)}
 
 ORACLES = {"op3_chat_trees": chat_trees.SQL, "op4_quality_rules": quality_rules.sql(), "op8_fm_index": fm_index.SQL}
