@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -104,3 +105,9 @@ def stored(df: DataFrame) -> DataFrame:
     """Written once to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new place in the shared checkpoint folder for tables between stages."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/stages-{uuid4().hex}"

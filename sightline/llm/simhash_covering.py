@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import stored, utf8, with_columns_in_arrow
+from sightline.llm.common import free_name, stored, utf8, with_columns_in_arrow
 
 RADIUS, BITS, SHINGLE, SEED = 4, 64, 4, 42
 #: Members of one bucket that are compared in one task at once; larger buckets are dealt out in pairs of such parts.
@@ -175,7 +175,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def grouped(fingerprinted: DataFrame, key: str = "doc_id", fp: str = "fp") -> DataFrame:
-    """All columns and rows, with component_id: the least key among the rows reachable by links.
+    """All columns and rows, with component_id, the least key among the rows reachable by links,
+    and root, the least fingerprint of the component.
 
     Rows of one fingerprint are linked, so are fingerprints within the radius. Null keys never
     name a component unless all its keys are null. `fingerprinted` is read several times.
@@ -184,7 +185,7 @@ def grouped(fingerprinted: DataFrame, key: str = "doc_id", fp: str = "fp") -> Da
     lowest = fingerprinted.groupBy(F.col(fp).alias("node")).agg(F.min(key).alias("least"))
     rooted = lowest.join(tops, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = rooted.select("node", "root").join(ids, "root").select(F.col("node").alias(fp), "component_id")
+    of_node = rooted.select("node", "root").join(ids, "root").select(F.col("node").alias(fp), "component_id", "root")
     return fingerprinted.join(of_node, fp)
 
 
@@ -192,3 +193,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: its fingerprint in hex and its component."""
     rows = stored(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
     return grouped(rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, with its columns: that of the least key (nulls last), and of
+    several such rows the one read first.
+
+    Rows are told apart by where they stand in the input, so repeated keys do no harm; `docs` must
+    be a stored table, since it is read twice.
+    """
+    row = free_name(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    slim = numbered.select(F.col(row).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = stored(with_fingerprints(slim).select("row", "key", "fp"))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("row")))
+    kept = grouped(rows, "key").groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)

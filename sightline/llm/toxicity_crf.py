@@ -175,11 +175,12 @@ def fit(toxic: list[list[bytes]], clean: list[list[bytes]], share: float) -> Mod
             moment[k], size[k] = 0.9 * moment[k] + 0.1 * g, 0.99 * size[k] + 0.01 * g * g
             values[k] = values[k] - STEP * (moment[k] / (1 - 0.9**round_)) / (np.sqrt(size[k] / (1 - 0.99**round_)) + 1e-10)
         weights, trans, bias = values[0], values[1], float(values[2])
-    marginal, _ = forward_backward(unaries(ids, first, own, left, right, weights, bias), first, trans)
-    most, expected = summary(marginal, ends)
-    label = np.array([1.0] * len(toxic) + [0.0] * (len(field) - len(toxic)))
-    importance = np.where(label > 0, share / len(toxic), (1 - share) / max(1, len(field) - len(toxic)))
-    return Model(weights.astype(np.float32), trans, bias, calibrated(most / 10, expected, label, importance))
+    model = Model(weights.astype(np.float32), trans, bias, (0.0, 0.0, 0.0))
+    most, expected = summary(*Tagger(model).marginals([*toxic, *clean]))
+    label = np.array([1.0] * len(toxic) + [0.0] * len(clean))
+    importance = np.where(label > 0, share / len(toxic), (1 - share) / len(clean))
+    model.calibration = calibrated(most / 10, expected, label, importance)
+    return model
 
 
 def marked(toxic: int, clean: int, all_toxic: int, all_clean: int) -> bool:
@@ -205,7 +206,7 @@ def calibrated(a: np.ndarray, b: np.ndarray, label: np.ndarray, importance: np.n
     x, w = np.stack([np.ones(len(a)), a, b], 1), np.zeros(3)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        ridge = np.diag([1e-6, 1e-3, 1e-3])
+        ridge = np.diag([1e-7, 1e-5, 1e-5])
         w = w - np.linalg.solve((x * (importance * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (importance * (p - label)) + ridge @ w)
     return float(w[0]), float(w[1]), float(w[2])
 
