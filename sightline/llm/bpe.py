@@ -105,11 +105,15 @@ class Encoder:
                     out[i] = newline.join([first[p[0]] + b"".join(map(rest.__getitem__, p[1:])) if len(p) > 1 else first[p[0]] for p in parts])
                 except KeyError:  # a word with white space at its edge: the text is matched as a whole
                     pass
-        left = [i for i, ids in enumerate(out) if ids is None or len(texts[i]) >= LONG_TEXT]
-        pieces = [self.pattern.findall(texts[i]) if len(texts[i]) < LONG_TEXT else [] for i in left]
+        left = [i for i, ids in enumerate(out) if ids is None and len(texts[i]) < LONG_TEXT]
+        pieces = [self.pattern.findall(texts[i]) for i in left]
         self.learn(set().union(*pieces))
         for i, p in zip(left, pieces, strict=True):
-            out[i] = b"".join(map(self.known.__getitem__, p)) if len(texts[i]) < LONG_TEXT else self.encode_long(texts[i])
+            out[i] = b"".join(map(self.known.__getitem__, p))
+        # Last, since these may empty what is remembered.
+        for i, t in enumerate(texts):
+            if len(t) >= LONG_TEXT:
+                out[i] = self.encode_long(t)
         return out
 
     def learn_words(self, lines: list[list[list[str]]]) -> None:
