@@ -75,19 +75,23 @@ def branches(messages: DataFrame, names: Tree = Tree(), top: int = 1) -> DataFra
     # up: the message above the known part of the way; null at a root.
     ways = rooted.select("tree", "node", F.when(F.col("n").isNotNull(), F.col("parent")).alias("up"), F.array("node").alias("way"), F.col("score").alias("total"))
     leaves = nodes.select(F.col("tree").alias("t"), F.col("parent").alias("n")).distinct()
-    ways = ways.join(leaves, ways["tree"].eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left").select("tree", "node", "up", "way", "total", F.col("n").isNull().alias("leaf"))
+    ways = ways.join(leaves, ways["tree"].eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left").select("tree", "node", "up", "way", "total", F.col("n").isNull().alias("leaf"), F.lit(False).alias("dead"))
     ways = stored(ways)
+    none = F.array().cast(T.ArrayType(nodes.schema["node"].dataType))
     while True:
-        open_, left = ways.agg(F.count(F.when(F.col("up").isNotNull(), 1)), F.sum(F.when(F.col("up").isNotNull(), F.size("way").cast("long")))).first()
-        if not open_:
-            break
-        above = ways.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("way").alias("w"), F.col("total").alias("s"))
-        joined = ways.join(above, ways["tree"].eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-        ways = stored(joined.select("tree", "node", F.col("u").alias("up"), F.concat(F.coalesce("w", F.array().cast(T.ArrayType(nodes.schema["node"].dataType))), "way").alias("way"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"), "leaf"))
-        if ways.agg(F.sum(F.when(F.col("up").isNotNull(), F.size("way").cast("long")))).first()[0] == left:
+        # Only ways that do not reach a root yet are made longer.
+        open_ = ways.where("up is not null")
+        if not open_.head(1):
             break
+        above = ways.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("way").alias("w"), F.col("total").alias("s"), F.col("dead").alias("d"))
+        joined = open_.join(above, open_["tree"].eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
+        longer = joined.select("tree", "node", F.col("u").alias("up"), F.concat(F.coalesce("w", none), "way").alias("way"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"), "leaf", F.coalesce("d", F.lit(False)).alias("dead"))
+        # The message above is already on the way: a cycle.
+        turns = F.coalesce(F.array_contains("way", F.col("up")), F.lit(False))
+        longer = stored(longer.select("tree", "node", F.when(~turns, F.col("up")).alias("up"), F.when(turns, none).otherwise(F.col("way")).alias("way"), "total", "leaf", (F.col("dead") | turns).alias("dead")))
+        ways = ways.where("up is null").unionByName(longer)
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.size("way")), "node")
-    return ways.where("leaf and up is null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("tree", F.col("node").alias("branch"), "rank", F.col("way").alias("nodes"))
+    return ways.where("leaf and not dead").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("tree", F.col("node").alias("branch"), "rank", F.col("way").alias("nodes"))
 
 
 def formatted(messages: DataFrame, names: Tree = Tree(), top: int = 1, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:

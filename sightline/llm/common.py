@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from sightline.session import ensure_checkpoint_dir
 
 #: Rows of an Arrow batch, and bytes of text that are worked on at once inside a task.
-BATCH_ROWS, SLICE_BYTES = 2000, 4 << 20
+BATCH_ROWS, SLICE_BYTES = 500, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,3 +111,11 @@ def stage_folder(spark: SparkSession) -> str:
     """A new place in the shared checkpoint folder for tables between stages."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/stages-{uuid4().hex}"
+
+
+def set_aside(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, Callable[[DataFrame], DataFrame]]:
+    """The rows under neutral column names, the new name of the text, and the way back. So an
+    operator can add columns beside any others."""
+    names = docs.columns
+    df = docs.select(*[F.col(f"`{c}`").alias(f"column {i}") for i, c in enumerate(names)])
+    return df, f"column {names.index(text)}", lambda made: made.select(*[F.col(f"`column {i}`").alias(c) for i, c in enumerate(names)])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import with_columns_in_arrow
+from sightline.llm.common import set_aside, with_columns_in_arrow
 
 WINDOW = 10
 #: Windows that are searched for at once; more of them are taken in blocks.
@@ -284,27 +284,22 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
 
     A document stays if words are left, or if it had none of the passages.
     """
-    shape = docs.schema
-    df = found_in(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t")), benchmark, "t")
+    rows, t, back = set_aside(docs, text)
+    df = found_in(rows, benchmark, t)
 
     def work():
         def do(column: pa.Array, spans: pa.Array) -> list[pa.Array]:
-            return [pa.array([without_spans(t, s) for t, s in zip(column.to_pylist(), spans.to_pylist(), strict=True)], pa.string())]
+            return [pa.array([without_spans(x, s) for x, s in zip(column.to_pylist(), spans.to_pylist(), strict=True)], pa.string())]
 
         return do
 
-    df = with_columns_in_arrow(df, ["t", "hit_spans"], {"left": T.StringType()}, work)
     cut = F.size("hit_spans") > 0
-    df = df.where(~cut | F.col("left").rlike(_WORD.pattern))
-    columns = []
-    for f in shape.fields:
-        value = F.col("row")[f.name]
-        if f.name == text:
-            value = F.col("left")
-        elif f.name == "n_chars":
-            value = F.when(cut, F.length("left").cast(f.dataType)).otherwise(value)
-        columns.append(value.alias(f.name))
-    return df.select(*columns)
+    df = with_columns_in_arrow(df, [t, "hit_spans"], {t: T.StringType()}, work)
+    df = df.where(~cut | F.col(t).rlike(_WORD.pattern))
+    if "n_chars" in docs.columns:
+        n = f"column {docs.columns.index('n_chars')}"
+        df = df.withColumn(n, F.when(cut, F.length(t).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return back(df)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -23,9 +23,9 @@ from sightline.llm.common import bounded_rows, fold, held_out, with_columns_in_a
 from sightline.llm.fm_index import _WORD, words_of
 
 #: Labelled documents learned from at most: those first in a hashed order of their ids.
-TOXIC_DOCS, CLEAN_DOCS = 1000, 4000
+TOXIC_DOCS, CLEAN_DOCS = 500, 3000
 #: Clean documents that take part in fitting the field itself.
-CLEAN_IN_FIELD = 1000
+CLEAN_IN_FIELD = 500
 BITS, ROUNDS, STEP, RIDGE = 18, 40, 0.5, 1e-4
 #: A word or beginning marks toxic tokens from such log odds on, if a likelihood ratio test tells it from chance.
 MIN_ODDS, MIN_RATIO = 2.5, 25.0
@@ -119,8 +119,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = bounded_rows(known.where("y = 1"), F.col("k"), toxic_docs).unionByName(bounded_rows(known.where("y = 0"), F.col("k"), clean_docs))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen), "k").select("k", "y", "t")
     order: dict[int, list[list[bytes]]] = {0: [], 1: []}
-    for r in sorted(((r["y"], crc32(str(r["k"]).encode()), words_of(r["t"])) for r in rows.toLocalIterator()), key=lambda r: r[:2]):
-        order[r[0]].append(r[2])
+    once: dict[bytes, bytes] = {}  # each distinct word is held once
+    texts = [(r["y"], crc32(str(r["k"]).encode()), [once.setdefault(w, w) for w in words_of(r["t"])]) for r in rows.toLocalIterator()]
+    for y, _, words in sorted(texts, key=lambda r: r[:2]):
+        order[y].append(words)
     if not order[0] or not order[1]:
         return None
     return fit(order[1], order[0], shares[1] / (shares[0] + shares[1]))
