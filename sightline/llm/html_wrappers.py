@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
@@ -34,6 +35,9 @@ HOSTS_AT_ONCE = 2000
 #: A node with more children than this has children of one label merged wherever they stand.
 MANY_CHILDREN = 64
 
+#: Elements nested deeper than this stand beside each other; no text is lost.
+DEEPEST = 150
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 INLINE = frozenset(
@@ -81,6 +85,7 @@ def parse(page: str) -> Node:
     """A tolerant reading: missing end tags are supplied, a tag cut off at the end is dropped."""
     root = Node("#root", "")
     stack, at, size = [root], 0, len(page)
+    too_deep: Counter[str] = Counter()
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
@@ -102,6 +107,10 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag in INLINE:
                 continue
+            if too_deep[tag]:
+                too_deep[tag] -= 1
+                stack[-1].parts.append(Node(tag, ""))
+                continue
             if tag == "p" and all(n.tag != "p" for n in stack):
                 continue
             for depth in range(len(stack) - 1, 0, -1):
@@ -136,7 +145,10 @@ def parse(page: str) -> Node:
         node = Node(tag, " ".join(sorted({w for k in ("class", "id", "role") for w in named.get(k, "").lower().split()})))
         stack[-1].parts.append(node)
         if tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
+            if len(stack) < DEEPEST:
+                stack.append(node)
+            else:
+                too_deep[tag] += 1
     return root
 
 
