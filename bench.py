@@ -25,7 +25,7 @@ HEADLINE = [
     "readiness_per_job", "value_summary", "compliance_frameworks_per_job", "report",
     "lineage_report", "ingestion_pattern",
     "performance_summary", "rolling_error_rate", "concurrent_operations", "request_counts", "failure_streaks", "duration_percentile", "rate_windows", "dashboard_stats", "folded_operations",
-    "similar_vectors_loose", "stream_request_windows", "stream_live_detections", "stream_breaker_states",
+    "similar_vectors_loose", "stream_request_windows", "stream_live_detections",
 ]
 
 

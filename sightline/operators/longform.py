@@ -16,9 +16,12 @@ from sightline.functions.columns import digest
 
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 # Tokens of a JSON text: strings (keys and leaves), numbers and booleans, at any depth.
-JSON_TOKENS = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false'
-BASE64_TEXT = r"^(?:[A-Za-z0-9+/]{4})+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
-MIN_BASE64 = 16  # shorter clean words decode to noise
+# Possessive and without a choice inside the repetition, so that no text is too long for the matcher.
+JSON_TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|true|false'
+BASE64_TEXT = r"^[A-Za-z0-9+/]++={0,2}$"
+# Decoded bytes must be printable text, which keeps ordinary short words out.
+PRINTABLE = r"^[\p{L}\p{M}\p{N}\p{P}\p{S}\p{Z}\t\r\n]+$"
+XML_START = r"^<(?:\?xml\b|[A-Za-z_][^\s<>/!]*[\s/>])"
 
 
 def flat_columns(df: DataFrame) -> list[str]:
@@ -26,16 +29,6 @@ def flat_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, NESTED)]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table with fewer files than the cluster has cores, dealt out to all cores.
-
-    A file of one row group is read by one task, which would run every pattern alone. Larger
-    tables stay as they are and are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def to_long(df: DataFrame, table: str, key: str | None = None, columns: Sequence[str] | None = None,
             keep_nulls: bool = False, per_column: int | None = None) -> DataFrame:
     """One row per cell as text. `per_column` is the optional sampling cap of a quick scan."""
@@ -73,11 +66,12 @@ def union_tables(tables: Mapping[str, DataFrame], keys: Mapping[str, str] | None
 def xml_parts(texts: pd.Series) -> pd.Series:
     """Element texts and tags of well-formed XML, None otherwise.
 
-    The built-in XPath functions end the whole query on malformed text.
+    The built-in XPath functions end the whole query on malformed text. Texts that declare a
+    document type or entities are not taken apart, since these may refer to other files or grow.
     """
 
     def parts(text):
-        if text is None:
+        if text is None or "<!DOCTYPE" in text or "<!ENTITY" in text:
             return None
         try:
             out = []
@@ -107,7 +101,8 @@ def expand_fragments(long: DataFrame) -> DataFrame:
     json_parts = F.from_json(F.concat(F.lit("["), tokens, F.lit("]")), "array<string>")
     binary = F.try_to_binary(value, F.lit("base64"))
     decoded = F.when(F.is_valid_utf8(binary.cast("string")), binary.cast("string"))
-    is_base64 = (F.length(value) >= MIN_BASE64) & value.rlike(BASE64_TEXT)
+    decoded = F.when(decoded.rlike(PRINTABLE), decoded)
+    is_base64 = (F.length(value) >= 4) & (F.length(value) % 4 == 0) & value.rlike(BASE64_TEXT)
     part = lambda origin, texts: F.transform(F.array_compact(texts), lambda t: F.struct(F.lit(origin).alias("origin"), t.alias("fragment")))
     none = F.array().cast("array<struct<origin:string,fragment:string>>")
     found = (
@@ -118,7 +113,7 @@ def expand_fragments(long: DataFrame) -> DataFrame:
     )
     raw = F.array(F.struct(F.lit("raw").alias("origin"), value.alias("fragment")))
     return (
-        long.withColumn("_xml", xml_parts(F.when(is_xml, value)))
+        long.withColumn("_xml", xml_parts(F.when(is_xml & text.rlike(XML_START), value)))
         .select("table", "column", "row_id", F.posexplode(F.concat(raw, found)).alias("fragment_no", "_f"))
         .select("table", "column", "row_id", "fragment_no", "_f.origin", "_f.fragment")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.columns import band, contains_any, percent, stacked
 from sightline.functions.rules import DEFAULT_RELEVANCE, FORMAT_LENGTHS, FORMAT_NEEDS, FORMAT_SHARE, FORMATS, REQUIREMENTS, SEMANTIC_PATTERNS, SEMANTIC_RELEVANCE, TIME_WORDS
-from sightline.operators.sampling import small_side, top_per_group
+from sightline.operators.sampling import top_per_group
 
 COLUMN = ["table", "column"]
 LONG_TEXT = 64
@@ -173,7 +173,7 @@ def field_meaning(long: DataFrame, sampled: int = 100, scored: int = 10) -> Data
     digests = long.filter(F.col("value").isNotNull()).select(*COLUMN, F.md5("value").alias("_d"))
     order = Window.partitionBy(*COLUMN).orderBy("_d")
     ranked = digests.distinct().withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= sampled)
-    chosen = small_side(ranked)
+    chosen = ranked
     points = lambda text, patterns: sum((F.regexp_count(text, F.lit("(?i)" + p)) for p in patterns), F.lit(0))
     tested = (
         long.withColumn("_d", F.md5("value")).join(chosen.filter(F.col("_rn") <= scored).drop("_rn"), [*COLUMN, "_d"])

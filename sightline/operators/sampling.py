@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.columns import digest
-from sightline.session import ensure_checkpoint_dir
 
-HEX = 5  # digits of the key digest a rate is compared with
+STEPS = 16**12  # a rate is compared with the first twelve hex digits of the key digest, as a number
 
 
 def sample_rows(df: DataFrame, key: str, rate: float, cap: int) -> DataFrame:
-    """About `rate` of all rows by key digest, at most `cap` of them."""
-    bound = format(int(rate * 16**HEX), f"0{HEX}x")
+    """About `rate` of all rows by key digest, at most `cap` of them, those of least digest. Rate 0
+    keeps none, rate 1 all."""
+    place = F.conv(F.substring(digest(key), 1, 12), 16, 10).cast("bigint")
     # The limit of a sort is taken per task first, so no task sees more than its share.
-    return df.filter(F.substring(digest(key), 1, HEX) < bound).orderBy(key).limit(cap)
+    return df.filter(place < F.lit(int(rate * STEPS)).cast("bigint")).orderBy(digest(key), key).limit(cap)
 
 
 def sample_k(df: DataFrame, key: str, k: int = 50) -> DataFrame:
@@ -32,11 +32,3 @@ def top_per_group(df: DataFrame, group: list[str], order: list, k: int) -> DataF
     """First k rows of each group; the rank limit is applied before the shuffle as well."""
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return ranked.filter(F.col("_rn") <= k).drop("_rn")
-
-
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """A join side that is usually small: written down, counted, and marked for broadcast only
-    when it really is; otherwise it takes part in an ordinary shuffled join."""
-    ensure_checkpoint_dir(df.sparkSession)
-    stage = df.checkpoint()
-    return F.broadcast(stage) if stage.count() <= max_rows else stage

@@ -25,7 +25,7 @@ PLAIN_TEXT = {"email", "domain_user", "api_endpoint", "url_path"}
 
 def long_form(spark, base):
     load = loader(spark, base)
-    parts = [lf.to_long(lf.spread(load(t).select(key, *cols)), t, key, cols) for t, (key, cols) in SCANNED.items()]
+    parts = [lf.to_long(load(t).select(key, *cols), t, key, cols) for t, (key, cols) in SCANNED.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -170,7 +170,7 @@ ORACLES = {
     "detections_expanded": _score_ctes(DETECTORS, 0.3, EXPANDED_SQL) + FLAT_SQL,
     "read_whole_table": "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer",
     "sample_rows": f"""SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer
-      WHERE substr(md5(CAST(c_custkey AS VARCHAR)), 1, 5) < '{int(0.1 * 16**5):05x}' ORDER BY c_custkey LIMIT 500""",
+      WHERE CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 12) AS BIGINT) < {int(0.1 * sampling.STEPS)} ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey LIMIT 500""",
     "sample_k": "SELECT event_id, event_type FROM events ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 50",
     "distinct_sample": "SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL ORDER BY p_brand LIMIT 100",
     "long_form": f"""SELECT tbl AS "table", col AS "column", count(*) AS n_values, CAST(sum(length(value)) AS BIGINT) AS n_chars FROM ({LONG_SQL}) GROUP BY tbl, col""",

@@ -13,6 +13,8 @@ from sightline.sources.tables import loader
 from sightline.streaming import streams as st
 
 LIVE = [d for d in DETECTORS if d.name in ("ipv4", "api_endpoint", "http_status")]
+# Files of a stored table come in any order of time, so no row of it counts as late.
+STORED = "36500 days"
 
 
 def _events(spark, base):
@@ -31,15 +33,15 @@ def _micros(df):
 
 
 def _request_windows(spark, base):
-    return _micros(st.latest(st.run_available(st.request_windows(_events(spark, base)), "update"), ["window_start", "user_id", "event_type"]))
+    return _micros(st.latest(st.run_available(st.request_windows(_events(spark, base), watermark=STORED), "update"), ["window_start", "user_id", "event_type"]))
 
 
 def _rate_windows(spark, base):
-    return rounded(_micros(st.latest(st.run_available(st.rate_windows(_events(spark, base)), "update"), ["window_start"])))
+    return rounded(_micros(st.latest(st.run_available(st.rate_windows(_events(spark, base), watermark=STORED), "update"), ["window_start"])))
 
 
 def _live(spark, base):
-    return _micros(st.latest(st.run_available(st.live_detections(log_lines(_events(spark, base)), LIVE), "update"), ["window_start", "detector"]))
+    return _micros(st.latest(st.run_available(st.live_detections(log_lines(_events(spark, base)), LIVE, watermark=STORED), "update"), ["window_start", "detector"]))
 
 
 def _folded(spark, base):
@@ -52,25 +54,12 @@ def _audit(spark, base):
     return log.groupBy("user_id", "action").agg(F.count(F.lit(1)).alias("n_actions"), F.min(epoch_micros("ts")).alias("first_at"), F.max(epoch_micros("ts")).alias("last_at"))
 
 
-def _admissions(spark, base):
-    return st.run_available(st.admissions(_events(spark, base), 1), "append").drop("batch")
-
-
-def _breaker(spark, base):
-    outcomes = _events(spark, base).select(
-        F.concat(F.lit("res_"), (F.col("user_id") % 25).cast("string")).alias("resource_id"), "event_id", epoch_micros("ts").alias("at_micros"), (F.col("event_type") != "error").alias("success")
-    )
-    return st.run_available(st.breaker_states(outcomes), "append").drop("batch")
-
-
 QUERIES = {
     "stream_request_windows": _request_windows,
     "stream_rate_windows": _rate_windows,
     "stream_live_detections": _live,
     "stream_folded_operations": _folded,
     "stream_audit_trail": _audit,
-    "stream_admissions": _admissions,
-    "stream_breaker_states": _breaker,
 }
 
 ORACLES = {
@@ -83,8 +72,3 @@ ORACLES = {
     "stream_audit_trail": "SELECT user_id, event_type AS action, count(*) AS n_actions, epoch_us(min(ts)) AS first_at, epoch_us(max(ts)) AS last_at FROM events GROUP BY 1, 2",
 }
 ORACLES["stream_live_detections"] = """WITH l AS (SELECT ts, concat('GET /api/', event_type, '/', user_id, ' ', 200 + event_id % 4 * 100, ' from 10.0.', user_id % 256, '.', event_id % 256) AS line FROM events) """ + ORACLES["stream_live_detections"]
-# With a limit of one a request is admitted when the last admitted one is an hour old.
-ORACLES["stream_admissions"] = """WITH RECURSIVE e AS (SELECT user_id AS u, event_type AS k, event_id AS i, ts FROM events),
-  a AS (SELECT u, k, min((ts, i)) AS at FROM e GROUP BY u, k
-    UNION ALL SELECT e.u, e.k, min((e.ts, e.i)) FROM a JOIN e ON e.u = a.u AND e.k = a.k AND e.ts >= struct_extract_at(a.at, 1) + INTERVAL 1 HOUR GROUP BY e.u, e.k)
-  SELECT e.u AS user_id, e.k AS event_type, e.i AS event_id, a.u IS NOT NULL AS admitted FROM e LEFT JOIN a ON a.u = e.u AND a.k = e.k AND struct_extract_at(a.at, 2) = e.i"""

@@ -1,22 +1,21 @@
 """Structured Streaming forms of the operational queries.
 
-Stateful operators keep little per key: window counts, at most `limit` request times, or one
-breaker record. The rows of one key in one micro-batch are ordered in memory, so the source
-limits the files of a micro-batch.
+Window operators keep open windows only: a window ends when the watermark passes it. Rows that
+come later than `watermark` are dropped by them, so callers pick it by how late rows may come, and
+`late_rows` counts what a delay would drop.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sightline.functions.columns import epoch_micros, stacked
+from sightline.functions.columns import stacked
 from sightline.functions.rules import Detector
 from sightline.operators.detect import found_in
 from sightline.session import ensure_checkpoint_dir
@@ -26,10 +25,10 @@ FILES_PER_BATCH = 8
 
 
 def read_stream(spark: SparkSession, base: str, name: str, schema: T.StructType, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """Stream over the files of a Parquet table. NTZ timestamps become timestamps, because a
-    watermark accepts only those."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-    stream = reader.option("maxFilesPerTrigger", files_per_batch).parquet(base)
+    """Stream over the files of a Parquet table, which is one file or a folder of them. NTZ
+    timestamps become timestamps, because a watermark accepts only those."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(f"{base}/{name}.parquet")
     ntz = [f.name for f in schema if isinstance(f.dataType, T.TimestampNTZType)]
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else stream
 
@@ -49,7 +48,23 @@ def run_available(stream: DataFrame, mode: str, partition_by: Sequence[str] = ()
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/rows")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/rows")
+    except AnalysisException as e:  # nothing was available, so no batch was written
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def late_rows(events: DataFrame, arrival: str, delay: str = WATERMARK, ts: str = "ts") -> DataFrame:
+    """How many rows of a stored table each arrival brings later than `delay` after the newest row
+    of all earlier arrivals: what a watermark of that delay may drop."""
+    newest = events.groupBy(arrival).agg(F.max(ts).alias("_newest"))
+    before = Window.orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)  # one row per arrival
+    seen = newest.select(arrival, F.max("_newest").over(before).alias("_seen"))
+    late = F.col(ts) < F.col("_seen") - F.expr(f"INTERVAL {delay}")
+    return events.join(seen, arrival).groupBy(arrival).agg(F.count_if(late).alias("late"), F.count(F.lit(1)).alias("rows"))
 
 
 def latest(emitted: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -58,15 +73,15 @@ def latest(emitted: DataFrame, keys: Sequence[str]) -> DataFrame:
     return emitted.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last")).select(*keys, "_last.*")
 
 
-def request_windows(events: DataFrame, length: str = "1 hour", slide: str = "10 minutes") -> DataFrame:
+def request_windows(events: DataFrame, length: str = "1 hour", slide: str = "10 minutes", watermark: str = WATERMARK) -> DataFrame:
     """Requests per user and action in sliding windows."""
-    windowed = events.withWatermark("ts", WATERMARK).groupBy(F.window("ts", length, slide), "user_id", "event_type")
+    windowed = events.withWatermark("ts", watermark).groupBy(F.window("ts", length, slide), "user_id", "event_type")
     return windowed.agg(F.count(F.lit(1)).alias("requests")).select(F.col("window.start").alias("window_start"), "user_id", "event_type", "requests")
 
 
-def rate_windows(events: DataFrame, length: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+def rate_windows(events: DataFrame, length: str = "5 minutes", slide: str = "1 minute", watermark: str = WATERMARK) -> DataFrame:
     """Errors and durations in sliding windows; the rates follow from the emitted sums."""
-    counted = events.withWatermark("ts", WATERMARK).groupBy(F.window("ts", length, slide)).agg(
+    counted = events.withWatermark("ts", watermark).groupBy(F.window("ts", length, slide)).agg(
         F.count_if(F.col("event_type") == "error").alias("errors"), F.avg("value").alias("mean_duration")
     )
     return counted.select(
@@ -75,9 +90,9 @@ def rate_windows(events: DataFrame, length: str = "5 minutes", slide: str = "1 m
     )
 
 
-def live_detections(lines: DataFrame, detectors: Sequence[Detector], length: str = "1 day") -> DataFrame:
+def live_detections(lines: DataFrame, detectors: Sequence[Detector], length: str = "1 day", watermark: str = WATERMARK) -> DataFrame:
     """Matches per detector in tumbling windows, each event counted once."""
-    once = lines.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
+    once = lines.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
     found = once.select("ts", stacked(["detector", "found"], *[(d.name, found_in(F.col("text"), d)) for d in detectors]))
     return (
         found.filter(F.size("found") > 0)
@@ -90,73 +105,3 @@ def live_detections(lines: DataFrame, detectors: Sequence[Detector], length: str
 def audit_log(events: DataFrame) -> DataFrame:
     """Append-only audit rows."""
     return events.select("event_id", "user_id", F.col("event_type").alias("action"), F.col("props").alias("details"), "ts")
-
-
-# ------------------------------------------------------------------- per-key state
-def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    rows = pd.concat(list(batches))
-    return rows.sort_values(["at_micros", "event_id"])
-
-
-def admissions(events: DataFrame, limit: int = 3, seconds: int = 3600) -> DataFrame:
-    """Request limiter per user and action: a request is admitted when fewer than `limit`
-    admitted ones lie inside the window; rejected requests do not count."""
-    window = seconds * 1_000_000
-
-    def admit(key, batches, state: GroupState):
-        times = list(state.get[0]) if state.exists else []
-        rows, verdicts = _in_order(batches), []
-        for at in rows["at_micros"]:
-            times = [t for t in times if at - t < window]
-            verdicts.append(len(times) < limit)
-            if verdicts[-1]:
-                times.append(at)
-        state.update((times,))
-        yield pd.DataFrame({"user_id": key[0], "event_type": key[1], "event_id": rows["event_id"].to_numpy(), "admitted": verdicts})
-
-    keyed = events.select("user_id", "event_type", "event_id", epoch_micros("ts").alias("at_micros"))
-    return keyed.groupBy("user_id", "event_type").applyInPandasWithState(
-        admit, "user_id bigint, event_type string, event_id bigint, admitted boolean", "times array<bigint>", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def breaker_states(outcomes: DataFrame, failures: int = 5, timeout_seconds: int = 60, successes: int = 3) -> DataFrame:
-    """Circuit breaker per resource, one row per call with the state after it.
-
-    It opens after `failures` counted failures, refuses calls until the timeout has passed
-    since the last failure, then tries again half open and closes after `successes`.
-    """
-    timeout = timeout_seconds * 1_000_000
-
-    def step(key, batches, state: GroupState):
-        name, count, last, good = state.get if state.exists else ("closed", 0, 0, 0)
-        rows, out = _in_order(batches), []
-        for at, ok in zip(rows["at_micros"], rows["success"]):
-            refused = False
-            if name == "open":
-                if at - last > timeout:
-                    name, good = "half_open", 0
-                else:
-                    refused = True
-            if not refused and ok and name == "half_open":
-                good += 1
-                if good >= successes:
-                    name, count = "closed", 0
-            elif not refused and ok:
-                count = max(0, count - 1)
-            elif not refused:
-                count, last = count + 1, int(at)
-                if count >= failures:
-                    name = "open"
-            out.append((name, count, refused))
-        state.update((name, count, last, good))
-        yield pd.DataFrame({
-            "resource_id": key[0], "event_id": rows["event_id"].to_numpy(), "state": [o[0] for o in out],
-            "failure_count": [o[1] for o in out], "refused": [o[2] for o in out],
-        })
-
-    keyed = outcomes.select("resource_id", "event_id", "at_micros", "success")
-    return keyed.groupBy("resource_id").applyInPandasWithState(
-        step, "resource_id string, event_id bigint, state string, failure_count int, refused boolean",
-        "state string, failures int, last_failure bigint, successes int", "append", GroupStateTimeout.NoTimeout,
-    )

@@ -234,4 +234,7 @@ def test_samples_are_repeatable(spark):
     assert once == [r["k"] for r in sampling.sample_rows(df.repartition(7), "k", 0.1, 500).collect()]
     assert 120 < len(once) < 280
     assert len(sampling.sample_rows(df, "k", 0.5, 20).collect()) == 20
+    many = spark.range(10_000).withColumnRenamed("id", "k")
+    assert [sampling.sample_rows(many, "k", r, 20_000).count() for r in (0, 1e-8, 1.0)] == [0, 0, 10_000]
+    assert 0 < sampling.sample_rows(spark.range(4_000_000).withColumnRenamed("id", "k"), "k", 1e-6, 100).count() < 20
     assert len({r["k"] for r in sampling.sample_k(df, "k", 50).collect()}) == 50

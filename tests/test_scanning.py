@@ -130,6 +130,22 @@ def test_malformed_text_adds_nothing(spark, text):
     assert fragments_of(spark, text) == [("raw", text)]
 
 
+def test_long_and_deep_texts_are_expanded(spark):
+    long, escapes = "x" * 1_000_000, '\\"' * 100_000
+    got = fragments_of(spark, f'{{"a":"{long}","b":"{escapes}","c":[1,true]}}')[1:]
+    assert [f for _, f in got] == ["a", long, "b", '"' * 100_000, "c", "1", "true"]
+    deep = "[" * 400 + '"end"' + "]" * 400
+    assert fragments_of(spark, deep)[1:] == [("json", "end")]
+    assert fragments_of(spark, "<a>" + "text " * 200_000 + "</a>")[1:] == [("xml", ("text " * 200_000).strip()), ("xml", "a")]
+
+
+def test_short_base64_and_entities(spark):
+    assert fragments_of(spark, base64.b64encode(b"ok!").decode())[1:] == [("base64", "ok!")]
+    assert fragments_of(spark, "word") == [("raw", "word")]
+    assert len(fragments_of(spark, '<!DOCTYPE a [<!ENTITY e "boom">]><a>&e;</a>')) == 1
+    assert len(fragments_of(spark, "<html><p>not closed</html>")) == 1
+
+
 def test_xml_and_base64_fragments(spark):
     assert fragments_of(spark, "<a><b> x </b><c/></a>")[1:] == [("xml", "a"), ("xml", "x"), ("xml", "b"), ("xml", "c")]
     encoded = base64.b64encode("mail to a@b.org, é".encode()).decode()

@@ -39,30 +39,40 @@ def calls():
     return [rows[:40], rows[40:80], rows[80:]]
 
 
-def test_admissions_match_a_plain_limiter(spark, tmp_path, calls):
-    write(spark, tmp_path, calls)
-    got = {r["event_id"]: r["admitted"] for r in st.run_available(st.admissions(stream(spark, tmp_path), 3, 3600), "append").collect()}
-    want, times = {}, {}
-    for row in (r for b in calls for r in b):
-        key, at = (row[0], row[1]), row[3]
-        times[key] = [t for t in times.get(key, []) if at - t < 3600 * 1_000_000]
-        want[row[2]] = len(times[key]) < 3
-        if want[row[2]]:
-            times[key].append(at)
-    assert got == want and not all(want.values())
-
-
-def test_breaker_opens_refuses_and_closes(spark, tmp_path):
-    outcome = [False] * 5 + [True, True, True, True, True, True]
-    minutes = [0, 0, 0, 0, 0, 0.5, 2, 3, 4, 5, 6]
-    rows = [event(i, m, ok=ok) for i, (m, ok) in enumerate(zip(minutes, outcome))]
-    rows = [(*r[:3], int(r[3]), *r[4:]) for r in rows]
-    write(spark, tmp_path, [rows[:3], rows[3:7], rows[7:]])
-    outcomes = stream(spark, tmp_path).withColumn("at_micros", F.unix_micros("ts"))
-    got = st.run_available(st.breaker_states(outcomes), "append").orderBy("event_id").collect()
-    assert [r["state"] for r in got] == ["closed"] * 4 + ["open"] * 2 + ["half_open"] * 2 + ["closed"] * 3
-    assert [r["refused"] for r in got] == [False] * 5 + [True] + [False] * 5
-    assert [r["failure_count"] for r in got] == [1, 2, 3, 4, 5, 5, 5, 5, 0, 0, 0]
+def stored_table(spark, folder, calls):
+    """A table as a folder of four files, newest first."""
+    rows = sorted((r for b in calls for r in b), key=lambda r: r[2])
+    parts = [rows[i : i + 30] for i in range(0, 120, 30)][::-1]
+    for i, part in enumerate(parts):
+        df = spark.createDataFrame(part, "user_id bigint, event_type string, event_id bigint, at bigint, success boolean, resource_id string, text string, value double")
+        df.withColumn("ts", F.timestamp_micros("at")).drop("at").coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+        df.withColumn("ts", F.timestamp_micros("at")).drop("at").coalesce(1).write.mode("append").parquet(f"{folder}/events_old.parquet")
+    return spark.createDataFrame([], SCHEMA).schema
+
+
+def test_a_folder_in_wrong_order_of_time_keeps_its_rows(spark, tmp_path, calls):
+    schema = stored_table(spark, tmp_path, calls)
+    read = lambda: st.read_stream(spark, str(tmp_path), "events", schema, 1)
+    keys = ["window_start", "user_id", "event_type"]
+    out = st.latest(st.run_available(st.request_windows(read(), watermark="36500 days"), "update"), keys)
+    assert out.agg(F.sum("requests")).first()[0] == 120 * 6
+    short = st.latest(st.run_available(st.request_windows(read()), "update"), keys)
+    assert short.agg(F.sum("requests")).first()[0] < 120 * 6
+    assert st.run_available(st.audit_log(read().withColumn("props", F.lit("{}"))), "append").count() == 120
+
+
+def test_late_rows_are_counted(spark, calls):
+    rows = [(i, r[3] // 60_000_000) for i, b in enumerate(calls[::-1]) for r in b]
+    df = spark.createDataFrame(rows, "file int, m bigint").select("file", F.timestamp_seconds(F.col("m") * 60).alias("ts"))
+    got = {r["file"]: (r["late"], r["rows"]) for r in st.late_rows(df, "file").collect()}
+    assert got == {0: (0, 40), 1: (40, 40), 2: (40, 40)}
+
+
+def test_an_empty_stream_gives_an_empty_frame(spark, tmp_path):
+    (tmp_path / "events.parquet").mkdir()
+    schema = spark.createDataFrame([], SCHEMA).schema
+    out = st.run_available(st.audit_log(st.read_stream(spark, str(tmp_path), "events", schema).withColumn("props", F.lit("{}"))), "append")
+    assert out.count() == 0 and "batch" in out.columns
 
 
 def test_late_and_duplicate_events(spark, tmp_path):
