@@ -28,7 +28,8 @@ def read_stream(spark: SparkSession, base: str, name: str, schema: T.StructType,
     """Stream over the files of a Parquet table, which is one file or a folder of them. NTZ
     timestamps become timestamps, because a watermark accepts only those."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    stream = reader.parquet(f"{base}/{name}.parquet")
+    # A stream over a plain path wants a folder; a pattern that only this name matches takes both.
+    stream = reader.parquet(f"{base}/{name}.parque[t]")
     ntz = [f.name for f in schema if isinstance(f.dataType, T.TimestampNTZType)]
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else stream
 
