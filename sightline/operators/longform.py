@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.functions.columns import digest
+from sightline.functions.rules import SCAN_ERROR_WORDS
+from sightline.operators.ops import error_category
 
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 # Tokens of a JSON text: strings (keys and leaves), numbers and booleans, at any depth.
@@ -45,21 +47,25 @@ def to_long(df: DataFrame, table: str, key: str | None = None, columns: Sequence
     return long
 
 
-def union_tables(tables: Mapping[str, DataFrame], keys: Mapping[str, str] | None = None, **options) -> DataFrame:
-    """Long form of many tables in one frame, so that one job scans them all.
+def union_tables(tables: Mapping[str, DataFrame], keys: Mapping[str, str] | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Long form of many tables in one frame, so that one job scans them all, and what failed.
 
-    A table whose plan cannot be resolved (dropped, no permission) is left out and does not
-    stop the others.
+    A table whose plan cannot be resolved (dropped, no permission, no such key) does not stop the
+    others; it is a row (table, error_category, error_message) of the second frame. A file that
+    turns out to be broken while it is read still fails the job.
     """
-    parts = []
+    parts, failed = [], []
     for name, df in tables.items():
         try:
             parts.append(to_long(df, name, (keys or {}).get(name), **options))
-        except AnalysisException:
-            continue
+        except AnalysisException as e:
+            failed.append((name, str(e).splitlines()[0]))
     if not parts:
-        raise ValueError("none of the tables can be read")
-    return reduce(DataFrame.unionByName, parts)
+        raise ValueError(f"none of the tables can be read: {failed}")
+    long = reduce(DataFrame.unionByName, parts)
+    failures = long.sparkSession.createDataFrame(failed, "table string, error_message string")
+    category = error_category(words=SCAN_ERROR_WORDS, default="unknown")
+    return long, failures.select("table", category.alias("error_category"), "error_message")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

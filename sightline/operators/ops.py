@@ -110,9 +110,9 @@ def recent_alerts(alerts: DataFrame, as_of: Column, seconds: int = 3600) -> Data
     return alerts.filter((F.col("at_micros") <= as_of) & (as_of - F.col("at_micros") < seconds * SECOND))
 
 
-def recommendations(summary: DataFrame, resources: DataFrame, alerts: DataFrame, active: Column | int = 0) -> DataFrame:
-    """Advice rows for the broken rules, or one row when all is well."""
-    bad = resources.filter(F.col("error_rate") > 20).orderBy(F.desc("error_rate"), "resource_id").limit(3)
+def recommendations(summary: DataFrame, resources: DataFrame, alerts: DataFrame, active: Column | int = 0, worst: int = 3) -> DataFrame:
+    """Advice rows for the broken rules, or one row when all is well. The `worst` resources are named."""
+    bad = resources.filter(F.col("error_rate") > 20).orderBy(F.desc("error_rate"), "resource_id").limit(worst)
     names = bad.agg(F.array_join(F.sort_array(F.collect_list("resource_id")), ", ")).scalar()
     n_alerts = alerts.agg(F.count(F.lit(1))).scalar()
     active = F.lit(active) if isinstance(active, int) else active

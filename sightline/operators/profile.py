@@ -219,8 +219,7 @@ def requirement_reports(long: DataFrame, chosen: DataFrame) -> DataFrame:
     values, network visibility all values with a level, the others the twenty most frequent.
     """
     best = chosen.filter(F.col("rank") == 1).select("requirement", *COLUMN)
-    # At most one field per requirement, so this side is a handful of rows.
-    rows = long.filter(F.col("value").isNotNull()).join(F.broadcast(best), COLUMN)
+    rows = long.filter(F.col("value").isNotNull()).join(best, COLUMN)
     counts = rows.groupBy("requirement", *COLUMN, "value").agg(F.count(F.lit(1)).alias("total_count"))
     totals = counts.groupBy("requirement").agg(F.sum("total_count").alias("_all"))
     whole = F.col("requirement").isin("security_controls", "network_visibility")
@@ -228,7 +227,7 @@ def requirement_reports(long: DataFrame, chosen: DataFrame) -> DataFrame:
     top = top_per_group(counts.filter(~whole), ["requirement"], [F.desc("total_count"), F.col("value")], 20)
     rank = F.row_number().over(Window.partitionBy("requirement").orderBy(F.desc("total_count"), "value"))
     kept = top.withColumn("_rn", rank).filter(F.col("_rn") <= size).drop("_rn").unionByName(counts.filter(whole))
-    return kept.join(F.broadcast(totals), "requirement").select(
+    return kept.join(totals, "requirement").select(
         "requirement", *COLUMN, "value", "total_count",
         F.when(F.col("requirement") == "asset_coverage", F.round(percent("total_count", "_all"), 2)).alias("percentage"),
         F.when(F.col("requirement") == "network_visibility", visibility_level("total_count")).alias("visibility_level"),

@@ -145,8 +145,8 @@ def _source_totals(results: DataFrame) -> DataFrame:
     )
 
 
-def key_findings(results: DataFrame, ready: DataFrame) -> DataFrame:
-    """At most five findings: confident sources, weak areas, breadth."""
+def key_findings(results: DataFrame, ready: DataFrame, most: int = 5) -> DataFrame:
+    """At most `most` findings: confident sources, weak areas, breadth."""
     weak = ready.filter(F.col("status") == "NOT_READY").agg(F.sort_array(F.collect_list("area"))).scalar()
     text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
     wide = _source_totals(results).withColumn("_weak", weak)
@@ -156,7 +156,7 @@ def key_findings(results: DataFrame, ready: DataFrame) -> DataFrame:
         F.when(n_weak > 0, F.struct(text("Gaps in ", n_weak, " areas").alias("finding"), F.lit("negative").alias("impact"), F.concat(F.lit("Weak: "), F.array_join("_weak", ", ")).alias("detail"))),
         F.when(F.col("projects_analyzed") > 10, F.struct(text("Data from ", F.col("projects_analyzed"), " projects").alias("finding"), F.lit("positive").alias("impact"), F.lit("Visibility across the enterprise").alias("detail"))),
     ))
-    return wide.select(F.inline(F.slice(rows, 1, 5)))
+    return wide.select(F.inline(F.slice(rows, 1, most)))
 
 
 def compliance_frameworks(ready: DataFrame, by: Sequence[str] = (), frameworks: Mapping[str, Sequence[str]] = rules.FRAMEWORKS, to_area: Mapping[str, str] = rules.REQUIREMENT_TO_AREA) -> DataFrame:

@@ -144,7 +144,7 @@ def _profile_all(spark, base):
 def _catalog_profile(spark, base):
     load = loader(spark, base)
     tables = {t: load(t) for t in TABLES}
-    stats = prof.column_stats(prof.value_groups(lf.union_tables(tables, keep_nulls=True)))
+    stats = prof.column_stats(prof.value_groups(lf.union_tables(tables, keep_nulls=True)[0]))
     types = cat.measured_columns("lake", tables)
     quality = prof.table_quality(stats, types)
     patterns = prof.column_patterns(stats, types)

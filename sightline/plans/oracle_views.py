@@ -56,7 +56,7 @@ scan_jobs AS (SELECT o_orderkey AS id, o_custkey % 20 AS user_id, CASE o_orderst
   CAST(floor(o_totalprice / 10000) AS INT) AS mappings_found FROM orders)"""
 
 PROJECT_ACCESS = """
-project_access AS (SELECT DISTINCT user_id, event_type AS project_id FROM events WHERE event_type IN ('signup','purchase'))"""
+project_access AS (SELECT DISTINCT o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'purchase' WHEN 'O' THEN 'signup' ELSE 'error' END AS project_id FROM orders)"""
 
 
 def with_views(*parts: str, body: str) -> str:

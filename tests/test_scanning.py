@@ -154,8 +154,10 @@ def test_xml_and_base64_fragments(spark):
 
 def test_one_broken_table_does_not_stop_the_others(spark):
     good = spark.createDataFrame([("10.0.0.1",)], "v string")
-    out = lf.union_tables({"good": good, "bad": good}, {"bad": "no_such_key"})
+    out, failed = lf.union_tables({"good": good, "bad": good}, {"bad": "no_such_key"})
     assert [r["table"] for r in out.collect()] == ["good"]
+    assert [(r["table"], "no_such_key" in r["error_message"]) for r in failed.collect()] == [("bad", True)]
+    assert lf.union_tables({"good": good})[1].count() == 0
     with pytest.raises(ValueError):
         lf.union_tables({"bad": good}, {"bad": "no_such_key"})
 
