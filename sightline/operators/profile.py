@@ -162,27 +162,30 @@ def value_visibility(df: DataFrame, column: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------- field meaning
-def field_meaning(long: DataFrame, sampled: int = 100, scored: int = 10) -> DataFrame:
-    """Semantic type of each column from its name and some of its distinct values.
+def field_meaning(long: DataFrame, sampled: int | None = None, scored: int | None = None) -> DataFrame:
+    """Semantic type of each column from its name and its distinct values.
 
-    A type scores one point per pattern match in the name and in each of the scored values,
-    every value tested on its own; the best type wins, the earlier declared on a tie. Values
-    are sampled in the order of their digests, so that only digests are shuffled; the texts
-    of the few scored values are tested where they are read.
+    A type scores one point per pattern match in the name, and ten times the mean number of
+    matches in a value, every distinct value tested on its own; the best type wins, the earlier
+    declared on a tie. Only digests of values and their points are shuffled. A quick look may
+    count `sampled` values and test `scored` of them, taken in the order of their digests.
     """
-    digests = long.filter(F.col("value").isNotNull()).select(*COLUMN, F.md5("value").alias("_d"))
-    order = Window.partitionBy(*COLUMN).orderBy("_d")
-    ranked = digests.distinct().withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= sampled)
-    chosen = ranked
     points = lambda text, patterns: sum((F.regexp_count(text, F.lit("(?i)" + p)) for p in patterns), F.lit(0))
-    tested = (
-        long.withColumn("_d", F.md5("value")).join(chosen.filter(F.col("_rn") <= scored).drop("_rn"), [*COLUMN, "_d"])
-        .groupBy(*COLUMN, "_d").agg(*[F.max(points(F.col("value"), p)).alias(f"_p_{t}") for t, p in SEMANTIC_PATTERNS.items()])
-        .groupBy(*COLUMN).agg(*[F.sum(f"_p_{t}").alias(f"_p_{t}") for t in SEMANTIC_PATTERNS])
-    )
-    sums = tested.join(chosen.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("sample_count")), COLUMN)
+    values = long.filter(F.col("value").isNotNull()).withColumn("_d", F.md5("value"))
+    if sampled is not None or scored is not None:
+        order = Window.partitionBy(*COLUMN).orderBy("_d")
+        ranked = values.select(*COLUMN, "_d").distinct().withColumn("_rn", F.row_number().over(order))
+        chosen = ranked.filter(F.col("_rn") <= sampled) if sampled is not None else ranked
+        values = values.join(chosen.filter(F.col("_rn") <= scored) if scored is not None else chosen, [*COLUMN, "_d"])
+    once = values.groupBy(*COLUMN, "_d").agg(*[F.max(points(F.col("value"), p)).alias(f"_p_{t}") for t, p in SEMANTIC_PATTERNS.items()])
+    sums = once.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_p_{t}").alias(f"_p_{t}") for t in SEMANTIC_PATTERNS])
+    if sampled is not None or scored is not None:
+        sums = sums.join(chosen.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("sample_count")), COLUMN)
+    else:
+        sums = sums.withColumn("sample_count", F.col("_n"))
+    # Scores times the number of values, so that they stay whole numbers.
     candidates = [
-        F.struct((F.col(f"_p_{t}") + points(F.col("column"), p)).alias("score"), F.lit(-i).alias("priority"), F.lit(t).alias("type"))
+        F.struct((10 * F.col(f"_p_{t}") + F.col("_n") * points(F.col("column"), p)).alias("score"), F.lit(-i).alias("priority"), F.lit(t).alias("type"))
         for i, (t, p) in enumerate(SEMANTIC_PATTERNS.items())
     ]
     best = F.array_max(F.array(*candidates))
@@ -192,7 +195,7 @@ def field_meaning(long: DataFrame, sampled: int = 100, scored: int = 10) -> Data
         .select(
             *COLUMN,
             F.when(F.col("_best.score") > 0, F.col("_best.type")).otherwise("unknown").alias("semantic_type"),
-            F.least(F.col("_best.score") / 10.0, F.lit(1.0)).alias("confidence"),
+            F.least(F.col("_best.score") / (10 * F.col("_n")), F.lit(1.0)).alias("confidence"),
             "sample_count",
         )
         .withColumn("relevance", relevance)

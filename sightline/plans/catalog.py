@@ -299,11 +299,11 @@ def _points(text, patterns):
 
 
 _FIELDS = "l AS (" + " UNION ALL ".join(f"SELECT 'assets' AS tbl, '{c}' AS col, {c} AS v FROM assets WHERE {c} IS NOT NULL" for c in _TEXTS) + """),
-u AS (SELECT tbl, col, v, row_number() OVER (PARTITION BY tbl, col ORDER BY md5(v)) AS rn FROM (SELECT DISTINCT tbl, col, v FROM l)),
-w AS (SELECT tbl, col, count(*) FILTER (WHERE rn <= 100) AS sample_count, """ + ", ".join(
-    f"sum(CASE WHEN rn <= 10 THEN {_points('v', p)} ELSE 0 END) + any_value({_points('col', p)}) AS p_{t}" for t, p in rules.SEMANTIC_PATTERNS.items()) + """ FROM u GROUP BY tbl, col),
+u AS (SELECT DISTINCT tbl, col, v FROM l),
+w AS (SELECT tbl, col, count(*) AS sample_count, """ + ", ".join(
+    f"10 * sum({_points('v', p)}) + count(*) * any_value({_points('col', p)}) AS p_{t}" for t, p in rules.SEMANTIC_PATTERNS.items()) + """ FROM u GROUP BY tbl, col),
 x AS (SELECT *, greatest(""" + ", ".join(f"p_{t}" for t in rules.SEMANTIC_PATTERNS) + """) AS best FROM w),
-y AS (SELECT tbl, col, sample_count, CASE WHEN best = 0 THEN 'unknown' """ + " ".join(f"WHEN p_{t} = best THEN '{t}'" for t in rules.SEMANTIC_PATTERNS) + """ END AS semantic_type, least(best / 10.0, 1.0) AS confidence FROM x),
+y AS (SELECT tbl, col, sample_count, CASE WHEN best = 0 THEN 'unknown' """ + " ".join(f"WHEN p_{t} = best THEN '{t}'" for t in rules.SEMANTIC_PATTERNS) + """ END AS semantic_type, least(best / (10.0 * sample_count), 1.0) AS confidence FROM x),
 f AS (SELECT *, CASE semantic_type """ + " ".join(f"WHEN '{t}' THEN {r}" for t, r in rules.SEMANTIC_RELEVANCE.items()) + """ ELSE 0.3 END AS relevance, 1.0 AS quality_score FROM y),
 m(requirement, t) AS (VALUES """ + ", ".join(f"('{r}', '{t}')" for r, ts in rules.REQUIREMENTS.items() for t in ts) + """),
 ch AS (SELECT requirement, row_number() OVER (PARTITION BY requirement ORDER BY relevance * confidence DESC, tbl, col) AS rank, tbl, col, semantic_type, relevance * confidence AS score

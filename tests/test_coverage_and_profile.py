@@ -152,6 +152,15 @@ def test_field_meaning_scores_each_value(spark):
     assert got["other"] == ("unknown", 0.0, 0.3)
 
 
+def test_field_meaning_looks_at_all_values(spark):
+    # One value in twenty is an address; a look at a few may miss it.
+    df = spark.createDataFrame([(f"10.0.0.{i}" if i % 20 == 0 else f"v{i}",) for i in range(200)], "other string")
+    row = prof.field_meaning(lf.to_long(df, "t")).first()
+    assert (row["semantic_type"], row["sample_count"]) == ("ip_address", 200) and 0 < row["confidence"] < 0.1
+    quick = prof.field_meaning(lf.to_long(df, "t"), 100, 10).first()
+    assert quick["sample_count"] == 100
+
+
 def test_requirement_reports(spark):
     df = spark.createDataFrame([(f"10.0.0.{i % 12}",) for i in range(100)], "addr string")
     long = lf.to_long(df, "t")
