@@ -10,7 +10,6 @@ longer ones one at a time.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from itertools import islice
 
@@ -25,8 +24,8 @@ from sightline.llm.common import with_columns_in_arrow
 
 #: Largest rank file that is sent to every task.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Distinct pieces or words a worker remembers; beyond that it starts anew. Changes no result.
-REMEMBERED = 400_000
+#: Distinct pieces or words a task remembers; beyond that it starts anew. Changes no result.
+REMEMBERED = 200_000
 WIDEST = 64
 #: Texts from this length on are taken apart in blocks of pieces. Changes no result.
 LONG_TEXT = 1 << 22
@@ -284,18 +283,6 @@ def parts_of(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_made: dict[bytes, Encoder] = {}
-
-
-def encoder(content: bytes, pattern: str) -> Encoder:
-    """One per worker and vocabulary; it keeps the pieces it has seen."""
-    key = hashlib.sha256(content + pattern.encode()).digest()
-    if key not in _made:
-        _made.clear()
-        _made[key] = Encoder(content, pattern)
-    return _made[key]
-
-
 def vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
         content = f.read(MAX_VOCABULARY_BYTES + 1)
@@ -313,8 +300,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str
     content = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def work():
-        gc.disable()  # word lists have no cycles, and walking them all again and again is dear
-        bpe = encoder(content.value, pattern)
+        bpe = Encoder(content.value, pattern)
 
         def do(column: pa.Array) -> list[pa.Array]:
             parts = bpe.encode_all([t or "" for t in column.to_pylist()])
