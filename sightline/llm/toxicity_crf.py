@@ -24,8 +24,8 @@ from sightline.llm.fm_index import _WORD, words_of
 
 #: Labelled documents learned from at most: those first in a hashed order of their ids.
 TOXIC_DOCS, CLEAN_DOCS = 500, 3000
-#: Clean documents that take part in fitting the field itself.
-CLEAN_IN_FIELD = 500
+#: Tokens of toxic and of clean documents that take part in fitting the field itself, and tokens tagged at once.
+FIELD_TOKENS, AT_ONCE = (100_000, 260_000), 50_000
 BITS, ROUNDS, STEP, RIDGE = 18, 40, 0.5, 1e-4
 #: A word or beginning marks toxic tokens from such log odds on, if a likelihood ratio test tells it from chance.
 MIN_ODDS, MIN_RATIO = 2.5, 25.0
@@ -121,29 +121,49 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     order: dict[int, list[list[bytes]]] = {0: [], 1: []}
     once: dict[bytes, bytes] = {}  # each distinct word is held once
     texts = [(r["y"], crc32(str(r["k"]).encode()), [once.setdefault(w, w) for w in words_of(r["t"])]) for r in rows.toLocalIterator()]
-    for y, _, words in sorted(texts, key=lambda r: r[:2]):
+    for y, _, words in without_copies(sorted(texts, key=lambda r: r[:2])):
         order[y].append(words)
     if not order[0] or not order[1]:
         return None
     return fit(order[1], order[0], shares[1] / (shares[0] + shares[1]))
 
 
+def without_copies(texts: list[tuple[int, int, list[bytes]]]) -> list[tuple[int, int, list[bytes]]]:
+    """One of each group of near copies among the sampled documents, whose words would otherwise look like
+    those of many documents: texts that share the least of their 4-word digests, by two hashes."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for row in texts:
+        words = row[2]
+        hashed = [crc32(b" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3))]
+        marks = {(k, min(h * m & 0xFFFFFFFF for h in hashed)) for k, m in enumerate((1, 0x9E3779B1))}
+        if seen.isdisjoint(marks):
+            out.append(row)
+        seen |= marks
+    return out
+
+
 def fit(toxic: list[list[bytes]], clean: list[list[bytes]], share: float) -> Model:
     """`share` is that of toxic documents outside the sample."""
-    counts = [{}, {}]
-    for y, texts in ((0, clean), (1, toxic)):
-        for words in texts:
-            for x in {b for w in set(words) for b in beginnings(w)}:
-                counts[y][x] = counts[y].get(x, 0) + 1
+    counts: list[dict[bytes, int]] = [{}, {}]
+    for words in toxic:
+        for x in {b for w in set(words) for b in beginnings(w)}:
+            counts[1][x] = counts[1].get(x, 0) + 1
+    # A word of one toxic document marks nothing, so clean ones are counted for the others only.
+    counts[1] = {x: n for x, n in counts[1].items() if n > 1}
+    for words in clean:
+        for x in {b for w in set(words) for b in beginnings(w)} & counts[1].keys():
+            counts[0][x] = counts[0].get(x, 0) + 1
     marks = {x for x, n in counts[1].items() if marked(n, counts[0].get(x, 0), len(toxic), len(clean))}
-    field = [*toxic, *clean[:CLEAN_IN_FIELD]]
+    of_toxic = beginning(toxic, FIELD_TOKENS[0])
+    field = [*of_toxic, *beginning(clean, FIELD_TOKENS[1])]
     tag_of: dict[bytes, int] = {}
     words, tags = [], []
     for i, text in enumerate(field):
         for w in text:
             if w not in tag_of:
                 tag_of[w] = int(not marks.isdisjoint(beginnings(w)))
-            tags.append(tag_of[w] if i < len(toxic) else 0)
+            tags.append(tag_of[w] if i < len(of_toxic) else 0)
         words += text
     ends = np.cumsum([len(t) for t in field])
     first = np.zeros(len(words), bool)
@@ -178,13 +198,24 @@ def fit(toxic: list[list[bytes]], clean: list[list[bytes]], share: float) -> Mod
             values[k] = values[k] - STEP * (moment[k] / (1 - 0.9**round_)) / (np.sqrt(size[k] / (1 - 0.99**round_)) + 1e-10)
         weights, trans, bias = values[0], values[1], float(values[2])
     model = Model(weights.astype(np.float32), trans, bias, (0.0, 0.0, 0.0))
-    most, expected = summary(*Tagger(model).marginals([*toxic, *clean]))
+    tagger, texts, seen = Tagger(model), [*toxic, *clean], []
+    while texts:
+        part = beginning(texts, AT_ONCE)
+        seen.append(summary(*tagger.marginals(part)))
+        texts = texts[len(part) :]
+    most, expected = (np.concatenate(x) for x in zip(*seen, strict=True))
     label = np.array([1.0] * len(toxic) + [0.0] * len(clean))
     importance = np.where(label > 0, share / len(toxic), (1 - share) / len(clean))
     model.calibration = calibrated(most / 10, expected, label, importance)
     return model
 
 
+def beginning(texts: list[list[bytes]], tokens: int) -> list[list[bytes]]:
+    """The first texts that have so many tokens together, one at least."""
+    n = int(np.searchsorted(np.cumsum([len(t) for t in texts]), tokens, side="right"))
+    return texts[: max(1, n)]
+
+
 def marked(toxic: int, clean: int, all_toxic: int, all_clean: int) -> bool:
     """Whether a word of so many toxic and clean documents tells toxic ones."""
     if math.log((toxic + 0.5) / (all_toxic + 1)) - math.log((clean + 0.5) / (all_clean + 1)) < MIN_ODDS:
