@@ -1,0 +1,49 @@
+import random
+
+import pytest
+
+from sightline.llm import shingle_similarity as J
+from sightline.llm import simhash_covering as S
+from tests.llm import rows
+
+
+def changed(text, n, seed):
+    """The text with n words replaced, far from each other."""
+    words = text.split()
+    for i in random.Random(seed).sample(range(0, len(words), 6), n):
+        words[i] = f"changed{seed}x{i}"
+    return " ".join(words)
+
+
+def similarity(a, b):
+    x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("part", [1024, 3])
+def test_changed_words_above_the_bound_go_and_below_stay(spark, tmp_path, monkeypatch, part):
+    monkeypatch.setattr(J, "PART", part)
+    data, groups = [], {}
+    for g in range(12):
+        base = rows.prose(1000 + g, 300)
+        texts = [base] + [changed(base, n, 10 * g + n) for n in (2, 4, 5, 6, 9, 14)]
+        for i, t in enumerate(texts):
+            data.append((100 * g + i, t))
+        groups.update({100 * g + i: texts[i] for i in range(len(texts))})
+    root = {i: i for i in groups}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(groups)
+    near = [(a, b) for a in ids for b in ids if a < b and a // 100 == b // 100 and similarity(groups[a], groups[b]) >= 0.8]
+    assert any(similarity(groups[a], groups[b]) < 0.85 for a, b in near)
+    for a, b in near:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    rows.documents(spark, rows=[(i, t, "en", "s", len(t)) for i, t in data]).write.parquet(str(tmp_path / "d"))
+    kept = {r.doc_id for r in S.one_of_each(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert kept == {find(i) for i in ids}
+    assert len(near) > 12 * 3 and len(kept) > 12
