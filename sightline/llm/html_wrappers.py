@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are aligned by simple tree matching into one wrapper per host. Nodes whose text is
-the same on all pages are template, nodes whose text varies are slots. The content region is the
+Pages of a host are aligned by simple tree matching into one wrapper per host. Pages of one text count
+once. Nodes whose text is the same on most pages are template, nodes whose text varies or that few
+pages have are slots. The content region is the
 smallest container that holds all varying text outside menus and the like; each page is aligned
 with its host's wrapper, and the text of what matches the region comes out, block by block.
 
@@ -24,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import free_name, stored, with_columns_in_arrow
+from sightline.llm.common import BATCH_ROWS, free_name, stored, with_columns_in_arrow
 
 #: Wrappers of all hosts together are sent to every task up to this size; beyond it they are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Partial wrappers of a host are first merged in so many groups.
 SALTS = 64
-#: Hosts a task keeps a partial wrapper of; beyond that it hands them on.
-HOSTS_AT_ONCE = 2000
+#: Digests of pages a task remembers, so as to hand on one copy only; beyond that it starts anew. Changes no count.
+REMEMBERED = 1_000_000
 #: A node with more children than this has children of one label merged wherever they stand.
 MANY_CHILDREN = 64
 
@@ -230,8 +231,8 @@ def _alone(x: dict) -> dict:
 
 
 def varies(w: dict, pages: int) -> bool:
-    """Whether text differs between pages somewhere below, or was seen on one page only."""
-    return not w["b"] and (w["x"] and (w["t"] is None or w["n"] == 1 or pages == 1) or any(varies(c, pages) for c in w["c"]))
+    """Whether text differs between pages somewhere below, or was not seen on most of the host's `pages`."""
+    return not w["b"] and (w["x"] and (w["t"] is None or 2 * w["n"] <= pages or pages == 1) or any(varies(c, pages) for c in w["c"]))
 
 
 def has_text(w: dict) -> bool:
@@ -265,16 +266,16 @@ def region_nodes(page: dict, wrapper: dict, way: list[int]) -> tuple[list[Node],
     return page["at"], page, wrapper
 
 
-def template_nodes(page: dict, wrapper: dict, out: set[int]) -> None:
-    """Nodes outside an article whose text is the same on three pages or more."""
+def template_nodes(page: dict, wrapper: dict, pages: int, out: set[int]) -> None:
+    """Nodes outside an article whose text is the same on three pages or more and on most of the host's `pages`."""
     for i, j in matching(page["c"], wrapper["c"]):
         p, w = page["c"][i], wrapper["c"][j]
         if w["l"].split(".")[0] in MAIN:
             continue
-        if w["n"] >= 3 and has_text(w) and not varies(w, w["n"]):
+        if w["n"] >= 3 and has_text(w) and not varies(w, pages):
             out.update(map(id, p["at"]))
         else:
-            template_nodes(p, w, out)
+            template_nodes(p, w, pages, out)
 
 
 def blocks(nodes: list[Node], template: set[int]) -> list[str]:
@@ -312,7 +313,7 @@ def main_text(page: str | None, wrapper: str | None) -> str:
         w = json.loads(wrapper)
         found = region_nodes(seen, w, w["way"])
         if found and w["way"] is not None and found[2]["l"].split(".")[0] not in MAIN and w["n"] >= 3 and varies(found[2], w["n"]):
-            template_nodes(found[1], found[2], template)
+            template_nodes(found[1], found[2], w["n"], template)
     if not found:
         found = region_nodes(seen, seen, region_of(seen))
     return "\n".join(blocks(found[0], template))
@@ -325,24 +326,45 @@ def host_of(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper) over all pages. Each task folds its pages into partial wrappers; those of a
-    host are merged in SALTS groups and then into one, in a fixed order."""
+    """(host, wrapper) over the distinct pages of each host: those of one text, without what is never
+    content, are one page. Outlines are dealt out by text, each task hands on one per text and then
+    folds its distinct ones into partial wrappers; those of a host are merged in SALTS groups and
+    then into one, in a fixed order."""
     schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("salt", T.IntegerType()), T.StructField("wrapper", T.StringType())])
 
+    def outlines(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            rows = []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                root = parse(page)
+                text = "\n".join(blocks([root], set()))
+                mark = blake2b(f"{host}\n{text}".encode("utf-8", "replace"), digest_size=16).digest()
+                if mark not in seen:
+                    seen.add(mark)
+                    rows.append((host, mark, json.dumps(_alone(outline(root)))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.string()), strict=True)], names=["host", "mark", "wrapper"])
+            if len(seen) > REMEMBERED:
+                seen.clear()
+
     def partial(batches):
-        kept: dict[str, dict] = {}
+        """Rows come sorted by host and mark."""
+        host = mark = kept = None
 
         def out():
-            rows = [(h, int(blake2b(s.encode(), digest_size=4).hexdigest(), 16) % SALTS, s) for h, s in ((h, json.dumps(w)) for h, w in kept.items())]
-            kept.clear()
-            return pa.RecordBatch.from_pylist([dict(zip(schema.fieldNames(), r, strict=True)) for r in rows], schema=pa.schema([("host", pa.string()), ("salt", pa.int32()), ("wrapper", pa.string())]))
+            text = json.dumps(kept)
+            salt = int(blake2b(text.encode(), digest_size=4).hexdigest(), 16) % SALTS
+            return pa.RecordBatch.from_arrays([pa.array([host]), pa.array([salt], pa.int32()), pa.array([text])], names=schema.fieldNames())
 
         for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = _alone(outline(parse(page)))
-                kept[host] = merge(kept[host], seen) if host in kept else seen
-                if len(kept) > HOSTS_AT_ONCE:
-                    yield out()
+            for h, m, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if h != host:
+                    if kept:
+                        yield out()
+                    host, mark, kept = h, m, json.loads(text)
+                elif m != mark:
+                    mark, kept = m, merge(kept, json.loads(text))
         if kept:
             yield out()
 
@@ -361,7 +383,11 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
         return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(made | {"way": region_of(made)})]})
 
     rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html")).where("host is not null and html is not null")
-    made = rows.mapInArrow(partial, schema).groupBy("host", "salt").applyInPandas(in_group, "host string, wrapper string")
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    seen = rows.mapInArrow(outlines, "host string, mark binary, wrapper string")
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = seen.repartition(n, "host", "mark").sortWithinPartitions("host", "mark", "wrapper")
+    made = dealt.mapInArrow(partial, schema).groupBy("host", "salt").applyInPandas(in_group, "host string, wrapper string")
     return made.groupBy("host").applyInPandas(at_last, "host string, wrapper string")
 
 

@@ -65,3 +65,19 @@ def test_tree_matching_counts_pairs():
 @pytest.mark.parametrize("html", ["<p><b>x<br><p>y", "<ul><li>x<li>y</ul>", "<table><tr><td>x<td>y</table>", "<div>x<div>y</div></div>"])
 def test_missing_end_tags(html):
     assert H.main_text(html, None) == "x\ny"
+
+
+def test_copies_count_once_and_template_is_on_most_pages(spark):
+    """What only copies of one page have, or a few of many pages, is no template."""
+    page = "<body><div class=top>Slogan</div><div class=content><p>Own {n}.</p>{more}<h6>Contact us</h6></div>{beside}</body>"
+    data = [(i, "http://h/", page.format(n=i, more="<h2>Introduction</h2>" if i < 3 else "", beside="")) for i in range(9)]
+    copied = page.format(n=50, more="<ul><li>Only here</ul>", beside="<div class=more><p>Beside.</p></div>")
+    data += [(i, "http://h/", copied) for i in range(50, 54)]
+    got = {n: t for n, t, _ in texts(spark, data)}
+    assert all(got[i] == (f"Own {i}.\nIntroduction" if i < 3 else f"Own {i}.") for i in range(9))
+    assert all(got[i] == "Own 50.\nOnly here\nBeside." for i in range(50, 54))
+
+
+def test_copies_of_one_page_keep_its_text(spark):
+    data = [(i, "http://h/", "<div class=a><p>x</div><div class=b><p>y</div>") for i in range(5)]
+    assert [t for _, t, _ in texts(spark, data)] == ["x\ny"] * 5
