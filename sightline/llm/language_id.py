@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import bounded_rows, fold, held_out, slices, utf8, with_columns_in_arrow
+from sightline.llm.common import fold, held_out, slices, utf8, with_columns_in_arrow
 
 UNDETERMINED = "und"
 #: 2 ** BITS buckets; n-grams of these lengths; additive smoothing.
 BITS, LENGTHS, SMOOTHING = 16, (1, 2, 3), 0.1
-#: Rows learned from at most: those first in a hashed order of their ids.
+#: Documents learned from at most: of each language those first in a hashed order of their ids.
 TRAIN_ROWS = 20_000
 #: Largest model that is sent to every task.
 MAX_MODEL_BYTES = 256 << 20
@@ -80,33 +80,67 @@ class Model:
     log_prior: np.ndarray
 
 
+def shares(ids: dict[str, int], bound: int) -> dict[str, int]:
+    """How many ids of each language are learned: all of them where they are few, and at least one."""
+    out, left = {}, bound
+    for i, (x, n) in enumerate(sorted(ids.items(), key=lambda r: (r[1], r[0]))):
+        out[x] = min(n, max(1, left // (len(ids) - i)))
+        left -= out[x]
+    return out
+
+
+def last_hashes(ids: DataFrame, sizes: dict[str, int], bound: int) -> dict[str, int]:
+    """Of each language, the largest hash that is learned. `ids` has l and h, each pair once.
+
+    Only hashes that may be among the first come to the driver: little more than `bound` of them.
+    """
+    some = {x: k for x, k in shares(sizes, bound).items() if k < sizes[x]}
+    out = dict.fromkeys(sizes, (1 << 63) - 1)
+    if some:
+        # Hashes are even: the k-th of n lies near k / n of the way.
+        reach = {x: min((1 << 63) - 1, int(((k + 10 * k**0.5 + 20) / sizes[x]) * (1 << 64)) - (1 << 63)) for x, k in some.items()}
+        near = ids.sparkSession.createDataFrame(list(reach.items()), "l string, reach long")
+        found: dict[str, list[int]] = {x: [] for x in some}
+        for r in ids.join(F.broadcast(near), "l").where("h <= reach").select("l", "h").toLocalIterator():
+            found[r["l"]].append(r["h"])
+        for x, k in some.items():
+            first = sorted(found[x])
+            out[x] = first[min(k, len(first)) - 1] if first else reach[x]
+    return out
+
+
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", bound: int = TRAIN_ROWS) -> Model:
-    """Learn from at most `bound` rows with text and language."""
-    chosen = bounded_rows(rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l")), F.col("k"), bound)
-    chosen = chosen.select("k").distinct()
-    known = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    sample = known.join(F.broadcast(chosen), "k", "left_semi").select("l", "t")
+    """Learn from at most `bound` ids with text and language, as many of each language as fit.
+
+    A language with fewer ids than its share is learned whole, the others share the rest alike, so
+    that no language is left out for being rare. The prior is that of all labelled rows.
+    """
+    known = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.xxhash64(F.col(key)).alias("h"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    ids = known.groupBy("l", "h").agg(F.count("*").alias("n"))
+    of_language = {r["l"]: r for r in ids.groupBy("l").agg(F.count("*").alias("ids"), F.sum("n").alias("rows")).collect()}
+    last = last_hashes(ids, {x: r["ids"] for x, r in of_language.items()}, bound)
+    cuts = rows.sparkSession.createDataFrame(list(last.items()), "l string, last long")
+    sample = known.join(F.broadcast(cuts), "l").where("h <= last").select("l", "t")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
+        seen: set[str] = set()
         for batch in batches:
             for part in slices(batch, 1):
                 langs = part.column(0).to_pylist()
                 names = sorted(set(langs))
+                seen.update(names)
                 index = np.array([names.index(x) for x in langs], np.int64)
                 codes, who, _ = letters(part.column(1))
                 for bucket, own in grams(codes, who):
                     n = np.bincount((index[own] << BITS) + bucket, minlength=len(names) << BITS).reshape(len(names), -1)
                     for i, x in enumerate(names):
                         total[x] = total[x] + n[i] if x in total else n[i]
-                for x in langs:
-                    docs[x] = docs.get(x, 0) + 1
         for x, n in total.items():
             hit = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"l": [x] * (len(hit) + 1), "bucket": np.append(hit, -1).astype(np.int32), "n": np.append(n[hit], docs.pop(x))})
-        if docs:
-            yield pa.RecordBatch.from_pydict({"l": list(docs), "bucket": np.full(len(docs), -1, np.int32), "n": np.array(list(docs.values()), np.int64)})
+            yield pa.RecordBatch.from_pydict({"l": [x] * len(hit), "bucket": hit.astype(np.int32), "n": n[hit]})
+        if seen:  # also languages without a letter
+            yield pa.RecordBatch.from_pydict({"l": list(seen), "bucket": np.full(len(seen), -1, np.int32), "n": np.zeros(len(seen), np.int64)})
 
     counts = sample.mapInArrow(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n"))
     counts = counts.groupBy("l").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).orderBy("l")
@@ -114,10 +148,9 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     for row in counts.toLocalIterator():
         n = np.full(1 << BITS, SMOOTHING)
         for bucket, k in row["c"]:
-            if bucket < 0:
-                prior.append(k)
-            else:
+            if bucket >= 0:
                 n[bucket] += k
+        prior.append(of_language[row["l"]]["rows"])
         languages.append(row["l"])
         log_p.append(np.log(n / n.sum()).astype(np.float32))
         if len(log_p) * log_p[0].nbytes > MAX_MODEL_BYTES:

@@ -42,3 +42,17 @@ def test_clashing_columns_are_replaced_and_nothing_learned(spark):
     got = L.predict(df, L.train(df.where("lang = 'none'"))).collect()
     assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)} and got[0].host == "host!"
     assert L.languages_of(rows.nothing(spark)).count() == 0
+
+
+def test_rare_languages_are_learned(spark):
+    data = [(i, text("aa", i), "aa", "s", 0) for i in range(400)] + [(1000 + i, text("bb", i), "bb", "s", 0) for i in range(3)]
+    df = rows.documents(spark, rows=data)
+    model = L.train(df, bound=20)
+    assert model.languages == ["aa", "bb"]
+    assert [round(float(x), 6) for x in __import__("numpy").exp(model.log_prior) * 403] == [400, 3]
+    got = {r.doc_id: r.lang_pred for r in L.predict(rows.documents(spark, rows=[(1, text("bb", 77), None, None, 0)]), model).collect()}
+    assert got == {1: "bb"}
+    ids = df.selectExpr("lang as l", "xxhash64(doc_id) as h")
+    last = L.last_hashes(ids, {"aa": 400, "bb": 3}, 20)
+    assert {x: ids.where(f"l = '{x}' and h <= {n}").count() for x, n in last.items()} == {"aa": 17, "bb": 3}
+    assert L.shares({"a": 1, "b": 50, "c": 7}, 20) == {"a": 1, "c": 7, "b": 12} and L.shares({"a": 5, "b": 5}, 1) == {"a": 1, "b": 1}
