@@ -318,16 +318,12 @@ def decode(docs: DataFrame, path: str, ids: str = "token_ids", to: str = "decode
     An id that the vocabulary lacks fails the job.
     """
     content = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    kept = [c for c in docs.columns if c.lower() != to.lower()]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(to, T.BinaryType())])
 
-    def run(batches):
+    def work():
         decoder = Decoder({rank: token for token, rank in parse_ranks(content.value).items()})
-        for batch in batches:
-            made = [decoder(x) for x in parts_of(batch.column(batch.schema.get_field_index(ids)))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(made, pa.binary())], names=schema.fieldNames())
+        return lambda column: [pa.array([decoder(x) for x in parts_of(column)], pa.binary())]
 
-    return docs.mapInArrow(run, schema)
+    return with_columns_in_arrow(docs, [ids], {to: T.BinaryType()}, work)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

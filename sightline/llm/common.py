@@ -50,9 +50,10 @@ def with_columns_in_arrow(df: DataFrame, inputs: list[str], outputs: dict[str, T
     lower = {c.lower() for c in outputs}
     kept = [f for f in df.schema.fields if f.name.lower() not in lower]
     extra = [c for c in inputs if c not in {f.name for f in kept}]
-    schema = T.StructType([*kept, *(T.StructField(k, v, True) for k, v in outputs.items())])
+    # Neutral names on the way: a name with a dot cannot be looked up unquoted.
+    schema = T.StructType([T.StructField(f"column {i}", t, True) for i, t in enumerate([*(f.dataType for f in kept), *outputs.values()])])
     n = len(kept)
-    source = df.select(*[F.col(f"`{f.name}`") for f in kept], *[F.col(f"`{c}`").alias(f"{i}:{c}") for i, c in enumerate(extra)])
+    source = df.select(*[F.col(f"`{c}`").alias(f"column {i}") for i, c in enumerate([*(f.name for f in kept), *extra])])
     where = [next((i for i, f in enumerate(kept) if f.name == c), None) for c in inputs]
     where = [n + extra.index(c) if i is None else i for c, i in zip(inputs, where, strict=True)]
     names = schema.fieldNames()
@@ -72,7 +73,8 @@ def with_columns_in_arrow(df: DataFrame, inputs: list[str], outputs: dict[str, T
             gc.enable()
             gc.collect()
 
-    return source.mapInArrow(run, schema)
+    made = source.mapInArrow(run, schema)
+    return made.select(*[F.col(f"`column {i}`").alias(c) for i, c in enumerate([*(f.name for f in kept), *outputs])])
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm import shingle_similarity
 from sightline.llm.common import free_name, stored, utf8, with_columns_in_arrow
 
 RADIUS, BITS, SHINGLE, SEED = 4, 64, 4, 42
@@ -196,23 +195,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = shingle_similarity.SHINGLE, similarity: float = shingle_similarity.SIMILARITY) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies, with its columns: that of the least key (nulls last), and
     of several such rows the one read first.
 
-    Near copies are texts whose sets of word shingles have this Jaccard similarity or more, compared
-    exactly, and what is joined by such texts. The digests of `near_duplicates` are too coarse for
-    that: at similarity 0.8 most pairs differ in more than RADIUS bits. Rows are told apart by where
+    Groups are those of `near_duplicates`: digests of SHINGLE words linked at RADIUS bits or fewer.
+    Null, empty and blank texts share the digest 0, so one of them stays. Rows are told apart by where
     they stand in the input, so repeated keys do no harm; `docs` must be a stored table, since it is
-    read three times.
+    read twice.
     """
     row = free_name(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    slim = numbered.select(F.col(row).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    rows = stored(shingle_similarity.with_signatures(slim, "text", shingle).drop("text"))
-    links = shingle_similarity.similar_links(rows, slim.select("row", "text"), components, shingle, similarity)
-    # Rows of one set of shingles are one row first, so no set is hot in the join.
+    slim = numbered.select(F.col(f"`{row}`").alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = stored(with_fingerprints(slim).drop("text"))
+    # Rows of one fingerprint are one row first, so no fingerprint is hot in the join.
     first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("row")))
     lowest = rows.groupBy(F.col("fp").alias("node")).agg(first.alias("first"))
-    kept = lowest.join(components(links), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    rooted = lowest.join(components(near_links(rows)), "node", "left")
+    kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return numbered.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").drop(row)

@@ -26,7 +26,7 @@ def document_rows():
 
 
 #: Names that the operators use themselves.
-CLASHING = ["score", "n_words", "fp", "row", "_row", "host", "wrapper", "q_text", "lang_pred", "token_ids", "hit_spans", "root", "key", "t", "size", "shard", "slot"]
+CLASHING = ["score", "n_words", "fp", "row", "_row", "host", "wrapper", "q_text", "lang_pred", "token_ids", "hit_spans", "root", "key", "t", "size", "shard", "slot", "a.b", "text.size"]
 
 
 def documents(spark, clash=False, rows=None):
