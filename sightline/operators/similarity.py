@@ -1,13 +1,23 @@
-"""Rows with similar vectors: an exact cosine join without comparing everything.
+"""Rows with similar vectors, without comparing everything.
 
-Equal vectors are collapsed first. Each distinct vector has a home cell (its nearest pivot),
-cells are cut into blocks of limited size, and by the triangle inequality on angles a vector
-is sent only to blocks whose cell can hold a vector within the threshold. Every pair of
-blocks is one matrix product inside one task, and only pairs above the threshold leave it.
+Equal vectors are collapsed first. Then one of two ways:
+
+- `similar_rows` is exact. Each distinct vector has a home cell (its nearest pivot; about the root of
+  the number of vectors are pivots), and each cell is cut into rings by the angle to its pivot. The
+  blocks that come out know, for their own pivot and for some pivots common to all, the least and the
+  greatest angle of their members. By the triangle inequality a vector is sent only to blocks that
+  can hold another one within the threshold.
+- `hashed_rows` finds each pair with a given probability. Vectors on the same side of some random
+  planes meet in a bucket, over as many tables as the probability needs.
+
+In both, two blocks meet in one task as matrix products, and only what may be kept leaves it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,7 +27,15 @@ from sightline.session import ensure_checkpoint_dir
 
 SALTS = 8
 SLACK = 1e-6  # angles are compared with a little room, the cosine itself decides
-SLICE = 256  # rows expanded at a time
+SLICE = 256  # rows expanded or compared at a time
+MAX_PIVOTS = 4096
+#: Blocks are known to every task. Beyond so many, blocks grow instead.
+MAX_BLOCKS = 1 << 16
+COMMON = 8  # pivots to which every block knows its bounds
+BINS = 2048  # of the angle, from which rings are made
+MAX_TABLES = 256
+
+VECTORS = "vkey string, ids array<bigint>, vec array<float>"
 
 
 def _unit(vectors) -> np.ndarray:
@@ -25,6 +43,10 @@ def _unit(vectors) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _angles(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ centres.T, -1.0, 1.0))
+
+
 def _distinct_vectors(df: DataFrame, key: str, vector: str, keep: int) -> DataFrame:
     """Distinct vectors with the smallest ids that carry them."""
     norm = F.aggregate(F.col("vec"), F.lit(0.0), lambda a, x: a + x * x)
@@ -36,85 +58,166 @@ def _distinct_vectors(df: DataFrame, key: str, vector: str, keep: int) -> DataFr
     return few.groupBy("vkey").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("vec").alias("vec"))
 
 
-def similar_rows(df: DataFrame, key: str, vector: str, threshold: float = 0.7, keep: int = 5, rank_by: str = "id",
-                 pivots: int = 32, block: int = 2048) -> DataFrame:
-    """(id, similar_id, similarity): for each row up to `keep` others above the threshold.
+# ----------------------------------------------------------------------- blocks
+@dataclass(frozen=True)
+class Blocks:
+    """All blocks: home pivot and, for the home pivot and the common ones, least and greatest angle.
+    Blocks of one cell are neighbours and in the order of their rings."""
 
-    `rank_by` is "id" (the first ones in id order) or "similarity" (the closest ones).
-    """
-    if rank_by not in ("id", "similarity"):
-        raise ValueError("rank_by is id or similarity")
-    ensure_checkpoint_dir(df.sparkSession)
-    unique = _distinct_vectors(df, key, vector, keep).checkpoint()
+    centres: np.ndarray
+    reach: float
+    home: np.ndarray
+    low: np.ndarray  # blocks x (1 + common)
+    high: np.ndarray
+    index: dict[tuple[int, int, int], int]
 
-    # A fixed number of vectors comes to the driver, whatever the size of the input.
-    chosen = unique.orderBy("vkey").select("vec").limit(pivots).collect()
-    if not chosen:
-        return df.select(F.col(key).alias(key), F.col(key).alias("similar_id"), F.lit(0.0).alias("similarity")).limit(0)
-    centres = _unit([r["vec"] for r in chosen])
-    reach = float(np.arccos(threshold)) + SLACK
+    def reachable(self, angles: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block) of all blocks that may hold a vector within reach, and of the own one."""
+        rows = np.arange(len(angles))
+        near = angles[:, self.home]
+        may = (near >= self.low[:, 0] - self.reach) & (near <= self.high[:, 0] + self.reach)
+        # Members of another cell are nearer to its pivot than to mine.
+        may &= near - angles[rows, self.home[own]][:, None] <= 2 * self.reach
+        may[rows, own] = True
+        row, block = np.nonzero(may)
+        common = angles[row][:, : self.low.shape[1] - 1]
+        fits = ((common >= self.low[block, 1:] - self.reach) & (common <= self.high[block, 1:] + self.reach)).all(axis=1)
+        keep = fits | (block == own[row])
+        return row[keep], block[keep]
 
+
+def pivot_count(n: int) -> int:
+    return int(min(MAX_PIVOTS, max(1, np.ceil(np.sqrt(n)))))
+
+
+def _settled(unique: DataFrame, centres: np.ndarray) -> DataFrame:
+    """The vectors with their home cell, their angle to its pivot, that angle's bin, and their angles
+    to the common pivots."""
     def home(batches):
         for batch in batches:
             if len(batch):
-                angles = np.arccos(np.clip(_unit(batch["vec"]) @ centres.T, -1.0, 1.0))
+                angles = _angles(_unit(batch["vec"]), centres)
                 cell = angles.argmin(axis=1)
-                yield batch.assign(cell=cell.astype(np.int32), angle=angles[np.arange(len(cell)), cell])
-
-    settled = unique.mapInPandas(home, "vkey string, ids array<bigint>, vec array<float>, cell int, angle double").checkpoint()
-    # One row per pivot.
-    cells = settled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()
-    radius, first, parts, cell_of = np.full(len(centres), -np.inf), {}, {}, []
-    for r in sorted(cells, key=lambda r: r["cell"]):
-        radius[r["cell"]] = r["radius"]
-        first[r["cell"]], parts[r["cell"]] = len(cell_of), -(-r["n"] // block)
-        cell_of += [r["cell"]] * parts[r["cell"]]
-    cell_of = np.array(cell_of)
-    n_blocks = len(cell_of)
+                angle = angles[np.arange(len(cell)), cell]
+                yield batch.assign(cell=cell.astype(np.int32), angle=angle, bin=(angle * (BINS / np.pi)).astype(np.int32), common=list(angles[:, :COMMON]))
+
+    return unique.mapInPandas(home, f"{VECTORS}, cell int, angle double, bin int, common array<double>")
+
+
+def _blocked(settled: DataFrame, block: int) -> DataFrame:
+    """Adds ring and part. A ring is a run of bins of about `block` vectors; a bin with more of them
+    is a ring in several parts, dealt out by hash."""
+    bins = settled.groupBy("cell", "bin").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    rings = bins.withColumn("ring", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / block).cast("int"))
+    rings = rings.withColumn("parts", F.ceil(F.col("n") / (2 * block)).cast("int")).drop("n")
+    rows = settled.join(rings, ["cell", "bin"])
+    return rows.withColumn("part", F.pmod(F.xxhash64("vkey"), F.col("parts")).cast("int")).drop("parts", "bin")
+
+
+def _bounds(rows: DataFrame, centres: np.ndarray, reach: float) -> Blocks:
+    common = min(COMMON, len(centres))
+    ends = [f(F.col("common")[i]).alias(f"{name}{i}") for i in range(common) for name, f in (("low", F.min), ("high", F.max))]
+    # At most MAX_BLOCKS blocks and one more per cell, so the driver and the tasks can hold them.
+    found = rows.groupBy("cell", "ring", "part").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), *ends).orderBy("cell", "ring", "part").collect()
+    return Blocks(
+        centres, reach, np.array([r["cell"] for r in found], np.int64),
+        np.array([[r["low"], *(r[f"low{i}"] for i in range(common))] for r in found], np.float64).reshape(len(found), -1),
+        np.array([[r["high"], *(r[f"high{i}"] for i in range(common))] for r in found], np.float64).reshape(len(found), -1),
+        {(r["cell"], r["ring"], r["part"]): i for i, r in enumerate(found)},
+    )
+
+
+def _sent(rows: DataFrame, blocks: Blocks) -> DataFrame:
+    """One row per vector and block it has to be compared with: the pair of blocks, and the side."""
+    n = len(blocks.home)
+    shared = rows.sparkSession.sparkContext.broadcast(blocks)
 
     def spread(batches):
+        known = shared.value
+        step = max(1, min(SLICE, (1 << 22) // n))
         for batch in batches:
-            for lo in range(0, len(batch), SLICE):
-                part = batch.iloc[lo:lo + SLICE].reset_index(drop=True)
-                angles = np.arccos(np.clip(_unit(part["vec"]) @ centres.T, -1.0, 1.0))
-                reachable = (angles <= radius + reach)[:, cell_of]
-                own = np.array([first[c] + int(k[:8], 16) % parts[c] for c, k in zip(part["cell"], part["vkey"])])
-                reachable[np.arange(len(part)), own] = True
-                row, other = np.nonzero(reachable)
+            for lo in range(0, len(batch), step):
+                part = batch.iloc[lo:lo + step].reset_index(drop=True)
+                own = np.array([known.index[k] for k in zip(part["cell"], part["ring"], part["part"])])
+                row, other = known.reachable(_angles(_unit(part["vec"]), known.centres), own)
                 mine = own[row]
                 out = part.loc[row, ["vkey", "ids", "vec"]].reset_index(drop=True)
-                out["pair"] = np.minimum(mine, other) * n_blocks + np.maximum(mine, other)
+                out["pair"] = np.minimum(mine, other) * n + np.maximum(mine, other)
                 out["side"] = (mine > other).astype(np.int32)
+                out["alone"] = mine == other
                 yield out
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0].reset_index(drop=True), pdf[pdf["side"] == 1].reset_index(drop=True)
-        pair = int(pdf["pair"].iloc[0])
-        same = pair // n_blocks == pair % n_blocks
-        none = pd.DataFrame({"vkey": pd.Series(dtype=object), "ids": pd.Series(dtype=object), "similarity": pd.Series(dtype=float)})
-        if same:
-            right = left
-        if left.empty or right.empty:
-            return none
-        cosine = _unit(left["vec"]) @ _unit(right["vec"]).T
+    return rows.mapInPandas(spread, f"{VECTORS}, pair bigint, side int, alone boolean")
+
+
+def _exact_blocks(df: DataFrame, key: str, vector: str, threshold: float, keep: int, block: int) -> tuple[DataFrame, DataFrame, Blocks | None]:
+    ensure_checkpoint_dir(df.sparkSession)
+    unique = _distinct_vectors(df, key, vector, keep).checkpoint()
+    n = unique.count()
+    # A bounded number of vectors comes to the driver; digests deal them out evenly.
+    chosen = unique.orderBy("vkey").select("vec").limit(pivot_count(n)).collect()
+    if not chosen:
+        return unique, unique.select("*", F.lit(0).cast("bigint").alias("pair"), F.lit(0).alias("side"), F.lit(True).alias("alone")), None
+    centres = _unit([r["vec"] for r in chosen])
+    settled = _settled(unique, centres).checkpoint()
+    rows = _blocked(settled, max(block, -(-n // MAX_BLOCKS))).checkpoint()
+    blocks = _bounds(rows, centres, float(np.arccos(threshold)) + SLACK)
+    return unique, _sent(rows, blocks), blocks
+
+
+def blocks_touched(df: DataFrame, key: str, vector: str, threshold: float = 0.7, block: int = 2048) -> DataFrame:
+    """One row: vectors, blocks, pairs of blocks that `similar_rows` compares, all pairs there are, and how
+    many (vector, block) it sends of all there are."""
+    unique, sent, blocks = _exact_blocks(df, key, vector, threshold, 1, block)
+    n = 0 if blocks is None else len(blocks.home)
+    total = unique.agg(F.count(F.lit(1)).alias("n_vectors"))
+    pairs = sent.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.max("side").alias("right"), F.min("side").alias("left"), F.first("alone").alias("alone"))
+    # A pair of two blocks is compared only if vectors of both reach the other one.
+    counts = pairs.agg(F.count_if(F.col("alone") | (F.col("left") != F.col("right"))).alias("pairs_compared"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows_sent"))
+    return total.crossJoin(counts).select("n_vectors", F.lit(n).cast("bigint").alias("n_blocks"), "pairs_compared", F.lit(n * (n + 1) // 2).cast("bigint").alias("pairs"), "rows_sent", (F.col("n_vectors") * n).alias("rows"))
+
+
+# ---------------------------------------------------------------------- results
+def _closest(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float, keep: int, rank_by: str) -> Iterator[pd.DataFrame]:
+    """For each row of the left side up to `keep` of the right side above the threshold, in the order of
+    their first ids or from the closest on."""
+    if left.empty or right.empty:
+        return
+    first = np.array([v[0] for v in right["ids"]])
+    units, others = _unit(left["vec"]), _unit(right["vec"])
+    for lo in range(0, len(left), SLICE):
+        cosine = units[lo:lo + SLICE] @ others.T
         if same:
-            np.fill_diagonal(cosine, -1.0)
+            cosine[np.arange(len(cosine)), np.arange(lo, lo + len(cosine))] = -2.0
         i, j = np.nonzero(cosine > threshold)
+        if not len(i):
+            continue
         sims = cosine[i, j]
-        one = pd.DataFrame({"vkey": left["vkey"].to_numpy()[i], "ids": right["ids"].to_numpy()[j], "similarity": sims})
-        found = one if same else pd.concat([one, pd.DataFrame({"vkey": right["vkey"].to_numpy()[j], "ids": left["ids"].to_numpy()[i], "similarity": sims})])
-        if found.empty:
-            return none
-        found["first"] = found["ids"].map(lambda v: v[0])
-        order = ["first"] if rank_by == "id" else ["similarity", "first"]
-        found = found.sort_values(order, ascending=[c == "first" for c in order])
-        return found.groupby("vkey", sort=False).head(keep)[["vkey", "ids", "similarity"]]
-
-    near = (
-        settled.mapInPandas(spread, "vkey string, ids array<bigint>, vec array<float>, pair bigint, side int")
-        .groupBy("pair").applyInPandas(compare, "vkey string, ids array<bigint>, similarity double")
-    )
-    copies = settled.filter(F.size("ids") > 1).select("vkey", "ids", F.lit(1.0).alias("similarity"))
+        order = np.lexsort((first[j], i)) if rank_by == "id" else np.lexsort((first[j], -sims, i))
+        i, j, sims = i[order], j[order], sims[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        top = place < keep
+        yield pd.DataFrame({"vkey": left["vkey"].to_numpy()[lo + i[top]], "ids": right["ids"].to_numpy()[j[top]], "similarity": sims[top]})
+
+
+def _compared(sent: DataFrame, threshold: float, keep: int, rank_by: str) -> DataFrame:
+    """(vkey, ids, similarity) out of the groups of (pair, side, alone)."""
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"vkey": pd.Series(dtype=object), "ids": pd.Series(dtype=object), "similarity": pd.Series(dtype=float)})
+        if pdf["alone"].iloc[0]:
+            whole = pdf.reset_index(drop=True)
+            parts = list(_closest(whole, whole, True, threshold, keep, rank_by))
+        else:
+            left, right = (pdf[pdf["side"] == s].reset_index(drop=True) for s in (0, 1))
+            parts = [*_closest(left, right, False, threshold, keep, rank_by), *_closest(right, left, False, threshold, keep, rank_by)]
+        return pd.concat(parts) if parts else none
+
+    return sent.groupBy("pair").applyInPandas(compare, "vkey string, ids array<bigint>, similarity double")
+
+
+def _result(df: DataFrame, unique: DataFrame, near: DataFrame, key: str, vector: str, keep: int, rank_by: str) -> DataFrame:
+    copies = unique.filter(F.size("ids") > 1).select("vkey", "ids", F.lit(1.0).alias("similarity"))
     others = near.unionByName(copies).select("vkey", F.explode("ids").alias("similar_id"), "similarity")
     order = [F.col("similar_id")] if rank_by == "id" else [F.desc("similarity"), F.col("similar_id")]
     best = others.withColumn("_rn", F.row_number().over(Window.partitionBy("vkey").orderBy(*order))).filter(F.col("_rn") <= keep + 1)
@@ -125,3 +228,72 @@ def similar_rows(df: DataFrame, key: str, vector: str, threshold: float = 0.7, k
     salted = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     kept = F.slice(F.filter("found", lambda f: f["similar_id"] != F.col(key)), 1, keep)
     return members.join(salted, ["vkey", "_salt"]).select(key, F.inline(F.transform(kept, lambda f: F.struct(f["similar_id"].alias("similar_id"), f["similarity"].alias("similarity")))))
+
+
+def _ranked_by(rank_by: str) -> None:
+    if rank_by not in ("id", "similarity"):
+        raise ValueError("rank_by is id or similarity")
+
+
+def similar_rows(df: DataFrame, key: str, vector: str, threshold: float = 0.7, keep: int = 5, rank_by: str = "id", block: int = 2048) -> DataFrame:
+    """(id, similar_id, similarity): for each row up to `keep` others above the threshold, exactly.
+
+    `rank_by` is "id" (the first ones in id order) or "similarity" (the closest ones). Runs jobs
+    while the plan is built: distinct vectors, home cells and blocks are written to the checkpoint folder.
+    """
+    _ranked_by(rank_by)
+    unique, sent, _ = _exact_blocks(df, key, vector, threshold, keep, block)
+    return _result(df, unique, _compared(sent, threshold, keep, rank_by), key, vector, keep, rank_by)
+
+
+# ------------------------------------------------------------------- hyperplanes
+def tables_needed(threshold: float, bits: int, recall: float) -> int:
+    """Tables of so many planes in which a pair at the threshold meets with this probability."""
+    meets = (1 - np.arccos(threshold) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log1p(-recall) / np.log1p(-meets)))) if meets < 1 else 1
+
+
+def planes_for(n: int, threshold: float, recall: float, block: int) -> tuple[int, int]:
+    """(planes of a table, tables): as many planes as give buckets of about a block, or as MAX_TABLES allow."""
+    bits = max(1, int(np.ceil(np.log2(max(2, n / block)))))
+    while bits > 1 and tables_needed(threshold, bits, recall) > MAX_TABLES:
+        bits -= 1
+    return bits, tables_needed(threshold, bits, recall)
+
+
+def hashed_rows(df: DataFrame, key: str, vector: str, threshold: float = 0.7, keep: int = 5, rank_by: str = "id", recall: float = 0.95, block: int = 2048, seed: int = 42) -> DataFrame:
+    """As `similar_rows`, but each pair at the threshold is found with probability `recall` (closer
+    pairs with a higher one); what is found is compared exactly.
+
+    A bucket larger than a block is dealt out in parts, and all pairs of its parts are compared.
+    """
+    _ranked_by(rank_by)
+    ensure_checkpoint_dir(df.sparkSession)
+    unique = _distinct_vectors(df, key, vector, keep).checkpoint()
+    first = unique.select(F.size("vec").alias("d")).first()
+    if first is None:
+        return _result(df, unique, unique.select("vkey", "ids", F.lit(0.0).alias("similarity")), key, vector, keep, rank_by)
+    bits, tables = planes_for(unique.count(), threshold, recall, block)
+    dim = first["d"]
+
+    def codes(batches):
+        planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
+        for batch in batches:
+            for lo in range(0, len(batch), SLICE):
+                part = batch.iloc[lo:lo + SLICE]
+                sides = (_unit(part["vec"]) @ planes > 0).reshape(len(part), tables, bits)
+                code = sides.dot(1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << bits)
+                out = part.loc[part.index.repeat(tables)].reset_index(drop=True)
+                yield out.assign(bucket=code.ravel())
+
+    keyed = unique.mapInPandas(codes, f"{VECTORS}, bucket bigint")
+    sizes = unique.mapInPandas(codes, f"{VECTORS}, bucket bigint").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    parts = F.ceil(F.col("n") / block).cast("int")
+    members = keyed.join(sizes, "bucket").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("vkey"), F.col("parts")).cast("int"))
+    other = members.select("vkey", "ids", "vec", "bucket", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    pair = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
+    sent = other.select("vkey", "ids", "vec", pair.alias("pair"), (F.col("part") > F.col("other")).cast("int").alias("side"), (F.col("part") == F.col("other")).alias("alone"))
+    near = _compared(sent, threshold, keep, rank_by)
+    # A pair may meet in several tables.
+    once = near.groupBy("vkey", "ids").agg(F.max("similarity").alias("similarity"))
+    return _result(df, unique, once, key, vector, keep, rank_by)

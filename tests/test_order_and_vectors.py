@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import ops, ordering
+from sightline.operators import similarity as sim
 from sightline.operators.similarity import similar_rows
 
 
@@ -154,7 +155,7 @@ def test_similar_rows(spark, threshold, rank_by):
     df = spark.createDataFrame(list(vectors.items()), "id bigint, vec array<float>")
     as_read = {r["id"]: r["vec"] for r in df.collect()}
     got = {}
-    for r in similar_rows(df, "id", "vec", threshold, rank_by=rank_by, pivots=5, block=16).collect():
+    for r in similar_rows(df, "id", "vec", threshold, rank_by=rank_by, block=16).collect():
         got.setdefault(r["id"], []).append((r["similar_id"], r["similarity"]))
     got = {i: [j for j, _ in sorted(v, key=(lambda p: p[0]) if rank_by == "id" else (lambda p: (-round(p[1], 9), p[0])))] for i, v in got.items()}
     assert got == brute_similar(as_read, threshold, 5, rank_by)
@@ -163,3 +164,58 @@ def test_similar_rows(spark, threshold, rank_by):
 def test_similar_rows_of_nothing(spark):
     df = spark.createDataFrame([(1, None)], "id bigint, vec array<float>")
     assert similar_rows(df, "id", "vec").count() == 0
+
+
+def clusters(n_clusters, n, dim=6, spread=0.05, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n_clusters, dim))
+    return [(i, (centres[i % n_clusters] + spread * rng.normal(size=dim)).tolist()) for i in range(n)]
+
+
+def as_frame(spark, vectors):
+    return spark.createDataFrame(vectors, "id long, vec array<float>")
+
+
+def pairs_of(df):
+    return {(r["id"], r["similar_id"]): r["similarity"] for r in df.collect()}
+
+
+def test_rings_and_bounds_lose_no_pair(spark):
+    df = as_frame(spark, clusters(12, 400))
+    as_read = {r["id"]: r["vec"] for r in df.collect()}
+    want = brute_similar(as_read, 0.99, 400, "id")
+    got = pairs_of(similar_rows(df, "id", "vec", 0.99, keep=400, block=8))
+    assert set(got) == {(a, b) for a, found in want.items() for b in found} and got
+
+
+def test_few_blocks_are_touched_where_vectors_are_grouped(spark):
+    row = sim.blocks_touched(as_frame(spark, clusters(40, 2000, spread=0.01)), "id", "vec", 0.99, block=64).first()
+    assert row["n_vectors"] == 2000 and row["n_blocks"] >= 32
+    assert row["pairs_compared"] < 0.2 * row["pairs"] and row["rows_sent"] < 0.2 * row["rows"]
+    assert sim.blocks_touched(as_frame(spark, []), "id", "vec").first()["pairs"] == 0
+
+
+def test_pivots_and_blocks_are_bounded():
+    assert [sim.pivot_count(n) for n in (0, 1, 10_000, 10**12)] == [1, 1, 100, sim.MAX_PIVOTS]
+    for n in (10, 10**6, 10**10):
+        bits, tables = sim.planes_for(n, 0.7, 0.95, 2048)
+        meets = (1 - np.arccos(0.7) / np.pi) ** bits
+        assert tables <= sim.MAX_TABLES and 1 - (1 - meets) ** tables >= 0.95
+
+
+@pytest.mark.parametrize("block", [64, 2048])
+def test_hashed_rows_find_most_pairs(spark, block):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS id", "slice(embedding, 1, 8) AS vec")
+    as_read = {r["id"]: r["vec"] for r in df.collect()}
+    want = {(a, b) for a, found in brute_similar(as_read, 0.8, 500, "id").items() for b in found}
+    got = pairs_of(sim.hashed_rows(df, "id", "vec", 0.8, keep=500, block=block))
+    assert len(want) > 1000 and set(got) <= want and len(got) >= 0.93 * len(want)
+    exact = pairs_of(similar_rows(df, "id", "vec", 0.8, keep=500))
+    assert set(exact) == want and all(abs(exact[p] - s) < 1e-9 for p, s in got.items())
+
+
+def test_hashed_rows_of_nothing_and_of_copies(spark):
+    assert sim.hashed_rows(as_frame(spark, []), "id", "vec").count() == 0
+    same = as_frame(spark, [(i, [1.0, 2.0]) for i in range(50)])
+    got = pairs_of(sim.hashed_rows(same, "id", "vec"))
+    assert {b for a, b in got if a == 7} == {0, 1, 2, 3, 4} and len(got) == 250
