@@ -34,16 +34,18 @@ class Detector(NamedTuple):
     description: str = ""
 
 
-# General detectors by metric. A host name detector needs a dot and an
-# alphabetic top level, otherwise it would match every word.
+# General detectors by metric. Two are changed, for these reasons:
+# - fqdn has to hold a dot and an alphabetic top level, otherwise it would match every word;
+# - email starts with a word character, so that the leading boundary can be tested by a look-behind
+#   that knows accented letters, and its top level has no "|".
 DETECTORS = [
     Detector("ipv4", "network_presence", r"(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)", "."),
     Detector("ipv6", "network_presence", r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}", ":"),
     Detector("fqdn", "network_presence", r"\b(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}\b", "."),
-    Detector("ports", "network_presence", r":[0-9]{1,5}\b", ":"),
-    Detector("hostname_enterprise", "endpoint_identity", r"\b[A-Z]{2,4}-[A-Z0-9]+-[0-9]+\b", "-"),
-    Detector("hostname_workstation", "endpoint_identity", r"\bWS-[A-Z0-9]+-[0-9]+\b", "-"),
-    Detector("hostname_server", "endpoint_identity", r"\bSRV-[A-Z0-9]+-[0-9]+\b", "-"),
+    Detector("ports", "network_presence", r":\d{1,5}\b", ":"),
+    Detector("hostname_enterprise", "endpoint_identity", r"\b[A-Z]{2,4}-[A-Z0-9]+-\d+\b", "-"),
+    Detector("hostname_workstation", "endpoint_identity", r"\bWS-[A-Z0-9]+-\d+\b", "-"),
+    Detector("hostname_server", "endpoint_identity", r"\bSRV-[A-Z0-9]+-\d+\b", "-"),
     Detector("device_guid", "endpoint_identity", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "-"),
     Detector("email", "identity_context", r"\b[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "@"),
     Detector("domain_user", "identity_context", r"\b[A-Za-z0-9_-]+\\[A-Za-z0-9_.-]+\b", "\\"),
@@ -62,9 +64,11 @@ def _code(family: str, name: str, pattern: str, area: str, multiplier: float, de
     return Detector(name, area, pattern, needs, False, family, multiplier, description)
 
 
-# Industry identifiers by family, with the confidence multiplier of each.
+# Industry identifiers by family, with the confidence multiplier of each. The tail of
+# iban is changed from `([A-Z0-9]?){0,16}`: the same texts match, but a repetition of what may be
+# empty takes exponential time on long codes.
 INDUSTRY_DETECTORS = [
-    _code("financial", "swift_code", r"\b[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", "identity_context", 1.5, "SWIFT bank codes"),
+    _code("financial", "swift_code", r"\b[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?\b", "identity_context", 1.5, "SWIFT bank codes"),
     _code("financial", "iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{7}[A-Z0-9]{0,16}\b", "identity_context", 1.8, "IBAN numbers"),
     _code("financial", "card_number", r"\b4[0-9]{12}(?:[0-9]{3})?\b", "identity_context", 2.0, "Credit card numbers"),
     _code("financial", "trading_symbol", r"\b[A-Z]{1,5}:[A-Z]{1,8}\b", "application_telemetry", 1.3, "Trading symbols", ":"),
@@ -94,25 +98,26 @@ COMPLIANCE_DETECTORS = [
     _code("gdpr", "consent_record", r"\bCON[0-9A-F]{8,12}\b", "identity_context", 1.5, "Consent records", "CON"),
 ]
 
-# Loose host, network and platform matchers. Off by default, they match much.
+# Loose host, network and platform matchers. Off by default, they match much. Their
+# flag to ignore case is the field of that name.
 VARIANT_DETECTORS = [
-    Detector("host_generic", "host_identifiers", r"(?:[a-z]{2,4}[-_]?)?(?:srv|server|host|node|machine|system|device|endpoint|workstation|computer|pc|ws|wks|laptop|desktop|vm|instance)[-_]?(?:[a-z]{0,8}[-_]?)?(?:[0-9]{1,6})?(?:\.[a-z]{2,8})*"),
-    Detector("host_compound", "host_identifiers", r"[a-z]{1,63}[-_.]{1,3}[a-z]{1,63}[-_.]{0,3}(?:[a-z]{0,63})?(?:\.(?:local|corp|internal|company))?"),
-    Detector("host_guid", "host_identifiers", r"[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}"),
-    Detector("host_role", "host_identifiers", r"(?:mailsvr|build-agent|analytics-node|exec-laptop|orchestrator|perimeter-fw)"),
-    Detector("host_site_code", "host_identifiers", r"[A-Z]{2,4}-[A-Z]{2,10}-[0-9]{2,6}", "-"),
-    Detector("net_ipv4_cidr", "network_entities", r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)(?:/[0-9]{1,2})?\b", "."),
-    Detector("net_ipv6", "network_entities", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", ":"),
-    Detector("net_name", "network_entities", r"(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)*[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"),
-    Detector("net_interface", "network_entities", r"(?:eth0|ens3|bond0|mgmt|wifi|vpn|cni|flannel):[0-9.:]+", ":"),
+    Detector("host_generic", "host_identifiers", r"([a-z]{2,4}[\-_]?)?(srv|server|host|node|machine|system|device|endpoint|workstation|computer|pc|ws|wks|laptop|desktop|vm|instance)[\-_]?([a-z]{0,8}[\-_]?)?(\d{1,6})?(\.[a-z]{2,8})*"),
+    Detector("host_compound", "host_identifiers", r"[a-z]{1,63}[\-_\.]{1,3}[a-z]{1,63}[\-_\.]{0,3}([a-z]{0,63})?(\.(local|corp|internal|company))?"),
+    Detector("host_guid", "host_identifiers", r"[0-9a-f]{8}[\-]?[0-9a-f]{4}[\-]?[0-9a-f]{4}[\-]?[0-9a-f]{4}[\-]?[0-9a-f]{12}"),
+    Detector("host_role", "host_identifiers", r"(mailsvr|build-agent|analytics-node|exec-laptop|orchestrator|perimeter-fw)"),
+    Detector("host_site_code", "host_identifiers", r"[A-Z]{2,4}-[A-Z]{2,10}-\d{2,6}", "-"),
+    Detector("net_ipv4_cidr", "network_entities", r"\b((25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)(/[0-9]{1,2})?\b", "."),
+    Detector("net_ipv6", "network_entities", r"\b([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", ":"),
+    Detector("net_name", "network_entities", r"(([a-z0-9]([a-z0-9\-]{0,61}[a-z0-9])?\.)*[a-z0-9]([a-z0-9\-]{0,61}[a-z0-9])?)"),
+    Detector("net_interface", "network_entities", r"(eth0|ens3|bond0|mgmt|wifi|vpn|cni|flannel):[0-9\.:]+", ":"),
     Detector("net_socket", "network_entities", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}:[0-9]{1,5}", ":"),
-    Detector("os_windows", "platform_systems", r"(?:microsoft\s+)?(?:windows\s*)?(?:server\s*)?(?:20(?:08|12|16|19|22)|10|11|xp|vista|7|8)"),
-    Detector("os_redhat", "platform_systems", r"(?:red\s*hat\s*)?(?:enterprise\s*)?(?:linux|rhel)(?:\s*[0-9](?:\.[0-9])*)?"),
-    Detector("os_linux", "platform_systems", r"(?:ubuntu|debian|centos|fedora|suse)(?:\s*[0-9]{1,2}(?:\.[0-9]{1,2})*)?"),
-    Detector("os_unix", "platform_systems", r"(?:unix|aix|solaris|hp-ux|freebsd)(?:\s*[0-9](?:\.[0-9])*)?"),
-    Detector("os_mac", "platform_systems", r"(?:mac\s*os|macos|osx|darwin)"),
-    Detector("os_hypervisor", "platform_systems", r"(?:vmware|esxi|hyper-v|citrix|xen)"),
-    Detector("os_build", "platform_systems", r"(?:win2019|ubuntu-20|rhel8|macos-monterey|container-os|cisco-asa)"),
+    Detector("os_windows", "platform_systems", r"(microsoft\s+)?(windows\s*)?(server\s*)?(20(08|12|16|19|22)|10|11|xp|vista|7|8)"),
+    Detector("os_redhat", "platform_systems", r"(red\s*hat\s*)?(enterprise\s*)?(linux|rhel)(\s*[0-9](\.[0-9])*)?"),
+    Detector("os_linux", "platform_systems", r"(ubuntu|debian|centos|fedora|suse)(\s*[0-9]{1,2}(\.[0-9]{1,2})*)?"),
+    Detector("os_unix", "platform_systems", r"(unix|aix|solaris|hp\-ux|freebsd)(\s*[0-9](\.[0-9])*)?"),
+    Detector("os_mac", "platform_systems", r"(mac\s*os|macos|osx|darwin)"),
+    Detector("os_hypervisor", "platform_systems", r"(vmware|esxi|hyper\-v|citrix|xen)"),
+    Detector("os_build", "platform_systems", r"(win2019|ubuntu-20|rhel8|macos-monterey|container-os|cisco-asa)"),
 ]
 
 # Column names that hint at each of the three variant groups.

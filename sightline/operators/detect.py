@@ -55,18 +55,22 @@ def found_in(text: Column, detector: Detector, limit: int | None = None, ignore_
     return F.when(text.contains(detector.needs), hits) if usable else hits
 
 
-def match_counts(fragments: DataFrame, detectors: Sequence[Detector] = DETECTORS, per_fragment: int | None = None) -> DataFrame:
+def match_counts(fragments: DataFrame, detectors: Sequence[Detector] = DETECTORS, per_fragment: int | None = None, counted: Column | None = None) -> DataFrame:
     """(table, column, area, detector, match, n): distinct matched values.
 
     Each fragment also adds one empty match of the detector "", so n there is the number of
     fragments of the column and no second scan is needed for it. `per_fragment` keeps only
-    the first matches of each fragment, as a quick scan does; by default all count.
+    the first matches of each fragment, as a quick scan does; by default all count. Fragments
+    for which `counted` holds are not searched: each counts as a match of "" by its text.
     """
     text = F.col("fragment")
     hits = F.array(
         F.struct(F.lit("").alias("area"), F.lit("").alias("detector"), F.array(F.lit("")).alias("found")),
         *[F.struct(F.lit(d.area).alias("area"), F.lit(d.name).alias("detector"), F.array_remove(F.array_distinct(found_in(text, d, per_fragment)), "").alias("found")) for d in detectors],
     )
+    if counted is not None:
+        own = F.array(F.struct(F.lit("").alias("area"), F.lit("").alias("detector"), F.array(text).alias("found")))
+        hits = F.when(counted, own).otherwise(hits)
     return (
         fragments.select("table", "column", F.inline(hits))
         .select(*KEYS, F.explode("found").alias("match"))

@@ -23,7 +23,8 @@ JSON_TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|true|false'
 BASE64_TEXT = r"^[A-Za-z0-9+/]++={0,2}$"
 # Decoded bytes must be printable text, which keeps ordinary short words out.
 PRINTABLE = r"^[\p{L}\p{M}\p{N}\p{P}\p{S}\p{Z}\t\r\n]+$"
-XML_START = r"^<(?:\?xml\b|[A-Za-z_][^\s<>/!]*[\s/>])"
+# An element, or what may stand before the first one: declaration, instruction, comment, document type.
+XML_START = r"^<(?:\?[A-Za-z_]|!--|!DOCTYPE\b|[A-Za-z_][^\s<>/!]*[\s/>])"
 
 
 def flat_columns(df: DataFrame) -> list[str]:
@@ -72,12 +73,12 @@ def union_tables(tables: Mapping[str, DataFrame], keys: Mapping[str, str] | None
 def xml_parts(texts: pd.Series) -> pd.Series:
     """Element texts and tags of well-formed XML, None otherwise.
 
-    The built-in XPath functions end the whole query on malformed text. Texts that declare a
-    document type or entities are not taken apart, since these may refer to other files or grow.
+    The built-in XML functions end the whole query on malformed text. Texts that declare entities
+    are not taken apart, since these may refer to other files or grow.
     """
 
     def parts(text):
-        if text is None or "<!DOCTYPE" in text or "<!ENTITY" in text:
+        if text is None or "<!ENTITY" in text:
             return None
         try:
             out = []

@@ -1,5 +1,7 @@
 """SQL text of the derived views, for the independent check in another engine."""
 
+from sightline.sources import views
+
 ASSETS = """
 a AS (SELECT o_custkey AS k, o_orderpriority AS log_type, count(*) AS cnt FROM orders
   WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT','2-HIGH') GROUP BY o_custkey, o_orderpriority),
@@ -58,6 +60,10 @@ scan_jobs AS (SELECT o_orderkey AS id, o_custkey % 20 AS user_id, CASE o_orderst
 PROJECT_ACCESS = """
 project_access AS (SELECT DISTINCT o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'purchase' WHEN 'O' THEN 'signup' ELSE 'error' END AS project_id FROM orders)"""
 
+TELEMETRY = "telemetry AS (SELECT " + ", ".join(
+    f"{sql.replace('AS BINARY', 'AS BLOB')} AS {name}" for name, sql in views.TELEMETRY.items()
+) + " FROM events)"
+
 
 def with_views(*parts: str, body: str) -> str:
     return "WITH " + ",".join(p.strip() for p in parts) + "\n" + body.strip()

@@ -149,3 +149,61 @@ def project_access(load: Loader) -> DataFrame:
     c = F.col
     project = F.when(c("o_orderstatus") == "F", "purchase").when(c("o_orderstatus") == "O", "signup").otherwise("error")
     return load("orders").select(c("o_custkey").alias("user_id"), project.alias("project_id")).distinct()
+
+
+_ID, _USER = "CAST(event_id AS STRING)", "CAST(user_id AS STRING)"
+_HEX = f"md5({_ID})"
+
+
+def _of(number: str, width: int) -> str:
+    return f"lpad({number}, {width}, '0')"
+
+
+def _guid(hex_: str = _HEX) -> str:
+    return f"concat(substr({hex_}, 1, 8), '-', substr({hex_}, 9, 4), '-', substr({hex_}, 13, 4), '-', substr({hex_}, 17, 4), '-', substr({hex_}, 21, 12))"
+
+
+_MESSAGES = [
+    f"concat('login user', {_USER}, '@corp.example.com from 10.', CAST(event_id % 200 AS STRING), '.0.', CAST(user_id % 250 AS STRING), ':', CAST(1024 + event_id % 5000 AS STRING))",
+    f"concat('CORP', chr(92), 'user', {_USER}, ' event 4624 on WS-FIN-', {_ID})",
+    f"concat('SRV-DB-', {_ID}, ' guid ', {_guid()})",
+    f"concat('instance i-', substr({_HEX}, 1, 8), ' volume vol-', substr({_HEX}, 9, 17), ' in us-east-1')",
+    f"concat('GET https://shop.example.com/api/v1/orders/', {_ID}, ' 200')",
+    f"concat('addr fe80:0:0:0:0:0:', substr({_HEX}, 1, 4), ':', substr({_HEX}, 5, 4), ' up')",
+    f"concat('PT', {_of(_ID, 6)}, ' MRN', {_of(_ID, 8)}, ' PHI npi ', {_of(_USER, 10)})",
+    f"concat('card 4', {_of(_ID, 12)}, ' iban DE12ABCD', {_of(_ID, 7)}, ' swift DEUTDEFF NYSE:IBM')",
+    f"concat('CUST', {_of(_ID, 6)}, ' ORD', upper(substr({_HEX}, 1, 8)), ' sku AB', {_of(_ID, 6)}, ' code ', {_of(_ID, 9)})",
+    f"concat('AT', {_of(_ID, 7)}, ' SN', upper(substr({_HEX}, 1, 10)), ' LOT', upper(substr({_HEX}, 11, 6)), ' MTR', {_of(_ID, 7)}, ' XY_', {_of(_USER, 5)}, ' GN', {_of(_USER, 5)})",
+    f"concat('CHD', {_of(_ID, 8)}, ' FC', {_of(_USER, 5)}, ' CON', upper(substr({_HEX}, 1, 9)), ' DE', {_of(_ID, 9)})",
+    f"concat('ubuntu 20.04 vmware mailsvr eth0:10.1.2.3 windows server 2019 rhel 8 aix macos ABC-DEF-', {_of(_ID, 5)}, ' 10.0.0.', CAST(user_id % 250 AS STRING), ':443 win2019')",
+]
+_PAYLOADS = [
+    f"concat('{{\"user\": {{\"id\": ', {_USER}, ', \"mail\": \"u', {_USER}, '@example.com\"}}, \"tags\": [\"red\", \"blue\"]}}')",
+    f"concat('<!-- note --><event><host>SRV-X-', {_ID}, '</host><code>4625</code></event>')",
+    f"base64(CAST(concat('host ws', {_ID}, '.corp.example.com') AS BINARY))",
+    "'idle'",
+]
+
+
+def _dealt(texts: list[str], by: str = "event_id") -> str:
+    return f"CASE {by} % {len(texts)} " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts)) + " END"
+
+
+#: Log lines with every kind of identifier, payloads in every form, and columns in every format; some null.
+#: The same SQL text makes the view in the engine that checks.
+TELEMETRY = {
+    "event_id": "event_id",
+    "message": f"CASE WHEN event_id % 13 = 0 THEN NULL ELSE {_dealt(_MESSAGES)} END",
+    "payload": _dealt(_PAYLOADS),
+    "contact": f"CASE WHEN event_id % 7 = 0 THEN NULL ELSE concat('user', {_USER}, '@example.com') END",
+    "address": "concat('10.0.', CAST(user_id % 250 AS STRING), '.', CAST(event_id % 250 AS STRING))",
+    "token": _guid(),
+    "seen_at": "concat('2024-01-', lpad(CAST(1 + event_id % 28 AS STRING), 2, '0'), ' 10:00:00')",
+    "link": f"CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('https://example.com/', {_USER}) END",
+    "phone": f"concat('555-010-', {_of('CAST(user_id % 10000 AS STRING)', 4)})",
+}
+
+
+def telemetry(load: Loader) -> DataFrame:
+    """Events as the log lines of many systems."""
+    return load("events").selectExpr(*[f"{sql} AS {name}" for name, sql in TELEMETRY.items()])
