@@ -7,15 +7,18 @@ digest, so the shuffle carries short keys and never whole documents.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.functions.columns import band, contains_any, percent, stacked
 from sightline.functions.rules import DEFAULT_RELEVANCE, FORMAT_LENGTHS, FORMAT_NEEDS, FORMAT_SHARE, FORMATS, REQUIREMENTS, SEMANTIC_PATTERNS, SEMANTIC_RELEVANCE, TIME_WORDS
 from sightline.operators.sampling import top_per_group
 
 COLUMN = ["table", "column"]
+NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 LONG_TEXT = 64
 NUMERIC_TYPES = ["tinyint", "smallint", "int", "bigint", "float", "double"]
 
@@ -68,6 +71,81 @@ def column_stats(groups: DataFrame, formats: Mapping[str, str] = FORMATS) -> Dat
     return stats.withColumn("std_length", F.when(~single, F.col("_spread"))).drop("_spread")
 
 
+# ------------------------------------------------------------- one pass over a table
+SKETCH_BITS = 14
+#: Relative standard error of a sketched distinct count.
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def column_sums(tables: Mapping[str, DataFrame], formats: Mapping[str, str] = FORMATS, texts_only: bool = False) -> DataFrame:
+    """Per column of the given tables: counts, sums of lengths, matches of each format, and a sketch of
+    the distinct values, all from one aggregate, so that each table is read once and nothing but one
+    row a task is shuffled. Sums of parts of a table can be added up by `added_sums`. With
+    `texts_only` other columns are only counted."""
+    parts = []
+    for name, df in tables.items():
+        aggregates, rows = [F.count(F.lit(1)).alias("_n")], []
+        for i, field in enumerate(f for f in df.schema if not isinstance(f.dataType, NESTED)):
+            column = F.col(f"`{field.name}`")
+            is_text = isinstance(field.dataType, T.StringType)
+            aggregates.append(F.count(column).alias(f"_c{i}"))
+            lengths, sketch = [F.lit(None).cast("double")] * 2, F.lit(None).cast("binary")
+            if is_text or not texts_only:
+                size = F.length(column.cast("string")).cast("double")
+                key = F.when(column.isNotNull(), F.xxhash64(column))
+                aggregates += [F.sum(size).alias(f"_s{i}"), F.sum(size * size).alias(f"_q{i}"), F.hll_sketch_agg(key, SKETCH_BITS).alias(f"_h{i}")]
+                lengths, sketch = [F.col(f"_s{i}"), F.col(f"_q{i}")], F.col(f"_h{i}")
+            aggregates += [F.count_if(matches_format(column, f, p)).alias(f"_f{i}_{f}") for f, p in formats.items() if is_text]
+            hits = [F.col(f"_f{i}_{f}") if is_text else F.lit(0).cast("bigint") for f in formats]
+            rows.append(F.struct(F.lit(field.name).alias("column"), F.col("_n").alias("n_rows"), F.col(f"_c{i}").alias("n_values"), lengths[0].alias("length_sum"), lengths[1].alias("length_squares"),
+                                 F.array(*hits).alias("format_counts"), sketch.alias("sketch")))
+        if rows:
+            parts.append(df.agg(*aggregates).select(F.lit(name).alias("table"), F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def added_sums(*parts: DataFrame) -> DataFrame:
+    """The sums of several parts of the same tables as those of the whole."""
+    n = F.max(F.size("format_counts"))
+    rows = reduce(DataFrame.unionByName, parts)
+    at = F.posexplode("format_counts").alias("_at", "_hits")
+    hits = rows.select(*COLUMN, at).groupBy(*COLUMN, "_at").agg(F.sum("_hits").alias("_hits")).groupBy(*COLUMN).agg(F.sort_array(F.collect_list(F.struct("_at", "_hits"))).alias("_all"))
+    sums = rows.groupBy(*COLUMN).agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_values", "length_sum", "length_squares")], F.hll_union_agg("sketch").alias("sketch"), n.alias("_formats"))
+    return sums.join(hits, COLUMN, "left").select(*COLUMN, "n_rows", "n_values", "length_sum", "length_squares", F.coalesce(F.transform("_all", lambda x: x["_hits"]), F.array().cast("array<bigint>")).alias("format_counts"), "sketch")
+
+
+def sketched_stats(sums: DataFrame, formats: Mapping[str, str] = FORMATS) -> DataFrame:
+    """The columns of `column_stats` from sums. Distinct values are estimated: SKETCH_ERROR is the relative
+    standard error, small counts are exact but for rounding."""
+    values, size = F.col("n_values"), F.col("length_sum")
+    spread = F.try_divide(F.col("length_squares") - size * F.try_divide(size, values), values - 1)
+    return sums.select(
+        *COLUMN, "n_rows", (F.col("n_rows") - values).alias("n_null"),
+        F.when(values == 0, 0).when(F.col("sketch").isNotNull(), F.least(F.hll_sketch_estimate("sketch"), values)).cast("bigint").alias("n_distinct"),
+        F.try_divide(size, values).alias("mean_length"), F.when(values > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("std_length"),
+        *[F.try_divide(F.get("format_counts", F.lit(i)), values).alias(f"_share_{f}") for i, f in enumerate(formats)],
+    )
+
+
+def with_exact_near(stats: DataFrame, tables: Mapping[str, DataFrame], bounds: Sequence[float] = (0.95, 0.5), errors: float = 4.0) -> DataFrame:
+    """Exact distinct counts where the estimate is too near to one of the bounds (as a share of the rows) to tell
+    on which side it lies; only these columns are read again. Looks at one row per column while the plan is built."""
+    share, margin = F.try_divide(F.col("n_distinct"), F.col("n_rows")), errors * SKETCH_ERROR
+    unsure = reduce(lambda a, b: a | b, [F.abs(share - b) <= b * margin + F.try_divide(F.lit(1.0), F.col("n_rows")) for b in bounds])
+    wanted: dict[str, list[str]] = {}
+    for r in stats.filter(unsure).select(*COLUMN).collect():
+        wanted.setdefault(r["table"], []).append(r["column"])
+    if not wanted:
+        return stats
+    counts = [
+        df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.md5(F.col(f"`{c}`").cast("string").cast("binary")).alias("_d")) for c in wanted[name]])))
+        .filter(F.col("_d").isNotNull()).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("_exact")).withColumn("table", F.lit(name))
+        for name, df in tables.items() if name in wanted
+    ]
+    exact = reduce(DataFrame.unionByName, counts)
+    return stats.join(exact, COLUMN, "left").withColumn("n_distinct", F.coalesce("_exact", "n_distinct")).drop("_exact")
+
+
 def profile_columns(stats: DataFrame, formats: Mapping[str, str] = FORMATS) -> DataFrame:
     """Completeness, uniqueness, value distribution, length consistency and formats."""
     rows, values = F.col("n_rows"), F.col("n_rows") - F.col("n_null")

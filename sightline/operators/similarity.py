@@ -2,8 +2,8 @@
 
 Equal vectors are collapsed first. Then one of two ways:
 
-- `similar_rows` is exact. Each distinct vector has a home cell (its nearest pivot; about the root of
-  the number of vectors are pivots), and each cell is cut into rings by the angle to its pivot. The
+- `similar_rows` is exact. Each distinct vector has a home cell (its nearest pivot; their number grows with the root
+  of the number of vectors), and each cell is cut into rings by the angle to its pivot. The
   blocks that come out know, for their own pivot and for some pivots common to all, the least and the
   greatest angle of their members. By the triangle inequality a vector is sent only to blocks that
   can hold another one within the threshold.
@@ -86,8 +86,9 @@ class Blocks:
         return row[keep], block[keep]
 
 
-def pivot_count(n: int) -> int:
-    return int(min(MAX_PIVOTS, max(1, np.ceil(np.sqrt(n)))))
+def pivot_count(n: int, block: int) -> int:
+    """About the root of the number of vectors, but no more than there are blocks to fill."""
+    return int(min(MAX_PIVOTS, max(1, min(np.ceil(np.sqrt(n)), -(-n // block)))))
 
 
 def _settled(unique: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -156,7 +157,7 @@ def _exact_blocks(df: DataFrame, key: str, vector: str, threshold: float, keep:
     unique = _distinct_vectors(df, key, vector, keep).checkpoint()
     n = unique.count()
     # A bounded number of vectors comes to the driver; digests deal them out evenly.
-    chosen = unique.orderBy("vkey").select("vec").limit(pivot_count(n)).collect()
+    chosen = unique.orderBy("vkey").select("vec").limit(pivot_count(n, block)).collect()
     if not chosen:
         return unique, unique.select("*", F.lit(0).cast("bigint").alias("pair"), F.lit(0).alias("side"), F.lit(True).alias("alone")), None
     centres = _unit([r["vec"] for r in chosen])

@@ -13,7 +13,7 @@ from sightline.operators import catalog as cat
 from sightline.operators import classify as cls
 from sightline.operators import longform as lf
 from sightline.operators import profile as prof
-from sightline.plans.oracle_views import ASSETS, JOB_REFS, OPERATIONS, SCAN_JOBS, SCAN_RESULTS, with_views
+from sightline.plans.oracle_views import ASSETS, JOB_REFS, OPERATIONS, SCAN_JOBS, SCAN_RESULTS, TELEMETRY, with_views
 from sightline.plans.registry import rounded
 from sightline.plans.schemas import TABLES, VIEWS, columns
 from sightline.session import ensure_checkpoint_dir
@@ -141,11 +141,41 @@ def _profile_all(spark, base):
     return rounded(out.withColumn("formats", listed("formats")).withColumn("samples", F.transform("samples", lambda v: F.md5(v))).withColumn("samples", listed("samples")))
 
 
+def _described(spark, tables):
+    """Names and types of the columns, which the driver knows without reading a table."""
+    rows = [(t, f.name, f.dataType.simpleString()) for t, df in tables.items() for f in df.schema]
+    return spark.createDataFrame(rows, "table string, column string, data_type string")
+
+
+def _profile_wide(spark, base):
+    load = loader(spark, base)
+    sums = prof.column_sums({t: load(t) for t in TABLES} | {"telemetry": views.telemetry(load)})
+    stats = prof.sketched_stats(sums)
+    # Lengths are compared for texts only: engines print numbers and times differently.
+    texts = {(t, c) for t in TABLES for c, k in columns(TABLES[t]) if k == "string"} | {("telemetry", c) for c in views.TELEMETRY if c != "event_id"}
+    is_text = F.concat_ws(".", "table", "column").isin([f"{t}.{c}" for t, c in texts])
+    consistency = F.when(is_text, F.col("consistency")).otherwise("-").alias("consistency")
+    return rounded(prof.profile_columns(stats).select("table", "column", "n_rows", "n_null", "completeness", consistency, listed("formats")))
+
+
+def _sketch_errors(spark, base):
+    """Whether each sketched distinct count is within four standard errors of the exact one."""
+    load = loader(spark, base)
+    tables = {t: load(t) for t in TABLES if t not in ("lineitem", "embeddings")}
+    sketched = prof.sketched_stats(prof.column_sums(tables, {}), {}).select("table", "column", F.col("n_distinct").alias("estimate"))
+    exact = prof.column_stats(prof.value_groups(lf.union_tables(tables, keep_nulls=True)[0], {}), {}).select("table", "column", "n_distinct")
+    within = F.abs(F.col("estimate") - F.col("n_distinct")) <= 4 * prof.SKETCH_ERROR * F.col("n_distinct") + 1
+    return exact.join(sketched, ["table", "column"]).select("table", "column", "n_distinct", within.alias("within_error"))
+
+
 def _catalog_profile(spark, base):
     load = loader(spark, base)
     tables = {t: load(t) for t in TABLES}
-    stats = prof.column_stats(prof.value_groups(lf.union_tables(tables, keep_nulls=True)[0]))
-    types = cat.measured_columns("lake", tables)
+    # One row per column, stored, so that each table is read once for all that follows.
+    ensure_checkpoint_dir(spark)
+    sums = prof.column_sums(tables, {}, texts_only=True).checkpoint()
+    stats = prof.with_exact_near(prof.sketched_stats(sums, {}), {t: df for t, df in tables.items()}, (0.5,))
+    types = _described(spark, tables)
     quality = prof.table_quality(stats, types)
     patterns = prof.column_patterns(stats, types)
     shape = prof.table_shape(types)
@@ -177,6 +207,8 @@ QUERIES = {
     "table_quality": lambda spark, base: rounded(prof.table_quality(_stats(spark, base, True), _types(spark, base))),
     "mean_quality": lambda spark, base: rounded(prof.mean_quality(prof.table_quality(_stats(spark, base, True), _types(spark, base)))),
     "catalog_profile": _catalog_profile,
+    "profile_wide": _profile_wide,
+    "sketch_errors": _sketch_errors,
     "field_meaning": lambda spark, base: rounded(_fields(spark, base)),
     "fields_for_requirements": lambda spark, base: rounded(_chosen(spark, base)),
     "requirement_reports": lambda spark, base: prof.requirement_reports(_asset_long(spark, base), _chosen(spark, base)),
@@ -326,6 +358,20 @@ FIELD_TEXTS = f"""l AS ({_long_sql()}), ft AS (SELECT tbl, col, substr(concat(co
   SELECT *, row_number() OVER (PARTITION BY tbl, col ORDER BY row_id, v) AS rn FROM l WHERE v IS NOT NULL) WHERE rn <= 10 GROUP BY tbl, col)"""
 
 
+def _profile_wide_sql():
+    """Nulls, length consistency and formats of every column of the driver tables and the log lines."""
+    text = "string"
+    specs = [(t, c, k) for t, spec in TABLES.items() for c, k in columns(spec) if not k.startswith("array")] + [("telemetry", c, "bigint" if c == "event_id" else text) for c in views.TELEMETRY]
+    formats = lambda c: ", ".join(f"CASE WHEN avg(CASE WHEN regexp_matches({c}, '{p}') THEN 1.0 ELSE 0.0 END) FILTER ({c} IS NOT NULL) > {rules.FORMAT_SHARE} THEN '{n}' END" for n, p in rules.FORMATS.items())
+    size = lambda c, k: f"length({c})" if k == text else "NULL"
+    parts = [
+        f"""SELECT '{t}' AS "table", '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS n_null, round(count({c}) / count(*), 6) AS completeness,
+        {f"CASE WHEN stddev_samp({size(c, k)}) < 0.1 * avg({size(c, k)}) THEN 'consistent' ELSE 'variable' END" if k == text else "'-'"} AS consistency, {f"concat_ws('|', {formats(c)})" if k == text else "''"} AS formats FROM {t}"""
+        for t, c, k in specs
+    ]
+    return f"WITH {TELEMETRY} " + " UNION ALL ".join(parts)
+
+
 def _catalog_profile_sql():
     """Quality and column lists of all driver tables; nested columns only count for the shape."""
     stats = []
@@ -407,4 +453,9 @@ ORACLES = {
     "field_texts": f'WITH {FIELD_TEXTS} SELECT tbl AS "table", col AS "column", md5(text) AS text FROM ft',
     "field_content_class": f'WITH {FIELD_TEXTS} SELECT tbl AS "table", col AS "column", md5(text) AS text_digest, list_reverse_sort({_CONTENT_LIST})[1].l AS content_class FROM ft',
     "catalog_profile": _catalog_profile_sql(),
+    "profile_wide": _profile_wide_sql(),
+    "sketch_errors": " UNION ALL ".join(
+        f"""SELECT '{t}' AS "table", '{c}' AS "column", count(DISTINCT {c}) AS n_distinct, true AS within_error FROM {t}"""
+        for t, spec in TABLES.items() if t not in ("lineitem", "embeddings") for c, _ in columns(spec)
+    ),
 }

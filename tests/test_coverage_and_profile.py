@@ -247,3 +247,40 @@ def test_samples_are_repeatable(spark):
     assert [sampling.sample_rows(many, "k", r, 20_000).count() for r in (0, 1e-8, 1.0)] == [0, 0, 10_000]
     assert 0 < sampling.sample_rows(spark.range(4_000_000).withColumnRenamed("id", "k"), "k", 1e-6, 100).count() < 20
     assert len({r["k"] for r in sampling.sample_k(df, "k", 50).collect()}) == 50
+
+
+# ------------------------------------------------------------- one pass over a table
+def wide_rows(spark, n=400):
+    rows = [(i, f"user{i}@example.com" if i % 5 else None, "x" * (i % 3), float(i % 7), None) for i in range(n)]
+    return spark.createDataFrame(rows, "id bigint, mail string, short string, v double, nothing string")
+
+
+def test_one_pass_gives_what_the_long_form_gives(spark):
+    tables = {"t": wide_rows(spark), "empty": wide_rows(spark).limit(0)}
+    exact = {(r["table"], r["column"]): r for r in prof.column_stats(prof.value_groups(lf.union_tables(tables, keep_nulls=True)[0])).collect()}
+    got = {(r["table"], r["column"]): r for r in prof.sketched_stats(prof.column_sums(tables)).collect()}
+    assert {k for k in got if k[0] == "t"} == set(exact)
+    for key, want in exact.items():
+        for c in ("n_rows", "n_null"):
+            assert got[key][c] == want[c]
+        if key[1] in ("mail", "short", "nothing"):
+            for c in ("mean_length", "std_length"):
+                assert got[key][c] == pytest.approx(want[c], abs=1e-9)
+            assert (got[key]["_share_email"] or 0) == pytest.approx(want["_share_email"] or 0)  # no match: null there, 0 here
+        assert abs(got[key]["n_distinct"] - want["n_distinct"]) <= 4 * prof.SKETCH_ERROR * want["n_distinct"] + 1
+    assert got["empty", "mail"]["n_rows"] == 0 and got["empty", "mail"]["n_distinct"] == 0
+
+
+def test_sums_of_parts_add_up(spark):
+    df = wide_rows(spark)
+    whole = prof.sketched_stats(prof.column_sums({"t": df}))
+    parts = prof.added_sums(*[prof.column_sums({"t": df.where(f"id % 3 = {i}")}) for i in range(3)])
+    rounded = lambda s: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in s.collect())
+    assert rounded(prof.sketched_stats(parts)) == rounded(whole)
+
+
+def test_distinct_counts_near_a_bound_are_exact(spark):
+    df = spark.range(20_000).selectExpr("CAST(id AS string) AS unique", "CAST(id % 10000 AS string) AS half", "CAST(id % 3 AS string) AS few")
+    stats = prof.with_exact_near(prof.sketched_stats(prof.column_sums({"t": df}, {}), {}), {"t": df}, (0.5,))
+    got = {r["column"]: r["n_distinct"] for r in stats.collect()}
+    assert got["half"] == 10_000 and got["few"] == 3 and abs(got["unique"] - 20_000) < 20_000 * 4 * prof.SKETCH_ERROR

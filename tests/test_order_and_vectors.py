@@ -196,7 +196,7 @@ def test_few_blocks_are_touched_where_vectors_are_grouped(spark):
 
 
 def test_pivots_and_blocks_are_bounded():
-    assert [sim.pivot_count(n) for n in (0, 1, 10_000, 10**12)] == [1, 1, 100, sim.MAX_PIVOTS]
+    assert [sim.pivot_count(n, 64) for n in (0, 1, 640, 10_000, 10**12)] == [1, 1, 10, 100, sim.MAX_PIVOTS]
     for n in (10, 10**6, 10**10):
         bits, tables = sim.planes_for(n, 0.7, 0.95, 2048)
         meets = (1 - np.arccos(0.7) / np.pi) ** bits
