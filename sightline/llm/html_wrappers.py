@@ -6,8 +6,8 @@ pages have are slots. The content region is the
 smallest container that holds all varying text outside menus and the like; each page is aligned
 with its host's wrapper, and the text of what matches the region comes out, block by block.
 
-Trees hold block elements only; inline markup belongs to the text of its block. Equal siblings
-side by side are one repeated node, so that a tree is as large as its layout, not as its text.
+Trees hold block elements only; inline markup belongs to the text of its block. Equal siblings are
+repeated nodes, two at most, so that a tree is as large as its layout, not as its text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
@@ -33,10 +32,7 @@ BROADCAST_BYTES = 32 << 20
 SALTS = 64
 #: Digests of pages a task remembers, so as to hand on one copy only; beyond that it starts anew. Changes no count.
 REMEMBERED = 1_000_000
-#: A node with more children than this has children of one label merged wherever they stand.
-MANY_CHILDREN = 64
-
-#: Elements nested deeper than this stand beside each other; no text is lost.
+#: Elements nested deeper than this stand beside each other; no text is lost, and what is left out stays so.
 DEEPEST = 150
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,6 +56,15 @@ NEVER = frozenset("head nav footer aside form script style noscript template ifr
 NEVER_NAMED = frozenset(
     "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted recommended related share sharing sidebar social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: What stands before such a word ("site-footer") or after it ("comment-list") in a whole name. Other
+#: names that merely hold the word ("no-sidebar", "post-header") mark nothing.
+NAMED_BEFORE = frozenset("site page main global top bottom left right primary secondary".split())
+NAMED_AFTER = frozenset("list box area section wrap wrapper container block bar panel links slot unit form thread".split())
+#: No name leaves these out.
+NEVER_BY_NAME = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_NOT_SHOWN = re.compile(r"style\s*=\s*[\"']?[^\"'>]*display\s*:\s*none", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -70,23 +75,40 @@ class Node:
     """A block element of a page. `parts` are texts and children in page order."""
 
     tag: str
-    names: str
+    classes: str
+    left_out: bool
     parts: list = field(default_factory=list)
 
     @property
     def label(self) -> str:
-        return f"{self.tag}.{self.names}" if self.names else self.tag
+        """Tag and classes, digits as one mark, so that a number of its own does not part a page from the others."""
+        return f"{self.tag}.{self.classes}" if self.classes else self.tag
 
-    @property
-    def left_out(self) -> bool:
-        return self.tag in NEVER or bool(NEVER_NAMED & set(re.split(r"[\s_-]+", self.names)))
+
+def names_what_is_left_out(name: str) -> bool:
+    """Whether a class, id or role as a whole names a menu, an advert or the like."""
+    words = [w for w in re.split(r"[_-]+", name) if w]
+    if len(words) == 1:
+        return words[0] in NEVER_NAMED
+    return len(words) == 2 and (words[0] in NAMED_BEFORE and words[1] in NEVER_NAMED or words[0] in NEVER_NAMED and words[1] in NAMED_AFTER)
+
+
+def element(tag: str, attributes: str) -> Node:
+    named = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(attributes)} if "=" in attributes else {}
+    names = [w for k in ("class", "id", "role") for w in named.get(k, "").lower().split()]
+    hidden = bool(attributes and (_HIDDEN.search(_QUOTED.sub("''", attributes)) or _NOT_SHOWN.search(attributes)))
+    classes = " ".join(sorted({re.sub(r"[0-9]+", "0", w) for w in named.get("class", "").lower().split()}))
+    return Node(tag, classes, tag in NEVER or hidden or tag not in NEVER_BY_NAME and any(map(names_what_is_left_out, names)))
 
 
 def parse(page: str) -> Node:
     """A tolerant reading: missing end tags are supplied, a tag cut off at the end is dropped."""
-    root = Node("#root", "")
+    root = Node("#root", "", False)
     stack, at, size = [root], 0, len(page)
-    too_deep: Counter[str] = Counter()
+    # Open elements below DEEPEST, with their place on the stack if they are on it, and open inline
+    # elements inside one that is left out, down to that one.
+    deep: list[tuple[str, int | None]] = []
+    inline: list[str] = []
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
@@ -107,16 +129,29 @@ def parse(page: str) -> Node:
         tag = m[2].lower()
         if m[1]:
             if tag in INLINE:
+                if tag in inline:
+                    while inline.pop() != tag:
+                        pass
+                    if not inline:
+                        stack.pop()
                 continue
-            if too_deep[tag]:
-                too_deep[tag] -= 1
-                stack[-1].parts.append(Node(tag, ""))
+            if any(t == tag for t, _ in deep):
+                while True:
+                    t, place = deep.pop()
+                    if place is not None:
+                        del stack[place:]
+                    if t == tag:
+                        break
+                stack[-1].parts.append(Node(tag, "", False))
+                inline.clear()
                 continue
             if tag == "p" and all(n.tag != "p" for n in stack):
                 continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     del stack[depth:]
+                    inline.clear()
+                    deep.clear()
                     break
             continue
         if tag in RAW:
@@ -126,7 +161,17 @@ def parse(page: str) -> Node:
         if tag in INLINE:
             if tag == "br":
                 stack[-1].parts.append(" ")
+            elif tag not in VOID and (inline or m[3]):
+                if not inline and (node := element(tag, m[3])).left_out:
+                    stack[-1].parts.append(node)
+                    stack.append(node)
+                    inline.append(tag)
+                elif inline:
+                    inline.append(tag)
             continue
+        if inline:  # a block ends what is open in the line
+            stack.pop()
+            inline.clear()
         if tag in CLOSE_P:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
@@ -142,14 +187,16 @@ def parse(page: str) -> Node:
                 if stack[depth].tag in same:
                     del stack[depth:]
                     break
-        named = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(m[3])} if "=" in m[3] else {}
-        node = Node(tag, " ".join(sorted({w for k in ("class", "id", "role") for w in named.get(k, "").lower().split()})))
+        node = element(tag, m[3])
         stack[-1].parts.append(node)
         if tag not in VOID and not m[3].rstrip().endswith("/"):
             if len(stack) < DEEPEST:
                 stack.append(node)
+            elif node.left_out and not stack[-1].left_out:
+                deep.append((tag, len(stack)))
+                stack.append(node)
             else:
-                too_deep[tag] += 1
+                deep.append((tag, None))
     return root
 
 
@@ -168,31 +215,42 @@ def outline(node: Node) -> dict:
 
 def _outlined(nodes: list[Node]) -> dict:
     own = clean("\n".join(p for n in nodes for p in n.parts if isinstance(p, str)))
+    # Of each label the first run of neighbours is one child and all later ones another, so a node has
+    # at most two children of a label, however long the page is.
     runs: list[list[Node]] = []
+    first: dict[tuple[str, bool], list[Node]] = {}
+    later: dict[tuple[str, bool], list[Node]] = {}
+    last = None
     for n in nodes:
         for child in (p for p in n.parts if isinstance(p, Node)):
-            if runs and runs[-1][0].label == child.label:
-                runs[-1].append(child)
+            key = (child.label, child.left_out)
+            if key not in first:
+                first[key] = run = []
+                runs.append(run)
+            elif key == last:
+                run = later.get(key, first[key])
+            elif key in later:
+                run = later[key]
             else:
-                runs.append([child])
-    if len(runs) > MANY_CHILDREN:
-        by_label: dict[str, list[Node]] = {}
-        for run in runs:
-            by_label.setdefault(run[0].label, []).extend(run)
-        runs = list(by_label.values())
+                later[key] = run = []
+                runs.append(run)
+            run.append(child)
+            last = key
     return {"l": nodes[0].label, "n": 1, "t": blake2b(own.encode(), digest_size=6).hexdigest() if own else "", "x": bool(own), "b": nodes[0].left_out, "c": [_outlined(r) for r in runs], "at": nodes}
 
 
-def matching(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
-    """Pairs of children that a simple tree matching aligns, in order."""
+def matching(a: list[dict], b: list[dict], known: dict | None = None) -> list[tuple[int, int]]:
+    """Pairs of children that a simple tree matching aligns, in order. `known` holds the matches of
+    pairs of nodes that were looked at before."""
     m, n = len(a), len(b)
     if m == n and all(x["l"] == y["l"] for x, y in zip(a, b, strict=True)):
         return [(i, i) for i in range(m)]
+    known = {} if known is None else known
     weight = [[0] * (n + 1) for _ in range(m + 1)]
     won = [[0] * n for _ in range(m)]
     for i in range(m):
         for j in range(n):
-            w = tree_match(a[i], b[j])
+            w = tree_match(a[i], b[j], known)
             won[i][j] = w
             weight[i + 1][j + 1] = max(weight[i][j + 1], weight[i + 1][j], weight[i][j] + w)
     pairs, i, j = [], m, n
@@ -207,21 +265,26 @@ def matching(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
-def tree_match(a: dict, b: dict) -> int:
+def tree_match(a: dict, b: dict, known: dict | None = None) -> int:
     """Most nodes of the two trees that can be paired with labels, ancestry and order kept."""
     if a["l"] != b["l"]:
         return 0
-    return 1 + sum(tree_match(a["c"][i], b["c"][j]) for i, j in matching(a["c"], b["c"]))
+    known = {} if known is None else known
+    key = (id(a), id(b))
+    if key not in known:
+        known[key] = 1 + sum(tree_match(a["c"][i], b["c"][j], known) for i, j in matching(a["c"], b["c"], known))
+    return known[key]
 
 
-def merge(a: dict, b: dict) -> dict:
+def merge(a: dict, b: dict, known: dict | None = None) -> dict:
     """One wrapper of two with the same label at the root. What only one has is kept in its place."""
+    known = {} if known is None else known
     out = {"l": a["l"], "n": a["n"] + b["n"], "t": a["t"] if a["t"] == b["t"] else None, "x": a["x"] or b["x"], "b": a["b"], "c": []}
     i = j = 0
-    for p, q in [*matching(a["c"], b["c"]), (len(a["c"]), len(b["c"]))]:
+    for p, q in [*matching(a["c"], b["c"], known), (len(a["c"]), len(b["c"]))]:
         out["c"] += [_alone(x) for x in a["c"][i:p]] + [_alone(x) for x in b["c"][j:q]]
         if p < len(a["c"]):
-            out["c"].append(merge(a["c"][p], b["c"][q]))
+            out["c"].append(merge(a["c"][p], b["c"][q], known))
         i, j = p + 1, q + 1
     return out
 

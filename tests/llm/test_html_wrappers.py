@@ -81,3 +81,47 @@ def test_copies_count_once_and_template_is_on_most_pages(spark):
 def test_copies_of_one_page_keep_its_text(spark):
     data = [(i, "http://h/", "<div class=a><p>x</div><div class=b><p>y</div>") for i in range(5)]
     assert [t for _, t, _ in texts(spark, data)] == ["x\ny"] * 5
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='home no-sidebar'><p>x</p><p>y</p></body>", "<body class='single comments-open'><p>x</p><p>y</p></body>", "<div class='layout with-sidebar'><p>x</p><p>y</p></div>",
+    "<article class='post related-42'><p>x</p><p>y</p></article>", "<article><p>x</p><section id='privacy-notice'><p>y</p></section></article>", "<article><h1 class='post-header'>x</h1><p>y</p></article>",
+    "<article class='comments'><h1 class='header'>x</h1><p>y</p></article>",
+])
+def test_names_that_merely_hold_a_word_lose_no_text(page):
+    assert H.main_text(page, None) == "x\ny"
+
+
+@pytest.mark.parametrize("page", [
+    "<article><p>x <span class='ad'>buy <span>now</span> this</span></p><p>y</p></article>", "<article><p>x</p><p hidden>z</p><div style='display: none'>z</div><p>y</p></article>",
+    "<p>x<p>y<div class='site-footer'>z</div><div class='comment-list'>z</div><div class='ad'>z</div>", "<p>x</p><i class=ad>z<p>y</p>",
+])
+def test_what_whole_names_and_hidden_elements_leave_out(page):
+    assert H.main_text(page, None) == "x\ny"
+
+
+@pytest.mark.parametrize("depth", [0, 20, 148, 149, 150, 200, 5000])
+def test_depth_changes_nothing(depth):
+    page = "<div>" * depth + "<nav><div><p>Menu</p></div></nav><article><p>Text.</p><div class=ad><div>Ad</div></div><p>More.</p></article><footer><p>Foot</p></footer>" + "</div>" * depth
+    assert H.main_text(page, None) == "Text.\nMore."
+
+
+def test_a_wrapper_is_as_large_as_the_layout():
+    """Pages with ids of their own and very many children."""
+    def page(i):
+        return f"<body><div class='top'>Slogan</div><div class='post-{i}' id='post-{i}'>" + "".join(f"<h2>H{i} {k}</h2><p>P{i} {k}</p>" for k in range(i % 90)) + f"<p>Own {i}</p></div></body>"
+
+    made = H._alone(H.outline(H.parse(page(0))))
+    sizes = []
+    for i in range(1, 2000):
+        made = H.merge(made, H._alone(H.outline(H.parse(page(i)))))
+        sizes.append(len(H.json.dumps(made)))
+    assert sizes[-1] < 2 * sizes[200] and sizes[-1] < 3000
+    wrapper = H.json.dumps(made | {"way": H.region_of(made)})
+    assert H.main_text(page(1), wrapper) == "H1 0\nP1 0\nOwn 1"
+
+
+def test_hosts_without_telling_names(spark):
+    page = "<body><div><span>Site slogan</span></div><div class=a><ul><li>One<li>Two</ul></div><div class=b><h2>Head {n}</h2><p>Own {n}.</p><p>Share this text</p></div><div class=c>All rights</div></body>"
+    data = [(i, "http://h/", page.format(n=i)) for i in range(8)]
+    assert [t for _, t, _ in texts(spark, data)] == [f"Head {i}\nOwn {i}.\nShare this text" for i in range(8)]
