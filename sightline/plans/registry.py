@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sightline.session import configure
 
-FAMILIES = ["coverage", "scanning", "catalog", "operations", "reports", "lineage", "vectors", "streams", "scans"]
+FAMILIES = ["coverage", "scanning", "catalog", "operations", "reports", "lineage", "vectors", "streams", "scans", "stored"]
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.session import ensure_checkpoint_dir
+
 Loader = Callable[[str], DataFrame]
 
 
@@ -38,22 +41,33 @@ def write_results(df: DataFrame, path: str, fmt: str = "json", mode: str = "over
 
 
 def append_scan_results(df: DataFrame, path: str, job_id: str, created_at: str) -> None:
-    """Add one row per detection, tagged with its job and load time, to the results table."""
+    """Add one row per detection, tagged with its job and load time, to the results table.
+
+    A job owns its partition and overwrites it alone, so a job that is run again leaves one set of
+    rows, and other jobs keep theirs. A job without rows leaves what it stored before.
+    """
     (
         df.withColumn("job_id", F.lit(job_id))
         .withColumn("created_at", F.lit(created_at).cast("timestamp"))
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("job_id")
         .parquet(path)
     )
 
 
-def snapshot_columns(catalog: DataFrame, table: str, note: str = "Metadata collected") -> None:
+def snapshot_columns(catalog: DataFrame, table: str, note: str = "Metadata collected", path: str | None = None) -> None:
     """Replace a metadata table by the current column list, with a note and the load time."""
-    (
+    writer = (
         catalog.select("dataset", "table", "column", "data_type")
         .withColumn("sample_note", F.lit(note))
         .withColumn("scan_timestamp", F.current_timestamp())
         .write.mode("overwrite")
-        .saveAsTable(table)
     )
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def staged(spark: SparkSession, name: str) -> str:
+    """A new place for a table in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"

@@ -181,6 +181,8 @@ def test_sinks_and_stages(spark, tmp_path):
     path = f"{tmp_path}/store"
     tables.append_scan_results(df, path, "job-1", "2024-01-01 00:00:00")
     tables.append_scan_results(df, path, "job-2", "2024-01-02 00:00:00")
+    tables.append_scan_results(df, path, "job-2", "2024-01-03 00:00:00")  # run again: one set of rows
+    assert {(r["job_id"], str(r["created_at"])[:10]) for r in spark.read.parquet(path).collect()} == {("job-1", "2024-01-01"), ("job-2", "2024-01-03")}
     stored = spark.read.parquet(path)
     assert stored.count() == 6 and stored.filter("job_id = 'job-2'").count() == 3
     catalog = spark.createDataFrame([("d", "t", "c", "string")], "dataset string, table string, column string, data_type string")
