@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.columns import first_label, qualified, stacked
@@ -53,6 +55,10 @@ def ingestion_pattern(refs: DataFrame, as_of: Column, days: int = 30, rows: int
     day = F.to_date("creation_time")
     jobs = keyed(within_days(refs, as_of, days)).groupBy("target", "job_id", day.alias("day"), "job_type").agg(F.max("total_bytes").alias("total_bytes"))
     daily = jobs.groupBy("target", "day", "job_type").agg(F.count(F.lit(1)).alias("job_count"), F.sum("total_bytes").alias("total_bytes"))
+    return _pattern(daily, rows)
+
+
+def _pattern(daily: DataFrame, rows: int) -> DataFrame:
     recent = top_per_group(daily, ["target"], [F.desc("day"), F.col("job_type")], rows)
     n = F.count(F.lit(1))
     return recent.groupBy(F.col("target").alias("table_key")).agg(
@@ -143,3 +149,56 @@ def lineage_report(edges: DataFrame, tables: DataFrame, ingestion: DataFrame, ac
         joined = joined.join(part, "table_key", "left")
     defaults = {"input_count": 0, "output_count": 0, "ingestion_frequency": "unknown", "access_frequency": "unknown"}
     return joined.fillna(defaults)
+
+
+# ------------------------------------------------------------------------- rollup by day
+@dataclass(frozen=True)
+class Rollup:
+    """The job history by day: what was written (target, day, job_type), read (source, day) and linked
+    (source, target, day). Everything in the lineage report follows from these; they are as small as
+    the number of tables and days, and days can be added one by one."""
+
+    writes: DataFrame
+    reads: DataFrame
+    links: DataFrame
+
+
+def rolled_up(refs: DataFrame) -> Rollup:
+    """The rollup of a job history. `refs` is read by three groupings, so it should be stored."""
+    rows = keyed(refs).withColumn("day", F.to_date("creation_time"))
+    jobs = rows.groupBy("target", "day", "job_type", "job_id").agg(F.max("total_bytes").alias("bytes"))
+    writes = jobs.groupBy("target", "day", "job_type").agg(F.count(F.lit(1)).alias("job_count"), F.sum("bytes").alias("total_bytes"))
+    users = rows.filter(F.col("job_type") == "QUERY").groupBy("source", "day", "user_email").agg(F.count(F.lit(1)).alias("n"), F.sum("total_cost_ms").alias("cost"))
+    reads = users.groupBy("source", "day").agg(F.sum("n").alias("query_count"), F.count("user_email").alias("unique_users"), F.sum("cost").alias("cost"), F.hll_sketch_agg("user_email").alias("users"))
+    links = rows.groupBy("source", "target", (F.col("ref_dataset") != F.col("dst_dataset")).alias("crosses"), "day").agg(F.count(F.lit(1)).alias("n"))
+    return Rollup(writes, reads, links)
+
+
+def store_run(rollup: Rollup, path: str, run: str) -> None:
+    """Add the days of a run to a stored rollup. A run holds whole days; one that is repeated replaces
+    what it stored before."""
+    for name in ("writes", "reads", "links"):
+        rows = getattr(rollup, name).withColumn("run", F.lit(run))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}/{name}")
+
+
+def load_rollup(spark: SparkSession, path: str) -> Rollup:
+    return Rollup(*[spark.read.parquet(f"{path}/{name}").drop("run") for name in ("writes", "reads", "links")])
+
+
+def _last_days(df: DataFrame, as_of: Column, days: int) -> DataFrame:
+    return df.filter(F.col("day") >= F.date_sub(as_of, days))
+
+
+def report_from_rollup(rollup: Rollup, ingestion_days: int = 30, access_days_: int = 7, rows: int = 30) -> DataFrame:
+    """The lineage report from a rollup, over whole days up to the newest one, with `users_estimate`: the
+    distinct users of all days of access together, which counts by day cannot give."""
+    as_of = rollup.writes.agg(F.max("day")).scalar()
+    edges = _last_days(rollup.links.filter("crosses"), as_of, ingestion_days).select("source", "target").distinct()
+    ingestion = _pattern(_last_days(rollup.writes, as_of, ingestion_days), rows)
+    daily = _last_days(rollup.reads, as_of, access_days_).withColumnRenamed("source", "table_key")
+    access = access_pattern(daily).join(daily.groupBy("table_key").agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users_estimate")), "table_key")
+    written = rollup.writes.groupBy(F.col("target").alias("table_key")).agg(F.sum("job_count").alias("n"))
+    read = rollup.links.select(F.col("source").alias("table_key"), F.lit(0).cast("bigint").alias("n")).distinct()
+    row_counts = written.unionByName(read).groupBy("table_key").agg(F.sum("n").alias("row_count"))
+    return lineage_report(edges, written.select("table_key"), ingestion, access, row_counts)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from sightline.functions.columns import qualified
 from sightline.functions.rules import LAYER_WORDS
 from sightline.operators import lineage as lin
-from sightline.plans.oracle_views import JOB_REFS, with_views
+from sightline.plans.oracle_views import BATCH_REFS, JOB_REFS, with_views
 from sightline.plans.registry import rounded
+from sightline.session import ensure_checkpoint_dir
 from sightline.sources import views
-from sightline.sources.tables import loader
+from sightline.sources.tables import loader, staged
 
 
 class Parts:
@@ -44,7 +45,24 @@ def _day(df):
     return df.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+def _batch_refs(spark, base):
+    return lin.unnest_references(views.batch_jobs(loader(spark, base)))
+
+
+def _rollup(spark, base):
+    """The history is read once; its years are added to the stored rollup in two runs, one of them repeated."""
+    ensure_checkpoint_dir(spark)
+    refs = _batch_refs(spark, base).checkpoint()
+    path = staged(spark, "rollup")
+    old = F.year("creation_time") < 1996
+    for run, part in (("old", refs.filter(old)), ("new", refs.filter(~old)), ("old", refs.filter(old))):
+        lin.store_run(lin.rolled_up(part), path, run)
+    return rounded(_joined(lin.report_from_rollup(lin.load_rollup(spark, path)), "critical_dependencies").drop("users_estimate"))
+
+
 QUERIES = {
+    "unnested_jobs": lambda spark, base: lin.keyed(_batch_refs(spark, base)).select("job_id", "user_email", "job_type", "total_bytes", "source", "target"),
+    "lineage_from_rollup": _rollup,
     "referenced_tables": _with(lambda p: lin.keyed(p.refs).select("job_id", "source", "target")),
     "upstream_tables": _with(lambda p: lin.upstream(p.edges)),
     "downstream_tables": _with(lambda p: lin.downstream(p.edges)),
@@ -100,3 +118,9 @@ ORACLES = {
       transformation_type, complexity, dependency_count, critical_dependencies, dependency_health
       FROM t LEFT JOIN deg ON deg.k = t.k LEFT JOIN rc ON rc.k = t.k LEFT JOIN ing ON ing.k = t.k LEFT JOIN acc ON acc.k = t.k LEFT JOIN tp ON tp.k = t.k LEFT JOIN dh ON dh.k = t.k"""),
 }
+# The same over whole days.
+_DAYS = BASE
+for _n in (7, 30):
+    _DAYS = _DAYS.replace(f"creation_time >= now - INTERVAL {_n} DAY", f"CAST(creation_time AS DATE) >= CAST(now AS DATE) - {_n}")
+ORACLES["lineage_from_rollup"] = with_views(BATCH_REFS, _DAYS, body=ORACLES["lineage_report"][ORACLES["lineage_report"].rindex("SELECT t.k AS table_key"):])
+ORACLES["unnested_jobs"] = with_views(BATCH_REFS, body="SELECT job_id, user_email, job_type, total_bytes, concat(ref_dataset, '.', ref_table) AS source, concat(dst_dataset, '.', dst_table) AS target FROM job_refs")

@@ -38,6 +38,16 @@ job_refs AS (SELECT o_orderkey AS job_id, o_orderdate AS creation_time, concat('
   concat(CASE l_suppkey % 3 WHEN 0 THEN 'raw_' WHEN 1 THEN 'int_' ELSE 'mart_' END, CAST(l_partkey % 8 AS VARCHAR)) AS ref_table
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
 
+BATCH_REFS = """
+job_refs AS (SELECT DISTINCT o_orderkey AS job_id, o_orderdate AS creation_time, concat('user', CAST(o_custkey % 40 AS VARCHAR), '@example.com') AS user_email,
+  CASE o_orderstatus WHEN 'F' THEN 'QUERY' WHEN 'O' THEN 'LOAD' ELSE 'COPY' END AS job_type,
+  CAST(floor(o_totalprice) AS BIGINT) AS total_bytes, CAST(floor(o_totalprice / 10) AS BIGINT) AS total_cost_ms,
+  CASE o_custkey % 3 WHEN 0 THEN 'marts' WHEN 1 THEN 'reports' ELSE 'core' END AS dst_dataset,
+  concat(CASE o_custkey % 3 WHEN 0 THEN 'mart_' WHEN 1 THEN 'rpt_' ELSE 'int_' END, CAST(CASE WHEN o_custkey % 5 = 0 THEN o_custkey % 40 ELSE 0 END AS VARCHAR)) AS dst_table,
+  CASE l_suppkey % 3 WHEN 0 THEN 'landing' WHEN 1 THEN 'core' ELSE 'marts' END AS ref_dataset,
+  concat(CASE l_suppkey % 3 WHEN 0 THEN 'raw_' WHEN 1 THEN 'int_' ELSE 'mart_' END, CAST(CASE WHEN l_partkey % 5 = 0 THEN l_partkey % 40 ELSE 0 END AS VARCHAR)) AS ref_table
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
+
 OPERATIONS = """
 operations AS (SELECT event_id AS operation_id, event_type AS operation_type, ts AS start_time, value AS duration_s,
   CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) * 100 AS rows_scanned,

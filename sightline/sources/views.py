@@ -97,6 +97,24 @@ def nested_jobs(load: Loader) -> DataFrame:
     )
 
 
+def batch_jobs(load: Loader) -> DataFrame:
+    """Job history in nested form, one row per job with all the tables it reads. One table of each
+    layer is busy, the others are not."""
+    c, text = F.col, lambda x: x.cast("string")
+    third = lambda k, names: cases([(k % 3 == i, n) for i, n in enumerate(names[:2])], names[2])
+    few = lambda k: F.when(k % 5 == 0, k % 40).otherwise(0)
+    cust, supp = c("o_custkey"), c("l_suppkey")
+    ref = F.struct(third(supp, ["landing", "core", "marts"]).alias("dataset"), F.concat(third(supp, ["raw_", "int_", "mart_"]), text(few(c("l_partkey")))).alias("table"))
+    reads = load("lineitem").groupBy(c("l_orderkey").alias("job_id")).agg(F.sort_array(F.collect_set(ref)).alias("referenced"))
+    return load("orders").join(reads, c("o_orderkey") == c("job_id")).select(
+        "job_id", c("o_orderdate").alias("creation_time"), F.concat(F.lit("user"), text(cust % 40), F.lit("@example.com")).alias("user_email"),
+        cases([(c("o_orderstatus") == "F", "QUERY"), (c("o_orderstatus") == "O", "LOAD")], "COPY").alias("job_type"),
+        F.floor("o_totalprice").alias("total_bytes"), F.floor(c("o_totalprice") / 10).alias("total_cost_ms"),
+        F.struct(third(cust, ["marts", "reports", "core"]).alias("dataset"), F.concat(third(cust, ["mart_", "rpt_", "int_"]), text(few(cust))).alias("table")).alias("destination"),
+        "referenced",
+    )
+
+
 def operations(load: Loader) -> DataFrame:
     """Operation records; the end of an operation is its start plus `duration_s`."""
     c = F.col
