@@ -106,9 +106,31 @@ def _field_texts(spark, base):
     return samples.select("table", "column", cls.text_for_scoring("column", "samples").alias("text"))
 
 
+#: Views and text columns whose content is labelled by all their values.
+LABELLED = {"telemetry": [c for c in views.TELEMETRY if c != "event_id"], "operations": ["operation_type", "error_message", "resource_id"], "assets": ["os", "platform", "class", "infra_type", "b_agent_health", "c_sourcetype"]}
+
+
+def _labelled(spark, base):
+    load = loader(spark, base)
+    parts = [lf.to_long(getattr(views, v)(load), v, None, cols) for v, cols in LABELLED.items()]
+    return _long(spark, base, True).unionByName(parts[0]).unionByName(parts[1]).unionByName(parts[2])
+
+
 def _field_content(spark, base):
-    scored = cls.score_labels(_field_texts(spark, base), "text", rules.CONTENT_LABELS, 1)
-    return scored.select("table", "column", F.md5("text").alias("text_digest"), F.col("labels")[0]["label"].alias("content_class"))
+    best = F.col("labels")[0]
+    return rounded(cls.column_labels(_labelled(spark, base), rules.CONTENT_LABELS).select("table", "column", "n_values", best["label"].alias("content_class"), best["score"].alias("score")))
+
+
+def _similar_fields(spark, base):
+    fields = _described(spark, {t: loader(spark, base)(t) for t in TABLES})
+    return cls.similar_fields(fields).select("table", "column", listed("similar_fields"))
+
+
+def _cluster_faults(spark, base):
+    vectors = loader(spark, base)("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    faults = cls.cluster_faults(cls.cluster_arrays(vectors, "vec"), "vec_id")
+    # K-means stops when its centres hardly move, so a few rows may still lie at a border.
+    return faults.agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("n_rows"), (F.sum("misplaced") <= 0.05 * F.sum("n")).alias("in_nearest"))
 
 
 def _name_clusters(spark, base):
@@ -122,7 +144,7 @@ def _clusters(catalog):
 
 def _meaning(spark, base):
     fields = _stage(_classified(spark, base))
-    report = cls.meaning_report(fields, _clusters(fields))
+    report = rounded(cls.meaning_report(fields, _clusters(fields), cls.primary_meaning(_labelled(spark, base)), cls.similar_fields(fields)))
     return report.select(*[listed(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in report.schema])
 
 
@@ -235,6 +257,9 @@ QUERIES = {
     "text_themes": _themes,
     "field_texts": lambda spark, base: _field_texts(spark, base).withColumn("text", F.md5("text")),
     "field_content_class": _field_content,
+    "primary_meaning": lambda spark, base: rounded(cls.primary_meaning(_labelled(spark, base))),
+    "similar_fields": _similar_fields,
+    "embedding_cluster_faults": _cluster_faults,
 }
 
 # ------------------------------------------------------------------------------ SQL
@@ -352,9 +377,21 @@ def _overlap(text, label):
 
 
 _THEME_LIST = "[" + ", ".join(f"{{'s': {_overlap('text', t)}, 'p': {-i}, 'l': '{t}'}}" for i, t in enumerate(rules.THEME_LABELS)) + "]"
-_CONTENT_LIST = "[" + ", ".join(f"{{'s': {_overlap('text', t)}, 'p': {-i}, 'l': '{t}'}}" for i, t in enumerate(rules.CONTENT_LABELS)) + "]"
 
-FIELD_TEXTS = f"""l AS ({_long_sql()}), ft AS (SELECT tbl, col, substr(concat(col, ' ', string_agg(v, ' ' ORDER BY row_id, v)), 1, 500) AS text FROM (
+
+
+def _labels_sql(labels):
+    """The best label of each column by all its values and its name."""
+    hits = lambda text, label: "(" + " + ".join(f"CAST(contains(lower({text}), '{w}') AS INT)" for w in label.replace("_", " ").split()) + ")"
+    size = lambda label: len(label.replace("_", " ").split())
+    long = " UNION ALL ".join(f"SELECT '{v}' AS tbl, '{c}' AS col, {c} AS v FROM {v}" for v, cols in LABELLED.items() for c in cols)
+    sums = ", ".join(f"sum({hits('v', x)}) AS h{i}" for i, x in enumerate(labels))
+    scored = ", ".join(f"{{'s': h{i} / (n_values * {size(x)}) + {hits('col', x)} / {size(x)}, 'p': {-i}, 'l': '{x}'}}" for i, x in enumerate(labels))
+    return with_views(TELEMETRY, OPERATIONS, ASSETS, f"l AS ({long} UNION ALL SELECT tbl, col, v FROM ({_long_sql()}))", f"sums AS (SELECT tbl, col, count(*) AS n_values, {sums} FROM l WHERE v IS NOT NULL GROUP BY tbl, col)",
+                      f"chosen AS (SELECT tbl, col, n_values, list_reverse_sort([{scored}])[1] AS best FROM sums)", body="")
+
+
+FIELD_TEXTS = f"""l AS ({_long_sql()}), ft AS (SELECT tbl, col, concat(col, ' ', string_agg(v, ' ' ORDER BY row_id, v)) AS text FROM (
   SELECT *, row_number() OVER (PARTITION BY tbl, col ORDER BY row_id, v) AS rn FROM l WHERE v IS NOT NULL) WHERE rn <= 10 GROUP BY tbl, col)"""
 
 
@@ -451,7 +488,9 @@ ORACLES = {
     "text_themes": f"""SELECT doc_id, array_to_string(list_transform(list_reverse_sort({_THEME_LIST})[1:3], lambda s: s.l), '|') AS themes,
       round(list_reverse_sort({_THEME_LIST})[1].s, 6) AS best_score FROM documents""",
     "field_texts": f'WITH {FIELD_TEXTS} SELECT tbl AS "table", col AS "column", md5(text) AS text FROM ft',
-    "field_content_class": f'WITH {FIELD_TEXTS} SELECT tbl AS "table", col AS "column", md5(text) AS text_digest, list_reverse_sort({_CONTENT_LIST})[1].l AS content_class FROM ft',
+    "field_content_class": _labels_sql(rules.CONTENT_LABELS) + ' SELECT tbl AS "table", col AS "column", n_values, best.l AS content_class, round(best.s, 6) AS score FROM chosen',
+    "primary_meaning": _labels_sql(rules.MEANING_LABELS) + ' SELECT tbl AS "table", col AS "column", CASE WHEN best.s > 0 THEN best.l END AS primary_meaning, round(best.s, 6) AS meaning_score FROM chosen',
+    "embedding_cluster_faults": "SELECT least(8, count(*) // 3) AS n_clusters, count(*) AS n_rows, true AS in_nearest FROM embeddings",
     "catalog_profile": _catalog_profile_sql(),
     "profile_wide": _profile_wide_sql(),
     "sketch_errors": " UNION ALL ".join(

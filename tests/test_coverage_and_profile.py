@@ -284,3 +284,34 @@ def test_distinct_counts_near_a_bound_are_exact(spark):
     stats = prof.with_exact_near(prof.sketched_stats(prof.column_sums({"t": df}, {}), {}), {"t": df}, (0.5,))
     got = {r["column"]: r["n_distinct"] for r in stats.collect()}
     assert got["half"] == 10_000 and got["few"] == 3 and abs(got["unique"] - 20_000) < 20_000 * 4 * prof.SKETCH_ERROR
+
+
+# ----------------------------------------------------------------- labels, names, clusters
+def test_labels_see_every_value_to_its_end(spark):
+    rows = [("t", "a", str(i), "nothing here") for i in range(300)] + [("t", "a", str(1000 + i), "x" * 5000 + " threat intelligence") for i in range(100)]
+    rows += [("t", "user_name", "1", None), ("t", "b", "1", "user authentication data"), ("t", "empty", "1", None)]
+    long = spark.createDataFrame(rows, "table string, column string, row_id string, value string")
+    got = {r["column"]: (r["n_values"], r["labels"][0]["label"], r["labels"][0]["score"]) for r in cls.column_labels(long, rules.CONTENT_LABELS).collect()}
+    assert got["a"] == (400, "threat_intelligence_data", pytest.approx(100 * 2 / (400 * 3)))
+    assert got["b"] == (1, "user_authentication_data", 1.0) and "empty" not in got
+
+
+def test_primary_meaning_and_similar_fields_in_the_report(spark):
+    long = spark.createDataFrame([("t", "traffic", "1", "network traffic"), ("t", "zzz", "1", "q")], "table string, column string, row_id string, value string")
+    meaning = {r["column"]: r["primary_meaning"] for r in cls.primary_meaning(long).collect()}
+    assert meaning == {"traffic": "stores network traffic information", "zzz": None}
+    fields = spark.createDataFrame([("d", "t", "user_name"), ("d", "t", "user_names"), ("d", "u", "zzz"), ("d", "t", "traffic")], "dataset string, table string, column string")
+    similar = {r["column"]: r["similar_fields"] for r in cls.similar_fields(fields).collect()}
+    assert similar == {"user_name": ["t.user_names"], "user_names": ["t.user_name"], "zzz": [], "traffic": []}
+    classified = fields.withColumns({"log_role": F.lit("network"), "data_type": F.lit("string")})
+    report = {r["column"]: r for r in cls.meaning_report(classified, None, cls.primary_meaning(long), cls.similar_fields(fields)).collect()}
+    assert report["traffic"]["primary_meaning"] and report["user_name"]["similar_fields"] == ["t.user_names"] and report["zzz"]["primary_meaning"] is None
+
+
+def test_cluster_faults_tell_good_from_bad(spark):
+    rows = [(i, [float(i % 2) * 10 + i / 1000, 0.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    good = cls.cluster_faults(cls.cluster_arrays(df, "vec", most=2), "id").collect()
+    assert sorted((r["n"], r["misplaced"]) for r in good) == [(20, 0), (20, 0)]
+    bad = cls.cluster_faults(df.withColumn("cluster", (F.col("id") < 3).cast("int")), "id").collect()
+    assert sum(r["misplaced"] for r in bad) > 0

@@ -7,7 +7,8 @@ from sightline.functions.rules import METRICS
 from sightline.operators import lineage as lin
 from sightline.operators import ops
 from sightline.operators import readiness as rd
-from sightline.sources import tables
+from sightline.sources import tables, views
+from sightline.sources.tables import loader
 
 RESULT = "project_id string, dataset_id string, table_id string, column_name string, metric_type string, confidence double"
 
@@ -193,3 +194,16 @@ def test_sinks_and_stages(spark, tmp_path):
         assert [r["sample_note"] for r in spark.table("column_snapshot").collect()] == ["Metadata collected"]
     finally:
         spark.sql("DROP TABLE column_snapshot")
+
+
+def test_runs_added_to_a_rollup_equal_the_whole_history(spark, small, tmp_path):
+    refs = lin.unnest_references(views.batch_jobs(loader(spark, small)))
+    early = F.col("creation_time") < "1996-03-01"
+    for run, part in (("a", refs.filter(early)), ("b", refs.filter(~early)), ("a", refs.filter(early))):
+        lin.store_run(lin.rolled_up(part), str(tmp_path), run)
+    added = lin.report_from_rollup(lin.load_rollup(spark, str(tmp_path)))
+    whole = lin.report_from_rollup(lin.rolled_up(refs))
+    rounded = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    assert rounded(added) == rounded(whole) and added.count() > 10
+    estimate = [(r["users_estimate"], r["unique_users_count"]) for r in added.filter("users_estimate IS NOT NULL").collect()]
+    assert all(e <= n for e, n in estimate)
