@@ -1,8 +1,8 @@
 """Chat formatting from reply trees.
 
 Messages know their parent. Iterative self-joins, each of which doubles the length of the paths
-known, give every message the way from its root; leaves are branches, branches are ranked by score,
-and each chosen branch is written as one conversation.
+known, lead every message to its root; leaves are branches, branches are ranked by score, and the
+messages of each chosen branch are enumerated and written as one conversation.
 
     <s>[INST] role [/INST]text</s>
 
@@ -59,39 +59,50 @@ def chain(messages: DataFrame, conversation: str, turn: str, role: str, text: st
     return df.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text")
 
 
-def branches(messages: DataFrame, names: Tree = Tree(), top: int = 1) -> DataFrame:
-    """(tree, branch, rank, nodes): the `top` best root-to-leaf paths of each tree, with their
-    messages in order. A branch is named by its leaf; its score is the mean score of its
+def paths(messages: DataFrame, names: Tree = Tree(), top: int = 1) -> DataFrame:
+    """(tree, branch, rank, at, node): the messages of the `top` best root-to-leaf paths of each tree,
+    numbered from the root (1). A branch is named by its leaf; its score is the mean score of its
     messages (null counts 0); ties go to the least leaf.
 
+    Self-joins double how far each message can jump up: round k knows the message 2 ** k above, and the
+    number and scores of the messages jumped over. The chosen leaves then take these jumps, the longest
+    first, so that each of their messages is reached once. No row ever holds a way.
+
     A message whose parent is missing is a root. Messages on a cycle have no root and are in no
-    path. Node ids are unique in their tree; no message of a tree with a null id or key is lost,
-    since null trees are one tree.
+    path: they still jump when any way without a cycle would have ended. Node ids are unique in their
+    tree; no message of a tree with a null id or key is lost, since null trees are one tree.
     """
     score = F.coalesce(F.col(names.score).cast("double"), F.lit(0.0)) if names.score else F.lit(0.0)
-    nodes = messages.select(F.col(names.tree).alias("tree"), F.col(names.node).alias("node"), F.col(names.parent).alias("parent"), score.alias("score"))
+    nodes = stored(messages.select(F.col(names.tree).alias("tree"), F.col(names.node).alias("node"), F.col(names.parent).alias("parent"), score.alias("score")))
     there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     rooted = nodes.join(there, nodes["tree"].eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
-    # up: the message above the known part of the way; null at a root.
-    ways = rooted.select("tree", "node", F.when(F.col("n").isNotNull(), F.col("parent")).alias("up"), F.array("node").alias("way"), F.col("score").alias("total"))
-    leaves = nodes.select(F.col("tree").alias("t"), F.col("parent").alias("n")).distinct()
-    ways = ways.join(leaves, ways["tree"].eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left").select("tree", "node", "up", "way", "total", F.col("n").isNull().alias("leaf"), F.lit(False).alias("dead"))
-    ways = stored(ways)
-    none = F.array().cast(T.ArrayType(nodes.schema["node"].dataType))
-    while True:
-        # Only ways that do not reach a root yet are made longer.
-        open_ = ways.where("up is not null")
-        if not open_.head(1):
-            break
-        above = ways.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("way").alias("w"), F.col("total").alias("s"), F.col("dead").alias("d"))
-        joined = open_.join(above, open_["tree"].eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-        longer = joined.select("tree", "node", F.col("u").alias("up"), F.concat(F.coalesce("w", none), "way").alias("way"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"), "leaf", F.coalesce("d", F.lit(False)).alias("dead"))
-        # The message above is already on the way: a cycle.
-        turns = F.coalesce(F.array_contains("way", F.col("up")), F.lit(False))
-        longer = stored(longer.select("tree", "node", F.when(~turns, F.col("up")).alias("up"), F.when(turns, none).otherwise(F.col("way")).alias("way"), "total", "leaf", (F.col("dead") | turns).alias("dead")))
-        ways = ways.where("up is null").unionByName(longer)
-    best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.size("way")), "node")
-    return ways.where("leaf and not dead").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("tree", F.col("node").alias("branch"), "rank", F.col("way").alias("nodes"))
+    # up: the message above those jumped over; null where that passes the root.
+    known = rooted.select("tree", "node", F.when(F.col("n").isNotNull(), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
+    parents = nodes.select(F.col("tree").alias("t"), F.col("parent").alias("n")).distinct()
+    known = known.join(parents, known["tree"].eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left")
+    known = stored(known.select("tree", "node", "up", "depth", "total", F.col("n").isNull().alias("leaf")))
+    largest = nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    jumps = []
+    while known.where("up IS NOT NULL").head(1) and 1 << len(jumps) <= largest:
+        jumps.append(known.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u")))
+        above = known.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("depth").alias("d"), F.col("total").alias("s"))
+        open_ = known.where("up IS NOT NULL")
+        further = open_.join(above, open_["tree"].eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
+        further = further.select("tree", "node", F.col("u").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("s")).alias("total"), "leaf")
+        known = stored(known.where("up IS NULL").unionByName(further))
+    best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), "node")
+    chosen = known.where("leaf AND up IS NULL").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    found = stored(chosen.select("tree", F.col("node").alias("branch"), "rank", F.col("depth").alias("at"), "node"))
+    for k in reversed(range(len(jumps))):
+        jumped = found.join(jumps[k], found["tree"].eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
+        found = stored(found.unionByName(jumped.select("tree", "branch", "rank", (F.col("at") - (1 << k)).alias("at"), F.col("u").alias("node"))))
+    return found
+
+
+def branches(messages: DataFrame, names: Tree = Tree(), top: int = 1) -> DataFrame:
+    """(tree, branch, rank, nodes): `paths` with the messages of each branch in one row."""
+    rows = paths(messages, names, top).groupBy("tree", "branch", "rank").agg(F.sort_array(F.collect_list(F.struct("at", "node"))).alias("way"))
+    return rows.select("tree", "branch", "rank", F.col("way.node").alias("nodes"))
 
 
 def formatted(messages: DataFrame, names: Tree = Tree(), top: int = 1, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -100,7 +111,7 @@ def formatted(messages: DataFrame, names: Tree = Tree(), top: int = 1, loss_role
     loss_spans are ranges of code points in the formatted text, one per turn of a loss role.
     Null roles and texts are empty. An empty table gives an empty result.
     """
-    chosen = branches(messages, names, top).select("tree", "branch", "rank", F.posexplode("nodes").alias("at", "node"))
+    chosen = paths(messages, names, top)
     said = messages.select(F.col(names.tree).alias("t"), F.col(names.node).alias("n"), F.coalesce(F.col(names.role), F.lit("")).alias("role"), F.coalesce(F.col(names.text), F.lit("")).alias("text"))
     rows = chosen.join(said, chosen["tree"].eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
     turns = rows.groupBy("tree", "branch", "rank").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
