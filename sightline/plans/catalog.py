@@ -68,6 +68,17 @@ def _chosen(spark, base):
     return prof.fields_for_requirements(_fields(spark, base))
 
 
+def _requirement_reports(spark, base):
+    """The asset view is built once, for the fields and for the reports on them."""
+    long = _stage(_asset_long(spark, base))
+    return prof.requirement_reports(long, _stage(prof.fields_for_requirements(prof.field_meaning(long))))
+
+
+def _analysis_summary(spark, base):
+    fields = _stage(_fields(spark, base))
+    return prof.analysis_summary(fields, prof.fields_for_requirements(fields))
+
+
 def _classified(spark, base):
     return cls.classify_fields(measured(spark, base))
 
@@ -233,8 +244,8 @@ QUERIES = {
     "sketch_errors": _sketch_errors,
     "field_meaning": lambda spark, base: rounded(_fields(spark, base)),
     "fields_for_requirements": lambda spark, base: rounded(_chosen(spark, base)),
-    "requirement_reports": lambda spark, base: prof.requirement_reports(_asset_long(spark, base), _chosen(spark, base)),
-    "analysis_summary": lambda spark, base: prof.analysis_summary(_fields(spark, base), _chosen(spark, base)),
+    "requirement_reports": _requirement_reports,
+    "analysis_summary": _analysis_summary,
     "top_fields": lambda spark, base: prof.top_fields(_fields(spark, base)),
     "field_log_role": _rule("log_role"),
     "field_log_type": _rule("log_type"),

@@ -15,10 +15,13 @@ from sightline.sources.tables import loader, staged
 
 
 class Parts:
-    """The inputs of the lineage reports; every one stays lazy."""
+    """The inputs of the lineage reports; every one stays lazy, but for the history where many use it."""
 
-    def __init__(self, spark, base):
+    def __init__(self, spark, base, stored=False):
         self.refs = lin.unnest_references(views.nested_jobs(loader(spark, base)))
+        if stored:
+            ensure_checkpoint_dir(spark)
+            self.refs = self.refs.checkpoint()
         self.as_of = lin.newest(self.refs)
         self.edges = lin.table_edges(self.refs, self.as_of)
         self.ingestion = lin.ingestion_pattern(self.refs, self.as_of)
@@ -33,8 +36,8 @@ class Parts:
         return written.unionByName(read).groupBy("table_key").agg(F.sum("n").alias("row_count"))
 
 
-def _with(fn):
-    return lambda spark, base: rounded(fn(Parts(spark, base)))
+def _with(fn, stored=False):
+    return lambda spark, base: rounded(fn(Parts(spark, base, stored)))
 
 
 def _joined(df, *names):
@@ -74,7 +77,7 @@ QUERIES = {
     "transformation_points": _with(lambda p: lin.transformation_points(p.edges, p.tables)),
     "upstream_row_counts": _with(lambda p: lin.upstream(p.edges).join(p.row_counts().withColumnRenamed("table_key", "upstream"), "upstream", "left")),
     "dependency_health": _with(lambda p: _joined(lin.dependency_health(p.edges, p.tables, p.row_counts()), "critical_dependencies")),
-    "lineage_report": _with(lambda p: _joined(lin.lineage_report(p.edges, p.tables, p.ingestion, p.access, p.row_counts()), "critical_dependencies")),
+    "lineage_report": _with(lambda p: _joined(lin.lineage_report(p.edges, p.tables, p.ingestion, p.access, p.row_counts()), "critical_dependencies"), stored=True),
 }
 
 # ------------------------------------------------------------------------------ SQL
