@@ -9,7 +9,9 @@ from sightline.functions.rules import COMPLIANCE_DETECTORS, DETECTORS, FAMILY_RE
 from sightline.operators import detect as det
 from sightline.operators import longform as lf
 from sightline.operators import sampling
+from sightline.plans.oracle_views import TELEMETRY
 from sightline.plans.registry import rounded
+from sightline.sources import views
 from sightline.sources.tables import loader
 
 # Table, key and text columns of a scan.
@@ -45,8 +47,13 @@ def _counts(detectors, per_fragment=None):
     return lambda spark, base: det.match_counts(fragments(spark, base), detectors, per_fragment).filter(F.col("detector") != "")
 
 
+def log_lines(spark, base):
+    """The messages of the log lines, which have identifiers of every area."""
+    return lf.to_long(views.telemetry(loader(spark, base)), "telemetry", "event_id", ["message"])
+
+
 def _area(area):
-    return lambda spark, base: flat(det.score(det.match_counts(fragments(spark, base), [d for d in DETECTORS if d.area == area])))
+    return lambda spark, base: flat(det.score(det.match_counts(lf.raw_fragments(log_lines(spark, base)), [d for d in DETECTORS if d.area == area])))
 
 
 def _industry(spark, base):
@@ -86,6 +93,13 @@ LONG_SQL = " UNION ALL ".join(
 )
 
 
+MESSAGE_SQL = "SELECT 'telemetry' AS tbl, 'message' AS col, CAST(event_id AS VARCHAR) AS row_id, message AS value FROM telemetry WHERE message IS NOT NULL"
+
+
+def on_telemetry(sql: str) -> str:
+    return sql.replace("WITH l AS", f"WITH {TELEMETRY}, l AS", 1)
+
+
 def _found_sql(d, limit=None):
     # RE2 has ASCII word boundaries: letters with accents are shown to it as "_".
     text = "value" if d.name in PLAIN_TEXT else "regexp_replace(value, '[À-ÖØ-öø-ÿ]', '_', 'g')"
@@ -182,7 +196,7 @@ ORACLES = {
     "matches_all": _counts_sql(DETECTORS),
     "matches_first_ten": _counts_sql([d for d in DETECTORS if d.name in ("ipv4", "http_status", "ports", "email")], limit=10),
     **{
-        f"detections_{n}": _score_ctes([d for d in DETECTORS if d.area == a], -1) + FLAT_SQL
+        f"detections_{n}": on_telemetry(_score_ctes([d for d in DETECTORS if d.area == a], -1, MESSAGE_SQL)) + FLAT_SQL
         for n, a in [("network", "network_presence"), ("endpoint", "endpoint_identity"), ("identity", "identity_context"), ("application", "application_telemetry"), ("cloud", "cloud_infrastructure")]
     },
     "matches_industry": _counts_sql(INDUSTRY_DETECTORS),

@@ -13,7 +13,7 @@ from sightline.operators import scan as sc
 from sightline.plans import reports
 from sightline.plans.oracle_views import TELEMETRY, with_views
 from sightline.plans.registry import rounded
-from sightline.plans.scanning import FLAT_SQL, _counts_sql, _matches_sql, flat
+from sightline.plans.scanning import FLAT_SQL, MESSAGE_SQL, _counts_sql, _matches_sql, flat, on_telemetry
 from sightline.sources import views
 from sightline.sources.tables import loader
 
@@ -81,14 +81,7 @@ _PRESENT = [x for x in LAKE if x[2] != "gone"]
 LONG_SQL = " UNION ALL ".join(
     f"SELECT '{p}|{d}|{t}' AS tbl, '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM {t} WHERE {c} IS NOT NULL" for p, d, t, cols in _PRESENT for c in cols
 )
-MESSAGE_SQL = "SELECT 'telemetry' AS tbl, 'message' AS col, CAST(event_id AS VARCHAR) AS row_id, message AS value FROM telemetry WHERE message IS NOT NULL"
-
-
-def _on_telemetry(sql: str) -> str:
-    return sql.replace("WITH l AS", f"WITH {TELEMETRY}, l AS", 1)
-
-
-FOUND_SQL = _on_telemetry(_matches_sql(DETECTORS, LONG_SQL)) + """,
+FOUND_SQL = on_telemetry(_matches_sql(DETECTORS, LONG_SQL)) + """,
   d AS (SELECT tbl, col, area, detector, count(DISTINCT m) AS n_distinct FROM h GROUP BY tbl, col, area, detector),
   f AS (SELECT tbl, col, count(*) AS n_fragments FROM l GROUP BY tbl, col),
   scan_results AS (SELECT split_part(tbl, '|', 1) AS project_id, split_part(tbl, '|', 2) AS dataset_id, split_part(tbl, '|', 3) AS table_id, col AS column_name, area AS metric_type, detector,
@@ -109,13 +102,13 @@ ORACLES = {
       round(confidence, 6) AS confidence, metric_type AS pattern_type, 'value_content_analysis' AS detection_method FROM scan_results""",
     "scan_attempts": f"SELECT * FROM (SELECT *, true AS success FROM (VALUES {COUNTS}) t(project_id, dataset_id, table_id, rows_read)) UNION ALL SELECT 'security', 'logs', 'gone', 0, false",
     "scan_failures": "SELECT 'security' AS project_id, 'logs' AS dataset_id, 'gone' AS table_id, CAST(NULL AS VARCHAR) AS file, 'not_found' AS error_category, CAST(NULL AS BIGINT) AS rows_lost",
-    "telemetry_detections": _on_telemetry(_matches_sql(DETECTORS, MESSAGE_SQL)) + """,
+    "telemetry_detections": on_telemetry(_matches_sql(DETECTORS, MESSAGE_SQL)) + """,
       d AS (SELECT tbl, col, area, detector, count(DISTINCT m) AS n_distinct, list_sort(list(DISTINCT m))[1:5] AS ev FROM h GROUP BY tbl, col, area, detector),
       f AS (SELECT tbl, col, count(*) AS n_fragments FROM l GROUP BY tbl, col),
       k AS (SELECT d.*, n_fragments, least(n_distinct / greatest(0.01 * n_fragments, 1.0), 1.0) AS confidence FROM d JOIN f USING (tbl, col))""" + FLAT_SQL,
-    "telemetry_industry": _on_telemetry(_counts_sql(INDUSTRY_DETECTORS, MESSAGE_SQL)),
-    "telemetry_compliance": _on_telemetry(_counts_sql(COMPLIANCE_DETECTORS, MESSAGE_SQL)),
-    "telemetry_variants": _on_telemetry(_counts_sql(VARIANT_DETECTORS, MESSAGE_SQL)),
+    "telemetry_industry": on_telemetry(_counts_sql(INDUSTRY_DETECTORS, MESSAGE_SQL)),
+    "telemetry_compliance": on_telemetry(_counts_sql(COMPLIANCE_DETECTORS, MESSAGE_SQL)),
+    "telemetry_variants": on_telemetry(_counts_sql(VARIANT_DETECTORS, MESSAGE_SQL)),
     # What the payloads are made of, without parsing them.
     "telemetry_fragments": with_views(TELEMETRY, body="""SELECT CAST(event_id AS VARCHAR) AS row_id, 'raw' AS origin, payload AS fragment FROM telemetry
       UNION ALL SELECT CAST(event_id AS VARCHAR), 'json', unnest(['user', 'id', CAST(user_id AS VARCHAR), 'mail', concat('u', user_id, '@example.com'), 'tags', 'red', 'blue']) FROM events WHERE event_id % 4 = 0
