@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sightline.operators import ops, ordering
 from sightline.operators import similarity as sim
 from sightline.operators.similarity import similar_rows
+from sightline.plans import vectors
 
 
 def skewed_rows(n=400, seed=3):
@@ -219,3 +220,10 @@ def test_hashed_rows_of_nothing_and_of_copies(spark):
     same = as_frame(spark, [(i, [1.0, 2.0]) for i in range(50)])
     got = pairs_of(sim.hashed_rows(same, "id", "vec"))
     assert {b for a, b in got if a == 7} == {0, 1, 2, 3, 4} and len(got) == 250
+
+
+def test_similar_vectors_compares_whole_vectors(spark, tmp_path):
+    head = [1.0] * 8
+    rows = [(1, head + [9.0] * 8), (2, head + [-9.0] * 8), (3, head + [9.0] * 7 + [8.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert set(pairs_of(vectors.QUERIES["similar_vectors"](spark, str(tmp_path)).withColumnRenamed("vec_id", "id"))) == {(1, 3), (3, 1)}
