@@ -9,6 +9,7 @@ from sightline.functions import rules
 from sightline.functions.columns import redact
 from sightline.operators import detect as det
 from sightline.operators import longform as lf
+from sightline.plans import scanning
 
 # One text per detector that has no match in the driver tables, and what is found in it.
 SAMPLES = {
@@ -209,3 +210,19 @@ def test_redaction_never_leaks(spark, values):
 def test_confidence_is_a_share(spark, n, total):
     value = spark.range(1).select(det.confidence(F.lit(n), F.lit(total))).first()[0]
     assert 0.0 <= value <= 1.0
+
+
+@pytest.mark.parametrize("name", ["detections_identity", "detections_application"])
+def test_an_area_is_searched_in_every_scanned_table(spark, tmp_path, name):
+    text = "mail a.b@ex-1.org at https://x.y/api/v1 404, event 4624"
+    rows = {
+        "documents": spark.createDataFrame([(1, text)], "doc_id bigint, text string"),
+        "pages": spark.createDataFrame([(1, text, text)], "page_id bigint, url string, html string"),
+        "conversations": spark.createDataFrame([(1, text)], "conv_id bigint, text string"),
+        "events": spark.createDataFrame([(1, 2, text, text)], "event_id bigint, user_id bigint, event_type string, props string"),
+    }
+    for table, df in rows.items():
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+    found = {(r["table"], r["column"]) for r in scanning.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert found >= {(t, c) for t, (_, columns) in scanning.SCANNED.items() for c in columns}
+    assert ("telemetry", "message") in found or name == "detections_application"
