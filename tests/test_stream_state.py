@@ -62,6 +62,22 @@ def test_an_operation_may_come_again_after_it_has_left(run):
     assert set(emitted) == {1} and set(left) == {1, 9} and left[1].rows_scanned == 1
 
 
+def test_operations_of_one_bucket_leave_at_their_own_time(run, monkeypatch):
+    monkeypatch.setattr(so, "BUCKETS", 1)
+    arrivals = [
+        [event(10 * i + 1, i, "start", i) for i in range(1, 6)] + [event(100, None, "start", 1)],
+        [event(10 * i + 2, i, "end", 5 + i, None if i == 3 else 2) for i in (1, 2, 3)],
+        [event(90, 8, "start", 60)],
+        [event(91, 8, "update", 61), event(92, 4, "update", 60, 7)],
+        [event(93, 9, "start", 300)],
+    ]
+    emitted, left, twin = run(arrivals, idle_ms=100 * 60_000)
+    assert (set(emitted), set(left)) == ({1, 2, 3, 4, 5, 8, None}, {9})
+    for i, r in emitted.items():
+        assert {c: r[c] for c in so.RECORD.fieldNames()} == {c: twin[i][c] for c in so.RECORD.fieldNames()}, i
+    assert emitted[4].active and emitted[4].rows_scanned == 8
+
+
 def test_no_events(run):
     emitted, _, _ = run([[]])
     assert emitted == {}
