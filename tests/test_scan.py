@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.functions.rules import DETECTORS
+from sightline.operators import detect as det
 from sightline.operators import scan as sc
 
 
@@ -78,3 +80,11 @@ def test_fragments_inside_values_are_searched(spark):
 def test_nothing_to_scan(spark):
     found = sc.scan(spark, [])
     assert sc.results(found).count() == sc.failures(found).count() == sc.attempts(found).count() == 0
+
+
+def test_only_the_patterns_run_for_each_detector(spark):
+    cells = spark.createDataFrame([("0", "c", "10.1.2.3 and 10.1.2.3"), ("0", sc.FILE, "10.9.9.9")], "table string, column string, fragment string")
+    found = det.match_counts(cells, counted=F.col("column") == sc.FILE)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == len(DETECTORS) > plan.count("array_distinct")
+    assert {(r["column"], r["detector"], r["match"]): r["n"] for r in found.collect()} == {("c", "", ""): 1, ("c", "ipv4", "10.1.2.3"): 1, (sc.FILE, "", "10.9.9.9"): 1}
