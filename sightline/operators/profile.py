@@ -298,8 +298,10 @@ def requirement_reports(long: DataFrame, chosen: DataFrame) -> DataFrame:
 
     Asset coverage lists the ten most frequent values with their share, security controls all
     values, network visibility all values with a level, the others the twenty most frequent.
+    One row per requirement is joined, and it goes to every task: dealt out by column or by
+    requirement, all values of a column would be sorted in one.
     """
-    best = chosen.filter(F.col("rank") == 1).select("requirement", *COLUMN)
+    best = F.broadcast(chosen.filter(F.col("rank") == 1).select("requirement", *COLUMN))
     rows = long.filter(F.col("value").isNotNull()).join(best, COLUMN)
     counts = rows.groupBy("requirement", *COLUMN, "value").agg(F.count(F.lit(1)).alias("total_count"))
     totals = counts.groupBy("requirement").agg(F.sum("total_count").alias("_all"))
@@ -308,7 +310,7 @@ def requirement_reports(long: DataFrame, chosen: DataFrame) -> DataFrame:
     top = top_per_group(counts.filter(~whole), ["requirement"], [F.desc("total_count"), F.col("value")], 20)
     rank = F.row_number().over(Window.partitionBy("requirement").orderBy(F.desc("total_count"), "value"))
     kept = top.withColumn("_rn", rank).filter(F.col("_rn") <= size).drop("_rn").unionByName(counts.filter(whole))
-    return kept.join(totals, "requirement").select(
+    return kept.join(F.broadcast(totals), "requirement").select(
         "requirement", *COLUMN, "value", "total_count",
         F.when(F.col("requirement") == "asset_coverage", F.round(percent("total_count", "_all"), 2)).alias("percentage"),
         F.when(F.col("requirement") == "network_visibility", visibility_level("total_count")).alias("visibility_level"),

@@ -170,6 +170,18 @@ def test_requirement_reports(spark):
     assert {r["requirement"]: r["count"] for r in out} == {"asset_coverage": 10, "network_visibility": 12}
 
 
+def test_reports_do_not_deal_values_out_by_column(spark, capsys):
+    long = lf.to_long(spark.createDataFrame([(f"10.0.0.{i % 12}",) for i in range(100)], "addr string"), "t")
+    chosen = prof.fields_for_requirements(prof.field_meaning(long))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        prof.requirement_reports(long, chosen).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 # -------------------------------------------------------------------- catalog and rules
 def test_registered_tables(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS probe")
