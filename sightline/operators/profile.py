@@ -6,9 +6,12 @@ digest, so the shuffle carries short keys and never whole documents.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import heapq
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
+from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,9 +165,31 @@ def profile_columns(stats: DataFrame, formats: Mapping[str, str] = FORMATS) -> D
     )
 
 
+def _first_of_each_task(values: DataFrame, k: int) -> DataFrame:
+    """The first k rows of each column that a task sees, null row ids first. A task holds no more than these and
+    one batch, where a limit by rank would sort all that it reads."""
+    place = lambda row: (row[0] is not None, row[0] or "", row[1])
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[tuple[str, str], list[tuple[str | None, str]]] = {}
+        for batch in batches:
+            for column, part in batch.groupby(COLUMN, sort=False):
+                row_ids, texts = part["row_id"], part["value"]
+                known = kept.get(column, [])
+                if len(known) == k and known[-1][0] is not None:
+                    near = (row_ids.isna() | (row_ids <= known[-1][0])).to_numpy(bool)
+                    row_ids, texts = row_ids[near], texts[near]
+                rows = zip(row_ids.astype(object).where(row_ids.notna(), None), texts)
+                kept[column] = heapq.nsmallest(k, chain(known, rows), key=place)
+        yield pd.DataFrame([(*column, *row) for column, rows in kept.items() for row in rows], columns=[*COLUMN, "row_id", "value"])
+
+    return values.select(*COLUMN, "row_id", "value").mapInPandas(first, "table string, column string, row_id string, value string")
+
+
 def sample_values(long: DataFrame, k: int = 5) -> DataFrame:
     """First k non-null values of each column in row order."""
-    first = top_per_group(long.filter(F.col("value").isNotNull()), COLUMN, [F.col("row_id"), F.col("value")], k)
+    few = _first_of_each_task(long.filter(F.col("value").isNotNull()), k)
+    first = top_per_group(few, COLUMN, [F.col("row_id"), F.col("value")], k)
     ordered = F.sort_array(F.collect_list(F.struct("row_id", "value")))
     return first.groupBy(*COLUMN).agg(F.transform(ordered, lambda r: r["value"]).alias("samples"))
 

@@ -182,6 +182,16 @@ def test_reports_do_not_deal_values_out_by_column(spark, capsys):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_a_task_keeps_only_its_first_values(spark):
+    rows = [("t", f"c{i % 2}", None if i % 50 == 0 else str(i % 300), f"v{i % 7}") for i in range(1000)]
+    long = spark.createDataFrame(rows, "table string, column string, row_id string, value string").repartition(3)
+    assert prof._first_of_each_task(long, 4).count() <= 3 * 2 * 4
+    got = {r["column"]: r["samples"] for r in prof.sample_values(long, 25).collect()}
+    for c in ("c0", "c1"):
+        want = sorted((r[2] is not None, r[2] or "", r[3]) for r in rows if r[1] == c)[:25]
+        assert got[c] == [v for *_, v in want]
+
+
 # -------------------------------------------------------------------- catalog and rules
 def test_registered_tables(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS probe")
