@@ -59,11 +59,16 @@ def metric_distribution(results: DataFrame) -> DataFrame:
     return results.groupBy(F.coalesce("metric_type", F.lit("unknown")).alias("metric_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def readiness(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Five rows per group: confident sources of each metric, status and score."""
+def readiness(results: DataFrame, by: Sequence[str] = (), in_order: bool = False) -> DataFrame:
+    """Five rows per group: confident sources of each metric, status and score. With `in_order` in the order of
+    `risk_list`: the groups are sorted while they are one row each, and their areas follow in order."""
     high = F.col("confidence") >= READINESS_HIGH
     wide = results.groupBy(*by).agg(*[F.count_if(high & (F.col("metric_type") == m)).alias(f"_{m}") for m in rules.METRICS])
-    rows = [(m, rules.METRIC_TO_AREA[m], F.col(f"_{m}")) for m in rules.METRICS]
+    metrics = list(rules.METRICS)
+    if in_order:
+        metrics.sort(key=lambda m: (rules.METRIC_TO_AREA[m] not in rules.HIGH_RISK_AREAS, rules.METRIC_TO_AREA[m]))
+        wide = wide.orderBy(*by) if by else wide
+    rows = [(m, rules.METRIC_TO_AREA[m], F.col(f"_{m}")) for m in metrics]
     n = F.col("n_sources")
     return wide.select(*by, stacked(["metric", "area", "n_sources"], *rows)).withColumns({
         "status": F.when(n >= 5, "READY").when(n >= 2, "PARTIAL").otherwise("NOT_READY"),
@@ -178,15 +183,17 @@ def compliance_frameworks(ready: DataFrame, by: Sequence[str] = (), frameworks:
     )
 
 
-def risk_list(ready: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Areas that are not ready, high risks first, with the action for each."""
+def risk_list(ready: DataFrame, by: Sequence[str] = (), in_order: bool = False) -> DataFrame:
+    """Areas that are not ready, high risks first, with the action for each. Rows that `readiness` gave
+    `in_order` are not sorted again."""
     high = F.col("area").isin(rules.HIGH_RISK_AREAS)
     short = F.replace(F.replace(F.col("area"), F.lit("_coverage")), F.lit("_"), F.lit(" "))
-    return ready.filter(F.col("status") == "NOT_READY").select(
+    risks = ready.filter(F.col("status") == "NOT_READY").select(
         *by, "area", F.when(high, "HIGH").otherwise("MEDIUM").alias("risk_level"),
         F.concat(F.lit("Limited visibility in "), F.replace(F.col("area"), F.lit("_"), F.lit(" "))).alias("description"),
         F.concat(F.lit("Enhance "), short, F.lit(" data collection and monitoring")).alias("action"),
-    ).orderBy(*by, "risk_level", "area")
+    )
+    return risks if in_order else risks.orderBy(*by, "risk_level", "area")
 
 
 def coverage_dependencies(ready: DataFrame, by: Sequence[str] = ()) -> DataFrame:

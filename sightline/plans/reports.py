@@ -63,7 +63,7 @@ QUERIES = {
     "key_findings": _on_results(lambda r: rd.key_findings(r, rd.readiness(r))),
     "compliance_frameworks": _on_results(lambda r: _frameworks(rd.readiness(r))),
     "compliance_frameworks_per_job": _per_job(lambda ready: _frameworks(ready, JOB)),
-    "risk_list_per_job": _per_job(lambda ready: rd.risk_list(ready, JOB)),
+    "risk_list_per_job": _on_results(lambda r: rd.risk_list(rd.readiness(r, JOB, in_order=True), JOB, in_order=True)),
     "coverage_dependencies_per_job": _per_job(lambda ready: rd.coverage_dependencies(ready, JOB)),
     "technical_summary": _on_results(rd.technical_summary),
     "budget_estimate": _on_results(rd.budget_estimate),

@@ -207,3 +207,14 @@ def test_runs_added_to_a_rollup_equal_the_whole_history(spark, small, tmp_path):
     assert rounded(added) == rounded(whole) and added.count() > 10
     estimate = [(r["users_estimate"], r["unique_users_count"]) for r in added.filter("users_estimate IS NOT NULL").collect()]
     assert all(e <= n for e, n in estimate)
+
+
+def test_risks_are_sorted_by_job_before_they_are_rows(spark, capsys):
+    rows = [(j, m, 0.9) for j in (5, 3, None, 40, 5, 5) for m in METRICS[:2]]
+    results = spark.createDataFrame(rows, "job_id int, metric_type string, confidence double")
+    risks = rd.risk_list(rd.readiness(results, ["job_id"], in_order=True), ["job_id"], in_order=True)
+    risks.explain()
+    plan = capsys.readouterr().out
+    assert plan.index("Generate") < plan.index("Sort [")
+    assert risks.collect() == rd.risk_list(rd.readiness(results, ["job_id"]), ["job_id"]).collect()
+    assert rd.risk_list(rd.readiness(results, in_order=True), in_order=True).collect() == rd.risk_list(rd.readiness(results)).collect()
