@@ -5,12 +5,13 @@ Equal vectors are collapsed first. Then one of two ways:
 - `similar_rows` is exact. Each distinct vector has a home cell (its nearest pivot; their number grows with the root
   of the number of vectors), and each cell is cut into rings by the angle to its pivot. The
   blocks that come out know, for their own pivot and for some pivots common to all, the least and the
-  greatest angle of their members. By the triangle inequality a vector is sent only to blocks that
+  greatest angle of their members. By the triangle inequality a vector is compared only with blocks that
   can hold another one within the threshold.
 - `hashed_rows` finds each pair with a given probability. Vectors on the same side of some random
   planes meet in a bucket, over as many tables as the probability needs.
 
-In both, two blocks meet in one task as matrix products, and only what may be kept leaves it.
+In both, two sides (runs of blocks, or parts of a bucket) meet in one task as matrix products, and only what may be
+kept leaves it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,13 @@ MAX_BLOCKS = 1 << 16
 COMMON = 8  # pivots to which every block knows its bounds
 BINS = 2048  # of the angle, from which rings are made
 MAX_TABLES = 256
+#: Sides into which all blocks are gathered, as runs of about equal size. A vector is sent once to each side that it
+#: can reach, so what is shuffled grows with the vectors. Sides hold no more than MAX_SIDE vectors, beside the last
+#: block, so that two of them fit a task; only past SIDES * MAX_SIDE vectors there are more sides.
+SIDES = 8
+MAX_SIDE = 1 << 17
+CELLS = 1 << 23  # of a matrix product at a time
+FOLDS = 32  # columns of which only the greatest counts, where a bound for the closest is looked for
 
 VECTORS = "vkey string, ids array<bigint>, vec array<float>"
 
@@ -70,6 +78,7 @@ class Blocks:
     low: np.ndarray  # blocks x (1 + common)
     high: np.ndarray
     index: dict[tuple[int, int, int], int]
+    side: np.ndarray  # of each block
 
     def reachable(self, angles: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, block) of all blocks that may hold a vector within reach, and of the own one."""
@@ -86,6 +95,13 @@ class Blocks:
         return row[keep], block[keep]
 
 
+def sides_of(sizes: np.ndarray) -> np.ndarray:
+    """The side of each block, in the order of the blocks."""
+    total = int(sizes.sum())
+    sides = max(SIDES, -(-total // MAX_SIDE))
+    return np.unique((np.cumsum(sizes) - sizes) * sides // max(1, total), return_inverse=True)[1]
+
+
 def pivot_count(n: int, block: int) -> int:
     """About the root of the number of vectors, but no more than there are blocks to fill."""
     return int(min(MAX_PIVOTS, max(1, min(np.ceil(np.sqrt(n)), -(-n // block)))))
@@ -120,58 +136,89 @@ def _bounds(rows: DataFrame, centres: np.ndarray, reach: float) -> Blocks:
     common = min(COMMON, len(centres))
     ends = [f(F.col("common")[i]).alias(f"{name}{i}") for i in range(common) for name, f in (("low", F.min), ("high", F.max))]
     # At most MAX_BLOCKS blocks and one more per cell, so the driver and the tasks can hold them.
-    found = rows.groupBy("cell", "ring", "part").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), *ends).orderBy("cell", "ring", "part").collect()
+    found = rows.groupBy("cell", "ring", "part").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"), *ends).orderBy("cell", "ring", "part").collect()
     return Blocks(
         centres, reach, np.array([r["cell"] for r in found], np.int64),
         np.array([[r["low"], *(r[f"low{i}"] for i in range(common))] for r in found], np.float64).reshape(len(found), -1),
         np.array([[r["high"], *(r[f"high{i}"] for i in range(common))] for r in found], np.float64).reshape(len(found), -1),
         {(r["cell"], r["ring"], r["part"]): i for i, r in enumerate(found)},
+        sides_of(np.array([r["n"] for r in found], np.int64)),
     )
 
 
-def _sent(rows: DataFrame, blocks: Blocks) -> DataFrame:
-    """One row per vector and block it has to be compared with: the pair of blocks, and the side."""
+def _reached(part: pd.DataFrame, known: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The own block of each row, and (row, block) of all blocks within its reach."""
+    own = np.array([known.index[k] for k in zip(part["cell"], part["ring"], part["part"])])
+    return own, *known.reachable(_angles(_unit(part["vec"]), known.centres), own)
+
+
+def _slices(batches: Iterator[pd.DataFrame], step: int) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for lo in range(0, len(batch), step):
+            yield batch.iloc[lo:lo + step].reset_index(drop=True)
+
+
+def _touches(rows: DataFrame, blocks: Blocks) -> DataFrame:
+    """One row per vector and block within its reach: the pair of blocks, and the side."""
     n = len(blocks.home)
     shared = rows.sparkSession.sparkContext.broadcast(blocks)
 
     def spread(batches):
         known = shared.value
-        step = max(1, min(SLICE, (1 << 22) // n))
-        for batch in batches:
-            for lo in range(0, len(batch), step):
-                part = batch.iloc[lo:lo + step].reset_index(drop=True)
-                own = np.array([known.index[k] for k in zip(part["cell"], part["ring"], part["part"])])
-                row, other = known.reachable(_angles(_unit(part["vec"]), known.centres), own)
-                mine = own[row]
-                out = part.loc[row, ["vkey", "ids", "vec"]].reset_index(drop=True)
-                out["pair"] = np.minimum(mine, other) * n + np.maximum(mine, other)
-                out["side"] = (mine > other).astype(np.int32)
-                out["alone"] = mine == other
-                yield out
+        for part in _slices(batches, max(1, min(SLICE, (1 << 22) // n))):
+            own, row, other = _reached(part, known)
+            mine = own[row]
+            yield pd.DataFrame({"pair": np.minimum(mine, other) * n + np.maximum(mine, other), "side": (mine > other).astype(np.int32), "alone": mine == other})
 
-    return rows.mapInPandas(spread, f"{VECTORS}, pair bigint, side int, alone boolean")
+    return rows.mapInPandas(spread, "pair bigint, side int, alone boolean")
 
 
-def _exact_blocks(df: DataFrame, key: str, vector: str, threshold: float, keep: int, block: int) -> tuple[DataFrame, DataFrame, Blocks | None]:
+def _sent(rows: DataFrame, blocks: Blocks) -> DataFrame:
+    """One row per vector and side with blocks within its reach: the pair of sides, on which of them it
+    is, its own block and these blocks."""
+    n = len(blocks.home)
+    shared = rows.sparkSession.sparkContext.broadcast(blocks)
+
+    def spread(batches):
+        known = shared.value
+        sides = int(known.side[-1]) + 1
+        for part in _slices(batches, max(1, min(SLICE, (1 << 22) // n))):
+            own, row, other = _reached(part, known)
+            # Rows come in order, and so do the blocks of a row and their sides.
+            starts = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(known.side[other]) != 0)])
+            to, mine = known.side[other[starts]], known.side[own[row[starts]]]
+            out = part.loc[row[starts], ["vkey", "ids", "vec"]].reset_index(drop=True)
+            out["own"] = own[row[starts]].astype(np.int32)
+            out["reach"] = np.split(other.astype(np.int32), starts[1:])
+            out["pair"] = np.minimum(mine, to) * sides + np.maximum(mine, to)
+            out["side"] = (mine > to).astype(np.int32)
+            out["alone"] = mine == to
+            yield out
+
+    return rows.mapInPandas(spread, f"{VECTORS}, own int, reach array<int>, pair bigint, side int, alone boolean")
+
+
+def _exact_blocks(df: DataFrame, key: str, vector: str, threshold: float, keep: int, block: int) -> tuple[DataFrame, DataFrame | None, Blocks | None]:
+    """Distinct vectors, those with their blocks, and the blocks; None where there are no vectors."""
     ensure_checkpoint_dir(df.sparkSession)
     unique = _distinct_vectors(df, key, vector, keep).checkpoint()
     n = unique.count()
     # A bounded number of vectors comes to the driver; digests deal them out evenly.
     chosen = unique.orderBy("vkey").select("vec").limit(pivot_count(n, block)).collect()
     if not chosen:
-        return unique, unique.select("*", F.lit(0).cast("bigint").alias("pair"), F.lit(0).alias("side"), F.lit(True).alias("alone")), None
+        return unique, None, None
     centres = _unit([r["vec"] for r in chosen])
     settled = _settled(unique, centres).checkpoint()
     rows = _blocked(settled, max(block, -(-n // MAX_BLOCKS))).checkpoint()
-    blocks = _bounds(rows, centres, float(np.arccos(threshold)) + SLACK)
-    return unique, _sent(rows, blocks), blocks
+    return unique, rows, _bounds(rows, centres, float(np.arccos(threshold)) + SLACK)
 
 
 def blocks_touched(df: DataFrame, key: str, vector: str, threshold: float = 0.7, block: int = 2048) -> DataFrame:
-    """One row: vectors, blocks, pairs of blocks that `similar_rows` compares, all pairs there are, and how
-    many (vector, block) it sends of all there are."""
-    unique, sent, blocks = _exact_blocks(df, key, vector, threshold, 1, block)
+    """One row: vectors, blocks, pairs of blocks within reach of each other, all pairs there are, and how
+    many (vector, block) are within reach of all there are."""
+    unique, rows, blocks = _exact_blocks(df, key, vector, threshold, 1, block)
     n = 0 if blocks is None else len(blocks.home)
+    sent = unique.select(F.lit(0).cast("bigint").alias("pair"), F.lit(0).alias("side"), F.lit(True).alias("alone")) if blocks is None else _touches(rows, blocks)
     total = unique.agg(F.count(F.lit(1)).alias("n_vectors"))
     pairs = sent.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.max("side").alias("right"), F.min("side").alias("left"), F.first("alone").alias("alone"))
     # A pair of two blocks is compared only if vectors of both reach the other one.
@@ -180,26 +227,79 @@ def blocks_touched(df: DataFrame, key: str, vector: str, threshold: float = 0.7,
 
 
 # ---------------------------------------------------------------------- results
-def _closest(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float, keep: int, rank_by: str) -> Iterator[pd.DataFrame]:
+def _first_ones(units: np.ndarray, others: np.ndarray, itself: np.ndarray, threshold: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cosine) of the first `keep` columns above the threshold. A row that has them is done."""
+    found, have = [], np.zeros(len(units), np.int64)
+    for lo in range(0, len(others), 8 * SLICE):
+        rows = np.flatnonzero(have < keep)
+        if not len(rows):
+            break
+        cosine = units[rows] @ others[lo:lo + 8 * SLICE].T
+        i, j = np.nonzero(cosine > threshold)
+        sims = cosine[i, j]
+        i, j = rows[i], lo + j
+        use = j != itself[i]
+        i, j, sims = i[use], j[use], sims[use]
+        top = have[i] + np.arange(len(i)) - np.searchsorted(i, i) < keep
+        i, j, sims = i[top], j[top], sims[top]
+        have += np.bincount(i, minlength=len(units))
+        found.append((i, j, sims))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _nearest_ones(units: np.ndarray, others: np.ndarray, itself: np.ndarray, threshold: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cosine) of the `keep` greatest above the threshold and whatever equals the last of them. The
+    greatest of some columns each are different columns, so the `keep`th of these is a lower bound."""
+    cosine = units @ others.T
+    rows = np.flatnonzero(itself >= 0)
+    cosine[rows, itself[rows]] = -2.0
+    low = np.full(len(cosine), threshold)
+    width = cosine.shape[1] // FOLDS
+    if width >= keep:
+        greatest = cosine[:, :FOLDS * width].reshape(len(cosine), FOLDS, width).max(axis=1)
+        low = np.maximum(low, np.partition(greatest, width - keep, axis=1)[:, width - keep])
+    i, j = np.nonzero(cosine >= low[:, None])
+    sims = cosine[i, j]
+    above = sims > threshold
+    return i[above], j[above], sims[above]
+
+
+def _closest(left: pd.DataFrame, right: pd.DataFrame, threshold: float, keep: int, rank_by: str) -> Iterator[pd.DataFrame]:
     """For each row of the left side up to `keep` of the right side above the threshold, in the order of
-    their first ids or from the closest on."""
-    if left.empty or right.empty:
+    their first ids or from the closest on. With `own` and `reach`, rows are compared with those of the right
+    side that reach their block."""
+    if left.empty or right.empty or keep < 1:
         return
     first = np.array([v[0] for v in right["ids"]])
-    units, others = _unit(left["vec"]), _unit(right["vec"])
-    for lo in range(0, len(left), SLICE):
-        cosine = units[lo:lo + SLICE] @ others.T
-        if same:
-            cosine[np.arange(len(cosine)), np.arange(lo, lo + len(cosine))] = -2.0
-        i, j = np.nonzero(cosine > threshold)
-        if not len(i):
+    by_id = np.argsort(first, kind="stable")
+    first, keys, ids, others = first[by_id], right["vkey"].to_numpy()[by_id], right["ids"].to_numpy()[by_id], _unit(right["vec"])[by_id]
+    at = {k: i for i, k in enumerate(keys)}
+    look = _first_ones if rank_by == "id" else _nearest_ones
+    whole = np.arange(len(keys))
+    if "own" in left:
+        reach = right["reach"].to_numpy()[by_id]
+        block, column = np.concatenate(reach), np.repeat(whole, [len(r) for r in reach])
+        order = np.argsort(block, kind="stable")
+        block, column = block[order], column[order]
+        parts = [(part, column[np.searchsorted(block, b):np.searchsorted(block, b, side="right")]) for b, part in left.groupby("own")]
+    else:
+        parts = [(left, whole)]
+    for part, columns in parts:
+        if not len(columns):
             continue
-        sims = cosine[i, j]
-        order = np.lexsort((first[j], i)) if rank_by == "id" else np.lexsort((first[j], -sims, i))
-        i, j, sims = i[order], j[order], sims[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        top = place < keep
-        yield pd.DataFrame({"vkey": left["vkey"].to_numpy()[lo + i[top]], "ids": right["ids"].to_numpy()[j[top]], "similarity": sims[top]})
+        mine, units, names = (others, first, keys) if len(columns) == len(keys) else (others[columns], first[columns], keys[columns]), _unit(part["vec"]), part["vkey"].to_numpy()
+        place = np.full(len(keys) + 1, -1)
+        place[columns] = np.arange(len(columns))
+        itself = place[[at.get(k, -1) for k in names]]
+        step = SLICE if rank_by == "id" else max(16, min(SLICE, CELLS // len(columns)))
+        for lo in range(0, len(units), step):
+            i, j, sims = look(units[lo:lo + step], mine[0], itself[lo:lo + step], threshold, keep)
+            if not len(i):
+                continue
+            order = np.lexsort((mine[1][j], i)) if rank_by == "id" else np.lexsort((mine[1][j], -sims, i))
+            i, j, sims = i[order], j[order], sims[order]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < keep
+            yield pd.DataFrame({"vkey": names[lo + i[top]], "ids": ids[columns[j[top]]], "similarity": sims[top]})
 
 
 def _compared(sent: DataFrame, threshold: float, keep: int, rank_by: str) -> DataFrame:
@@ -207,11 +307,10 @@ def _compared(sent: DataFrame, threshold: float, keep: int, rank_by: str) -> Dat
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"vkey": pd.Series(dtype=object), "ids": pd.Series(dtype=object), "similarity": pd.Series(dtype=float)})
         if pdf["alone"].iloc[0]:
-            whole = pdf.reset_index(drop=True)
-            parts = list(_closest(whole, whole, True, threshold, keep, rank_by))
+            parts = list(_closest(pdf, pdf, threshold, keep, rank_by))
         else:
-            left, right = (pdf[pdf["side"] == s].reset_index(drop=True) for s in (0, 1))
-            parts = [*_closest(left, right, False, threshold, keep, rank_by), *_closest(right, left, False, threshold, keep, rank_by)]
+            left, right = (pdf[pdf["side"] == s] for s in (0, 1))
+            parts = [*_closest(left, right, threshold, keep, rank_by), *_closest(right, left, threshold, keep, rank_by)]
         return pd.concat(parts) if parts else none
 
     return sent.groupBy("pair").applyInPandas(compare, "vkey string, ids array<bigint>, similarity double")
@@ -243,8 +342,10 @@ def similar_rows(df: DataFrame, key: str, vector: str, threshold: float = 0.7, k
     while the plan is built: distinct vectors, home cells and blocks are written to the checkpoint folder.
     """
     _ranked_by(rank_by)
-    unique, sent, _ = _exact_blocks(df, key, vector, threshold, keep, block)
-    return _result(df, unique, _compared(sent, threshold, keep, rank_by), key, vector, keep, rank_by)
+    unique, rows, blocks = _exact_blocks(df, key, vector, threshold, keep, block)
+    if blocks is None:
+        return _result(df, unique, unique.select("vkey", "ids", F.lit(0.0).alias("similarity")), key, vector, keep, rank_by)
+    return _result(df, unique, _compared(_sent(rows, blocks), threshold, keep, rank_by), key, vector, keep, rank_by)
 
 
 # ------------------------------------------------------------------- hyperplanes

@@ -227,3 +227,30 @@ def test_similar_vectors_compares_whole_vectors(spark, tmp_path):
     rows = [(1, head + [9.0] * 8), (2, head + [-9.0] * 8), (3, head + [9.0] * 7 + [8.0])]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert set(pairs_of(vectors.QUERIES["similar_vectors"](spark, str(tmp_path)).withColumnRenamed("vec_id", "id"))) == {(1, 3), (3, 1)}
+
+
+def test_a_vector_is_sent_once_to_a_side(spark):
+    rng = np.random.default_rng(5)
+    df = as_frame(spark, [(i, rng.normal(size=6).tolist()) for i in range(600)])
+    _, rows, blocks = sim._exact_blocks(df, "id", "vec", 0.3, 5, 4)
+    sent = sim._sent(rows, blocks)
+    assert len(blocks.home) > 8 * sim.SIDES and sent.count() <= 600 * sim.SIDES
+    assert sent.select("pair").distinct().count() <= sim.SIDES * (sim.SIDES + 1) // 2
+    sizes = np.full(4096, 2048)
+    assert np.bincount(sim.sides_of(sizes), weights=sizes).max() <= sim.MAX_SIDE and sim.sides_of(sizes[:3]).tolist() == [0, 1, 2]
+
+
+@pytest.mark.parametrize("look", [sim._first_ones, sim._nearest_ones])
+def test_what_is_looked_up_holds_the_best(look):
+    rng = np.random.default_rng(6)
+    units = sim._unit(rng.normal(size=(5000, 3)).round(1) + 0.05)
+    itself = np.array([7, -1, 2500])
+    i, j, sims = look(units[[7, 8, 2500]], units, itself, 0.5, 5)
+    for row, own in enumerate(itself):
+        cosine = units[[7, 8, 2500][row]] @ units.T
+        want = [c for c in np.flatnonzero(cosine > 0.5) if c != own]
+        if look is sim._nearest_ones:
+            want.sort(key=lambda c: -cosine[c])
+        got = sims[i == row] if look is sim._nearest_ones else j[i == row]
+        assert own not in j[i == row] and len(got) < len(want)
+        assert sorted(got, reverse=look is sim._nearest_ones)[:5] == pytest.approx(cosine[want[:5]] if look is sim._nearest_ones else want[:5])
