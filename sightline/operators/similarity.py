@@ -227,6 +227,11 @@ def blocks_touched(df: DataFrame, key: str, vector: str, threshold: float = 0.7,
 
 
 # ---------------------------------------------------------------------- results
+def _hits(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of what holds; of one dimension that is found faster."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
 def _first_ones(units: np.ndarray, others: np.ndarray, itself: np.ndarray, threshold: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, cosine) of the first `keep` columns above the threshold. A row that has them is done."""
     found, have = [], np.zeros(len(units), np.int64)
@@ -235,7 +240,7 @@ def _first_ones(units: np.ndarray, others: np.ndarray, itself: np.ndarray, thres
         if not len(rows):
             break
         cosine = units[rows] @ others[lo:lo + 8 * SLICE].T
-        i, j = np.nonzero(cosine > threshold)
+        i, j = _hits(cosine > threshold)
         sims = cosine[i, j]
         i, j = rows[i], lo + j
         use = j != itself[i]
@@ -258,7 +263,7 @@ def _nearest_ones(units: np.ndarray, others: np.ndarray, itself: np.ndarray, thr
     if width >= keep:
         greatest = cosine[:, :FOLDS * width].reshape(len(cosine), FOLDS, width).max(axis=1)
         low = np.maximum(low, np.partition(greatest, width - keep, axis=1)[:, width - keep])
-    i, j = np.nonzero(cosine >= low[:, None])
+    i, j = _hits(cosine >= low[:, None])
     sims = cosine[i, j]
     above = sims > threshold
     return i[above], j[above], sims[above]
