@@ -8,7 +8,7 @@ from sightline.operators.similarity import blocks_touched, hashed_rows, similar_
 from sightline.plans.registry import rounded
 from sightline.sources.tables import loader
 
-#: Few components, so that pairs above 0.7 occur in the given vectors.
+#: Components over which similarity_blocks counts.
 SHORT = 8
 
 
@@ -16,8 +16,8 @@ def _short(spark, base):
     return loader(spark, base)("embeddings").select("vec_id", F.slice("embedding", 1, SHORT).alias("embedding"))
 
 
-def _similar(threshold, rank_by="id"):
-    return lambda spark, base: rounded(similar_rows(loader(spark, base)("embeddings"), "vec_id", "embedding", threshold, rank_by=rank_by))
+def _similar(threshold, rank_by="id", find=similar_rows):
+    return lambda spark, base: rounded(find(loader(spark, base)("embeddings"), "vec_id", "embedding", threshold, rank_by=rank_by))
 
 
 def _sql(threshold, order):
@@ -30,7 +30,7 @@ QUERIES = {
     "similar_vectors": _similar(0.7),
     "similar_vectors_loose": _similar(0.3),
     "similar_vectors_closest": _similar(0.3, "similarity"),
-    "similar_vectors_hashed": lambda spark, base: rounded(hashed_rows(_short(spark, base), "vec_id", "embedding", 0.7, rank_by="similarity")),
+    "similar_vectors_hashed": _similar(0.7, "similarity", hashed_rows),
     "similarity_blocks": lambda spark, base: blocks_touched(_short(spark, base), "vec_id", "embedding", 0.9),
 }
 

@@ -229,6 +229,17 @@ def test_similar_vectors_compares_whole_vectors(spark, tmp_path):
     assert set(pairs_of(vectors.QUERIES["similar_vectors"](spark, str(tmp_path)).withColumnRenamed("vec_id", "id"))) == {(1, 3), (3, 1)}
 
 
+def test_similar_vectors_hashed_compares_whole_vectors(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    tails = rng.normal(size=(20, 24))
+    # Heads are one vector or nothing, tails of five rows each are alike.
+    rows = [(i, [float(i % 2)] * 8 + (9 * tails[i // 5] + rng.normal(size=24)).tolist()) for i in range(100)]
+    as_frame(spark, rows).toDF("vec_id", "embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = pairs_of(vectors.QUERIES["similar_vectors_hashed"](spark, str(tmp_path)).withColumnRenamed("vec_id", "id"))
+    want = brute_similar(dict(rows), 0.7, 5, "similarity")
+    assert set(got) == {(a, b) for a, found in want.items() for b in found} and set(got) >= {(a, b) for a in range(100) for b in range(100) if a != b and a // 5 == b // 5}
+
+
 def test_a_vector_is_sent_once_to_a_side(spark):
     rng = np.random.default_rng(5)
     df = as_frame(spark, [(i, rng.normal(size=6).tolist()) for i in range(600)])
